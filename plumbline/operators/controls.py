@@ -69,16 +69,18 @@ def dinucleotide_shuffles(df: DataFrame, n: int, k: int = 2, seed: int = 42, pur
          else identity.derive_seed(seed, F.col(id_col), F.col("sequence"), purpose)).alias("__seed"))
 
     def generate(batches):
-        for pdf in batches:
-            ids, src, idx, made = [], [], [], []
-            for cid, text, s in zip(pdf[id_col], pdf["source_sequence"], pdf["__seed"]):
-                rng = random.Random(int(s))
-                for i in range(n):
-                    ids.append(cid)
-                    src.append(text)
-                    idx.append(i)
-                    made.append(_shuffle_once(text, k, rng))
-            yield pd.DataFrame({id_col: ids, "source_sequence": src, "shuffle_index": idx, "sequence": made})
+        for whole in batches:
+            # Slices keep the output of one step small whatever n is.
+            for at in range(0, len(whole), 256):
+                pdf = whole.iloc[at:at + 256]
+                made = []
+                for text, s in zip(pdf["source_sequence"], pdf["__seed"]):
+                    rng = random.Random(int(s))
+                    made.extend(_shuffle_once(text, k, rng) for _ in range(n))
+                yield pd.DataFrame({
+                    id_col: pdf[id_col].repeat(n).to_numpy(),
+                    "source_sequence": pdf["source_sequence"].repeat(n).to_numpy(),
+                    "shuffle_index": list(range(n)) * len(pdf), "sequence": made})
 
     id_type = dict(df.dtypes)[id_col]
     out = seeded.mapInPandas(

@@ -103,11 +103,9 @@ def full_test(spark, sf):
 
 
 def _outcome_sql() -> str:
-    from .ranking import _cdf_sql, _score_sql
     both = ("both_c AS (SELECT candidate_id, -1 AS k, sequence, " + ", ".join(FEATURES) + " FROM v_features UNION ALL "
             "SELECT candidate_id, shuffle_index, sequence, " + ", ".join(FEATURES) + " FROM v_controls)")
     scored = scored_sql(_STRUCT, "SELECT * FROM both_c", _DOC[1], "cand.candidate_id, cand.k, cand.sequence")
-    del _cdf_sql, _score_sql
     return f"""{both}, {scored}, sub AS (SELECT candidate_id, k, sequence, {mean_sql(_STRUCT)} AS s FROM scored),
 r AS (SELECT * FROM sub WHERE k = -1), c AS (SELECT * FROM sub WHERE k <> -1),
 o AS (SELECT r.candidate_id, any_value(r.s) AS s, count(c.s) AS n, count(*) FILTER (r.s > c.s) AS w, count(*) FILTER (r.s = c.s) AS t,
@@ -119,8 +117,6 @@ outcome AS (SELECT candidate_id, round(s, 9) AS structural_subscore, (nb + 1) /
   n = 20 AS shuffle_complete, nu AS shuffle_n_unique, ns AS shuffle_n_identical_to_real, s AS raw FROM o)"""
 
 
-_G2 = None
-
 QUERIES = {
     "f4_dinucleotide_shuffles": (shuffles, "SELECT candidate_id, 20::BIGINT AS n, 0::BIGINT AS other_length, 0::BIGINT AS other_kmers, 20::BIGINT AS n_index FROM v_seq"),
     "f4_triplet_shuffles": (triplet_shuffles, "SELECT candidate_id, 2::BIGINT AS n, 0::BIGINT AS other_kmers FROM v_seq"),
@@ -141,9 +137,8 @@ QUERIES = {
         NULL::BOOLEAN AS shuffle_pass, NULL::DOUBLE AS shuffle_p_value, 0::BIGINT AS shuffle_n FROM v_sized"""),
     "c2_ranking_with_outcomes": (with_controls, f"""WITH {_outcome_sql()} SELECT a.candidate_id, row_number() OVER (ORDER BY a.tier1_score DESC, a.candidate_id) AS rank,
         o.shuffle_pass, o.shuffle_p_value, o.shuffle_n FROM v_sized a LEFT JOIN (SELECT * FROM outcome WHERE raw > 0.5) o ON o.candidate_id = a.candidate_id"""),
-    "g3_control_test": (full_test, "WITH " + _outcome_sql().replace("ref AS", "ref0 AS", 0) + ", q AS (SELECT * FROM ("
-        + "WITH cand2 AS (SELECT * FROM v_features) SELECT candidate_id FROM cand2)) "
-        + "SELECT g.candidate_id, g.rank, g.tier1_score, o.* EXCLUDE (raw, candidate_id) FROM outcome o JOIN (SELECT * FROM ("
-        + "WITH " + scored_sql(DEFAULT_CRITERIA, *_DOC) + f", t AS (SELECT candidate_id, {mean_sql(DEFAULT_CRITERIA)} AS tier1_score FROM scored) "
-        + "SELECT candidate_id, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank, round(tier1_score, 9) AS tier1_score FROM t)) g ON g.candidate_id = o.candidate_id"),
+    "g3_control_test": (full_test, f"""WITH {_outcome_sql()} SELECT g.candidate_id, g.rank, g.tier1_score, o.* EXCLUDE (raw, candidate_id)
+        FROM outcome o JOIN (WITH {scored_sql(DEFAULT_CRITERIA, *_DOC)}, t AS (SELECT candidate_id, {mean_sql(DEFAULT_CRITERIA)} AS tier1_score FROM scored)
+          SELECT candidate_id, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank, round(tier1_score, 9) AS tier1_score FROM t) g
+        ON g.candidate_id = o.candidate_id"""),
 }
