@@ -12,52 +12,66 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import runtime
 from ..functions import geometry as G
-from .ordering import group_quantiles, lookup_join
+from .ordering import group_quantiles, lookup_join, wants_spread
+
+#: Parsed strings are broadcast up to this many (about 250 bytes each).
+BROADCAST_STRINGS = 200_000
 
 
 def positions(structures: DataFrame, id_col: str, dot: str) -> DataFrame:
     """(id, i, c): one row per position, 1-based, laid out by structure."""
     return (
         structures.select(F.col(id_col), F.col(dot).alias("__s")).repartition(id_col)
-        .select(id_col, F.posexplode(F.split("__s", "")).alias("__p", "c"))
-        .select(id_col, (F.col("__p") + 1).alias("i"), "c")
+        .selectExpr(f"`{id_col}`", "posexplode(split(__s, '')) AS (__p, c)")
+        .selectExpr(f"`{id_col}`", "__p + 1 AS i", "c")
     )
 
 
 def match_brackets(structures: DataFrame, id_col: str = "candidate_id", dot: str = "dot_bracket") -> DataFrame:
     """(id, i, j, depth): the pair table. The k-th opening bracket of a depth meets
     the k-th closing bracket of that depth."""
-    along = Window.partitionBy(id_col).orderBy("i")
-    step = F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)
-    deep = positions(structures, id_col, dot).withColumn("d", F.sum(step).over(along))
-    brackets = deep.filter(F.col("c") != ".").withColumn(
-        "depth", F.when(F.col("c") == "(", F.col("d")).otherwise(F.col("d") + 1))
-    same = Window.partitionBy(id_col, "depth", "c").orderBy("i")
-    return (
-        brackets.withColumn("k", F.row_number().over(same))
-        .groupBy(id_col, "depth", "k").agg(F.min("i").alias("i"), F.max("i").alias("j"))
-        .select(id_col, "i", "j", F.col("depth").cast("int").alias("depth"))
-    )
+    key = f"`{id_col}`"
+    deep = positions(structures, id_col, dot).selectExpr(
+        key, "i", "c", f"""sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)
+            OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING)
+            + CASE c WHEN ')' THEN 1 ELSE 0 END AS depth""").filter("c <> '.'")
+    numbered = deep.selectExpr(
+        key, "i", "depth", f"row_number() OVER (PARTITION BY {key}, depth, c ORDER BY i) AS k")
+    return numbered.groupBy(id_col, "depth", "k").agg(F.expr("min(i) AS i"), F.expr("max(i) AS j")).selectExpr(
+        key, "i", "j", "CAST(depth AS INT) AS depth")
 
 
 def stems(pairs: DataFrame, id_col: str = "candidate_id") -> DataFrame:
     """(id, stem, i1, j1, i2, j2, bp): runs of pairs (i, j), (i+1, j-1), ..."""
-    along = Window.partitionBy(id_col).orderBy("i")
-    follows = (F.lag("i").over(along) == F.col("i") - 1) & (F.lag("j").over(along) == F.col("j") + 1)
+    key = f"`{id_col}`"
     return (
-        pairs.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-        .withColumn("stem", F.sum("new").over(along).cast("int"))
+        pairs.selectExpr(
+            key, "i", "j",
+            "coalesce(lag(i) OVER w = i - 1 AND lag(j) OVER w = j + 1, false) AS follows".replace(
+                "OVER w", f"OVER (PARTITION BY {key} ORDER BY i)"))
+        .selectExpr(key, "i", "j", f"""CAST(sum(CASE WHEN follows THEN 0 ELSE 1 END)
+            OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS INT) AS stem""")
         .groupBy(id_col, "stem").agg(
-            F.min("i").alias("i1"), F.max("j").alias("j1"), F.max("i").alias("i2"), F.min("j").alias("j2"),
-            F.count(F.lit(1)).cast("int").alias("bp"))
+            F.expr("min(i) AS i1"), F.expr("max(j) AS j1"), F.expr("max(i) AS i2"), F.expr("min(j) AS j2"),
+            F.expr("CAST(count(*) AS INT) AS bp"))
     )
 
 
+_ELEMENT = "struct<kind:string,a:int,b:int,size:int,bp:int,left:int,right:int,stem:int,a_start:int,b_start:int>"
+
+
+def _element(kind, a_start, a, left, right, b="NULL", b_start="NULL", bp="NULL", stem="NULL", size=None):
+    size = size or (a if b == "NULL" else f"({a}) + ({b})")
+    return (f"CAST(struct('{kind}', {a}, {b}, {size}, {bp}, {left}, {right}, {stem}, {a_start}, {b_start}) "
+            f"AS {_ELEMENT})")
+
+
 def elements(structures: DataFrame, id_col: str = "candidate_id", dot: str = "dot_bracket",
              count_exterior_segments: bool = True) -> DataFrame:
     """(id, kind, a, b, size, bp, left, right, stem, a_start, b_start): every element.
@@ -66,64 +80,45 @@ def elements(structures: DataFrame, id_col: str = "candidate_id", dot: str = "do
     positions, ``left`` and ``right`` the stems an unpaired element touches,
     ``stem`` the number of a stem.
     """
+    key = f"`{id_col}`"
     found = stems(match_brackets(structures, id_col, dot), id_col)
     listed = found.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("i1", "j1", "i2", "j2", "stem", "bp"))).alias("st"))
-    base = (
-        structures.select(id_col, F.length(dot).alias("n")).repartition(id_col)
-        .join(listed, id_col, "left")
+        F.expr("array_sort(collect_list(struct(i1, j1, i2, j2, stem, bp))) AS st"))
+    base = structures.selectExpr(key, f"length(`{dot}`) AS n").repartition(id_col).join(listed, id_col, "left")
+    # The parent of a stem is the last stem that encloses it; a string without any
+    # pair keeps one row with nulls.
+    nodes = (
+        base.selectExpr(key, "n", "st", "explode_outer(st) AS s")
+        .selectExpr(
+            key, "n", "s.*",
+            "NOT exists(st, t -> t.i1 > s.i2 AND t.j1 < s.j2) AS leaf",
+            "try_element_at(filter(st, t -> t.i2 < s.i1 AND t.j2 > s.j1), -1) AS p")
+        .selectExpr(
+            key, "n", "stem", "i1", "j1", "i2", "j2", "bp", "leaf", "coalesce(p.stem, 0) AS up",
+            "coalesce(p.i2, 0) AS open", "coalesce(p.j2, n + 1) AS close")
+        .selectExpr(
+            "*", *[f"{e} OVER (PARTITION BY {key}, up ORDER BY i1) AS {name}" for e, name in (
+                ("lag(j1)", "prev_end"), ("lag(stem)", "prev_stem"), ("lead(stem)", "next_stem"))],
+            f"count(*) OVER (PARTITION BY {key}, up) AS kids")
+        .selectExpr("*", "coalesce(prev_end, open) + 1 AS gap", "i1 - coalesce(prev_end, open) - 1 AS before",
+                    "close - j1 - 1 AS after", "j1 + 1 AS tail")
     )
-    # The parent of a stem is the last stem that encloses it.
-    each = base.filter(F.col("st").isNotNull()).select(id_col, "n", "st", F.explode("st").alias("s"))
-    parent = F.element_at(F.filter("st", lambda t: (t["i2"] < F.col("s.i1")) & (t["j2"] > F.col("s.j1"))), -1)
-    leaf = ~F.exists("st", lambda t: (t["i1"] > F.col("s.i2")) & (t["j1"] < F.col("s.j2")))
-    nodes = each.select(
-        id_col, "n", "s.*", leaf.alias("leaf"),
-        F.when(F.size(F.filter("st", lambda t: (t["i2"] < F.col("s.i1")) & (t["j2"] > F.col("s.j1")))) > 0,
-               parent).alias("p"))
-    nodes = nodes.select(
-        id_col, "stem", "i1", "j1", "i2", "j2", "bp", "leaf", F.coalesce("p.stem", F.lit(0)).alias("up"),
-        F.coalesce("p.i2", F.lit(0)).alias("open"), F.coalesce("p.j2", F.col("n") + 1).alias("close"))
-    within = Window.partitionBy(id_col, "up").orderBy("i1")
-    whole = Window.partitionBy(id_col, "up")
-    nodes = nodes.withColumns({
-        "prev_end": F.lag("j1").over(within), "prev_stem": F.lag("stem").over(within),
-        "next_stem": F.lead("stem").over(within), "n_kids": F.count(F.lit(1)).over(whole)})
-    gap = F.coalesce("prev_end", "open") + 1
-    before, after, tail = F.col("i1") - gap, F.col("close") - F.col("j1") - 1, F.col("j1") + 1
-    none = F.lit(None).cast("int")
-
-    def element(cond, kind, start, a, left, right, b=None):
-        size = a if b is None else a + b
-        return F.when(cond, F.struct(
-            F.lit(kind).alias("kind"), a.cast("int").alias("a"), (none if b is None else b.cast("int")).alias("b"),
-            size.cast("int").alias("size"), none.alias("bp"), left.cast("int").alias("left"),
-            right.cast("int").alias("right"), none.alias("stem"), start.cast("int").alias("a_start"),
-            (F.col("j1") + 1).cast("int").alias("b_start")))
-
-    outer, up = F.col("up") == 0, F.when(F.col("up") > 0, F.col("up"))
-    first, last = F.col("prev_stem").isNull(), F.col("next_stem").isNull()
-    many = F.col("n_kids") > 1
-    me = F.col("stem")
-    made = F.array_compact(F.array(
-        F.struct(F.lit("s").alias("kind"), none.alias("a"), none.alias("b"), (F.col("bp") * 2).alias("size"),
-                 F.col("bp"), none.alias("left"), none.alias("right"), me.cast("int").alias("stem"),
-                 F.col("i1").cast("int").alias("a_start"), F.col("j2").cast("int").alias("b_start")),
-        element(F.col("leaf"), "h", F.col("i2") + 1, F.col("j2") - F.col("i2") - 1, me, none),
-        element(~outer & ~many, "i", gap, before, up, me, b=after),
-        element(~outer & many, "m", gap, before, F.coalesce("prev_stem", up), me),
-        element(~outer & many & last, "m", tail, after, me, up),
-        element(outer & first & (before > 0), "f", gap, before, none, me),
-        element(outer & ~first & F.lit(count_exterior_segments), "m", gap, before, F.col("prev_stem"), me),
-        element(outer & last & (after > 0), "t", tail, after, me, none),
-    ))
-    paired = nodes.select(id_col, F.explode(made).alias("e")).select(id_col, "e.*")
-    # The left anti side of the same join: strings without any pair are one coil.
-    coil = base.filter(F.col("st").isNull()).select(
-        id_col, F.lit("f").alias("kind"), F.col("n").cast("int").alias("a"), none.alias("b"),
-        F.col("n").cast("int").alias("size"), none.alias("bp"), none.alias("left"), none.alias("right"),
-        none.alias("stem"), F.lit(1).alias("a_start"), none.alias("b_start"))
-    return paired.unionByName(coil)
+    junction = "up > 0 AND kids > 1"
+    segment = "up = 0 AND prev_stem IS NOT NULL" if count_exterior_segments else "false"
+    made = ", ".join([
+        _element("s", "i1", "NULL", "NULL", "NULL", b_start="j2", bp="bp", stem="stem", size="bp * 2"),
+        f"CASE WHEN leaf THEN {_element('h', 'i2 + 1', 'j2 - i2 - 1', 'stem', 'NULL')} END",
+        f"CASE WHEN up > 0 AND kids = 1 THEN {_element('i', 'gap', 'before', 'up', 'stem', b='after', b_start='tail')} END",
+        f"CASE WHEN {junction} THEN {_element('m', 'gap', 'before', 'coalesce(prev_stem, up)', 'stem')} END",
+        f"CASE WHEN {junction} AND next_stem IS NULL THEN {_element('m', 'tail', 'after', 'stem', 'up')} END",
+        f"CASE WHEN up = 0 AND prev_stem IS NULL AND before > 0 THEN {_element('f', 'gap', 'before', 'NULL', 'stem')} END",
+        f"CASE WHEN {segment} THEN {_element('m', 'gap', 'before', 'prev_stem', 'stem')} END",
+        f"CASE WHEN up = 0 AND next_stem IS NULL AND after > 0 THEN {_element('t', 'tail', 'after', 'stem', 'NULL')} END",
+    ])
+    coil = _element("f", "1", "n", "NULL", "NULL")
+    return nodes.selectExpr(
+        key, f"explode(CASE WHEN stem IS NULL THEN array({coil}) ELSE array_compact(array({made})) END) AS e"
+    ).selectExpr(key, "e.*")
 
 
 def loops(structures: DataFrame, id_col: str = "candidate_id", dot: str = "dot_bracket") -> DataFrame:
@@ -131,40 +126,47 @@ def loops(structures: DataFrame, id_col: str = "candidate_id", dot: str = "dot_b
     return elements(structures, id_col, dot).filter(F.col("kind") != "s").select(id_col, "kind", "size")
 
 
-def loop_statistics(elems: DataFrame, structures: DataFrame, id_col: str = "candidate_id",
-                    dot: str = "dot_bracket") -> DataFrame:
-    """Counts, stem fraction, longest stem, largest loop, unpaired, loop sizes."""
-    is_loop = F.col("kind").isin("h", "i", "m")
-    stats = elems.groupBy(id_col).agg(
-        F.count_if(F.col("kind") == "h").alias("n_hairpins"),
-        F.count_if(F.col("kind") == "i").alias("n_interior"),
-        F.count_if(F.col("kind") == "m").alias("n_multiloop"),
-        F.count_if(F.col("kind") == "s").alias("n_stems"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "s", F.col("size"))), F.lit(0)).alias("stem_nt"),
-        F.coalesce(F.max("bp"), F.lit(0)).alias("longest_stem_bp"),
-        F.max(F.when(is_loop, F.col("size"))).alias("__loop"),
-        F.array_sort(F.collect_list(F.when(is_loop, F.col("size")))).alias("__sizes"))
-    joined = structures.select(id_col, F.col(dot).alias("__d")).join(stats, id_col)
-    n = F.length("__d")
-    unpaired = n - F.length(F.translate("__d", ".", ""))
-    coil = F.col("n_stems") == 0
-    return joined.select(
-        id_col, "n_hairpins", "n_interior", "n_multiloop", "n_stems",
-        (F.col("stem_nt") / F.nullif(n, F.lit(0))).alias("stem_fraction"), "longest_stem_bp",
-        F.when(coil, unpaired).otherwise(F.coalesce("__loop", F.lit(0))).alias("max_loop_nt"),
-        unpaired.alias("total_unpaired"),
-        F.when(coil & (unpaired > 0), F.array(unpaired)).otherwise(F.col("__sizes")).alias("loop_sizes"))
+_STATISTICS = (
+    "count_if(kind = 'h') AS n_hairpins", "count_if(kind = 'i') AS n_interior",
+    "count_if(kind = 'm') AS n_multiloop", "count_if(kind = 's') AS n_stems",
+    "coalesce(sum(size) FILTER (WHERE kind = 's'), 0) AS stem_nt", "sum(size) AS n_nt",
+    "coalesce(max(bp), 0) AS longest_stem_bp",
+    "max(size) FILTER (WHERE kind IN ('h', 'i', 'm')) AS largest",
+    "array_sort(collect_list(size) FILTER (WHERE kind IN ('h', 'i', 'm'))) AS sizes",
+)
+
+
+def _statistics() -> list:
+    return [F.expr(e) for e in _STATISTICS]
+
+
+def _finish(stats: DataFrame, id_col: str, *extra) -> DataFrame:
+    return stats.select(
+        F.col(id_col), *[F.expr(e) for e in (
+            "n_hairpins", "n_interior", "n_multiloop", "n_stems",
+            "stem_nt / nullif(n_nt, 0) AS stem_fraction", "longest_stem_bp",
+            "CAST(CASE WHEN n_stems = 0 THEN n_nt ELSE coalesce(largest, 0) END AS INT) AS max_loop_nt",
+            "CAST(n_nt - stem_nt AS INT) AS total_unpaired",
+            "CASE WHEN n_stems = 0 AND n_nt > 0 THEN array(CAST(n_nt AS INT)) ELSE sizes END AS loop_sizes")],
+        *extra)
+
+
+def loop_statistics(elems: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """Counts, stem fraction, longest stem, largest loop, unpaired, loop sizes.
+
+    The elements cover every position once (the ends only when they exist), so the
+    length of a string is the sum of its element sizes.
+    """
+    return _finish(elems.groupBy(id_col).agg(*_statistics()), id_col)
 
 
 def element_string(elems: DataFrame, id_col: str = "candidate_id") -> DataFrame:
     """One letter per position: the strands of all elements, laid side by side."""
-    second = F.when(F.col("kind") == "s", F.col("bp")).otherwise(F.col("b"))
-    strands = F.array(
-        F.struct(F.col("a_start").alias("at"), F.coalesce("bp", "a").alias("n"), "kind"),
-        F.struct(F.col("b_start").alias("at"), F.coalesce(second, F.lit(0)).alias("n"), "kind"))
-    laid = elems.select(id_col, F.explode(F.filter(strands, lambda x: x["n"] > 0)).alias("x"))
-    return laid.groupBy(id_col).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("x")), lambda x: F.repeat(x["kind"], x["n"])), "").alias("element_string"))
+    laid = elems.selectExpr(f"`{id_col}`", """explode(filter(array(
+        struct(a_start AS at, coalesce(bp, a) AS n, kind),
+        struct(b_start AS at, coalesce(CASE WHEN kind = 's' THEN bp ELSE b END, 0) AS n, kind)), x -> x.n > 0)) AS x""")
+    return laid.groupBy(id_col).agg(F.expr(
+        "array_join(transform(array_sort(collect_list(x)), x -> repeat(x.kind, x.n)), '') AS element_string"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -206,6 +208,16 @@ def _graph_rg(parts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _parts(a_per_nt: float, a_per_bp: float):
+    kind = F.col("kind")
+    reach = F.when(kind.isin("i", "m") & F.col("b").isNotNull() & (F.col("a") > 0) & (F.col("b") > 0),
+                   F.least("a", "b")).otherwise(F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))))
+    return F.collect_list(F.struct(
+        "stem", "left", "right", F.col("size").alias("mass"),
+        G.element_extent(kind, F.col("size"), reach, F.col("bp"), a_per_nt, a_per_bp).alias("extent"),
+        G.element_rg(kind, F.col("size"), F.col("bp"), a_per_nt, a_per_bp).alias("rg"))).alias("parts")
+
+
 def radius_of_gyration(elems: DataFrame, id_col: str = "candidate_id", a_per_nt: float = 6.0,
                        a_per_bp: float = 2.8) -> DataFrame:
     """(id, radius_of_gyration_A) from the element table.
@@ -213,15 +225,7 @@ def radius_of_gyration(elems: DataFrame, id_col: str = "candidate_id", a_per_nt:
     Elements of one structure are at most its length, so the list per structure is
     bounded; Spark distributes the structures.
     """
-    kind = F.col("kind")
-    reach = F.when(kind.isin("i", "m") & F.col("b").isNotNull() & (F.col("a") > 0) & (F.col("b") > 0),
-                   F.least("a", "b")).otherwise(F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))))
-    sized = elems.select(
-        id_col, "stem", "left", "right", F.col("size").alias("mass"),
-        G.element_extent(kind, F.col("size"), reach, F.col("bp"), a_per_nt, a_per_bp).alias("extent"),
-        G.element_rg(kind, F.col("size"), F.col("bp"), a_per_nt, a_per_bp).alias("rg"))
-    parts = sized.groupBy(id_col).agg(
-        F.collect_list(F.struct("stem", "left", "right", "mass", "extent", "rg")).alias("parts"))
+    parts = elems.groupBy(id_col).agg(_parts(a_per_nt, a_per_bp))
     return parts.select(id_col, _graph_rg("parts").alias("radius_of_gyration_A"))
 
 
@@ -229,11 +233,14 @@ def structure_features(df: DataFrame, dot: str = "dot_bracket", a_per_nt: float
                        a_per_bp: float = 2.8) -> DataFrame:
     """Add loop statistics and radius of gyration; each distinct string is parsed once."""
     distinct = df.groupBy(dot).agg(F.count(F.lit(1)).alias("n_rows"))
-    strings = distinct.select(dot).withColumn("__id", F.col(dot))
-    elems = elements(strings, "__id", dot)
-    stats = loop_statistics(elems, strings, "__id", dot).join(
-        radius_of_gyration(elems, "__id", a_per_nt, a_per_bp), "__id")
+    strings = distinct.select(F.col(dot).alias("__id"), dot)
+    parsed = elements(strings, "__id", dot).groupBy("__id").agg(*_statistics(), _parts(a_per_nt, a_per_bp))
+    stats = _finish(parsed, "__id", _graph_rg("parts").alias("radius_of_gyration_A"))
     table = stats.withColumnRenamed("__id", dot).join(distinct, dot)
+    # Written once: the look-up reads it from several branches.
+    table = runtime.cut_lineage(table, "structures")
+    if runtime.fits_broadcast(table, BROADCAST_STRINGS):
+        return df.join(F.broadcast(table.drop("n_rows")), dot)
     return lookup_join(df, table, [dot])
 
 
@@ -246,16 +253,28 @@ def ensemble_stats(folds: DataFrame, samples: DataFrame, id_col: str = "candidat
     """
     tag = folds.select(id_col, dot, F.lit(True).alias("__single")).unionByName(
         samples.select(id_col, dot, F.lit(False).alias("__single")))
-    parsed = structure_features(tag, dot).select(id_col, "__single", "max_loop_nt", "radius_of_gyration_A")
-    sampled = parsed.filter(~F.col("__single"))
-    loop_q = group_quantiles(sampled, [id_col], "max_loop_nt",
-                             {"l25": .25, "l50": .5, "l75": .75, "l90": .9}, spread, n="n")
-    rg_q = group_quantiles(sampled, [id_col], "radius_of_gyration_A", {"r25": .25, "r50": .5, "r75": .75}, spread)
-    single = parsed.filter("__single").select(
-        id_col, F.col("max_loop_nt").cast("double").alias("l"), F.col("radius_of_gyration_A").alias("r"))
+    parsed = structure_features(tag, dot).select(
+        id_col, "__single", F.col("max_loop_nt").cast("double").alias("l"), F.col("radius_of_gyration_A").alias("r"))
+    single = F.col("__single")
+    own = [F.max(F.when(single, F.col("l"))).alias("l"), F.max(F.when(single, F.col("r"))).alias("r"),
+           F.count_if(~single).alias("n")]
+    probs = {"25": .25, "50": .5, "75": .75, "90": .9}
+    if not wants_spread(samples, spread):
+        ps = F.array(*[F.lit(p) for p in probs.values()])
+        stats = parsed.groupBy(id_col).agg(
+            *own, F.percentile(F.when(~single, F.col("l")), ps).alias("lq"),
+            F.percentile(F.when(~single, F.col("r")), ps).alias("rq"))
+        stats = stats.select(id_col, "l", "r", "n", *[F.get(f"{x}q", i).alias(f"{x}{k}")
+                                                      for x in "lr" for i, k in enumerate(probs)])
+    else:
+        sampled = parsed.filter(~single)
+        stats = parsed.groupBy(id_col).agg(*own)
+        for x in "lr":
+            stats = stats.join(group_quantiles(sampled, [id_col], x, {f"{x}{k}": p for k, p in probs.items()}, True),
+                               id_col, "left")
     zero = F.lit(0.0)
-    return single.join(loop_q.join(rg_q, id_col), id_col, "left").select(
+    return stats.filter(F.col("l").isNotNull()).select(
         id_col, F.coalesce("l50", "l").alias("loop_nt_median"), F.coalesce("l90", "l").alias("loop_nt_p90"),
         F.coalesce(F.col("l75") - F.col("l25"), zero).alias("loop_nt_iqr"),
         F.coalesce("r50", "r").alias("rg_median_A"), F.coalesce(F.col("r75") - F.col("r25"), zero).alias("rg_iqr_A"),
-        F.coalesce("n", F.lit(0)).alias("n_ensemble_samples"))
+        F.col("n").alias("n_ensemble_samples"))

@@ -32,8 +32,7 @@ def letters(spark, sf):
 
 
 def statistics(spark, sf):
-    f = folds(spark, sf)
-    out = structure.loop_statistics(structure.elements(f), f)
+    out = structure.loop_statistics(structure.elements(folds(spark, sf)))
     return out.select("candidate_id", "n_hairpins", "n_interior", "n_multiloop", "n_stems",
                       F.round("stem_fraction", 9).alias("stem_fraction"), "longest_stem_bp", "max_loop_nt",
                       "total_unpaired", F.array_join(F.transform("loop_sizes", lambda x: x.cast("string")), ",").alias("loop_sizes"))
