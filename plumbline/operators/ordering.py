@@ -90,6 +90,8 @@ def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[
             out = out.withColumn(f"{c}_total", F.sum(c).over(whole).cast("long"))
         return out.drop(_ALL)
 
+    # Read by four branches that must agree, and already one row per value.
+    work = runtime.cut_lineage(work, "values")
     bucketed = with_buckets(work, ks, value, min_rows)
     totals = bucketed.groupBy(*ks, "__bucket").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
     across = Window.partitionBy(*ks).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,6 +156,22 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return out.select(*keys, *cols, *([F.col("__t").alias(n)] if n else []))
 
 
+def wide_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: dict[str, float],
+                   spread=None) -> DataFrame:
+    """Quantiles of several columns at once: ``<column>_<name>`` per group."""
+    names = list(probs)
+    if not wants_spread(df, spread):
+        ps = F.array(*[F.lit(float(probs[k])) for k in names])
+        out = df.groupBy(*keys).agg(*[F.percentile(c, ps).alias(c) for c in columns])
+        return out.select(*keys, *[F.get(F.col(c), i).alias(f"{c}_{k}")
+                                   for c in columns for i, k in enumerate(names)])
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        list(keys), list(columns), "__m", "__x")
+    q = group_quantiles(long, [*keys, "__m"], "__x", probs, True)
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("__m") == c, F.col(k))).alias(f"{c}_{k}")
+                                  for c in columns for k in names])
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank",
                  n: str | None = None, spread=None, min_rows: int | None = None) -> DataFrame:
     """Rank from 1 within the group, ties share their mean rank."""

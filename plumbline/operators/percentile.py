@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions import scores as S
 from .ordering import lookup_join, prefix_counts
 
@@ -49,19 +50,21 @@ def _search(lo, hi, values, x, right):
 
 def with_percentiles(rows: DataFrame, compact: DataFrame, columns: list[str], by: list[str] = (),
                      id_cols: list[str] = ("candidate_id",), prefix: str = "p__",
-                     out_of: DataFrame | None = None, max_values: int | None = None) -> DataFrame:
+                     above: bool = False, max_values: int | None = None) -> DataFrame:
     """Add ``p__<column>`` for each column: mid-rank percentile within the reference.
 
     ``by`` partitions both sides (fold, target, ...). With a reference of bounded
     size the rows are scored in place, in one pass without a shuffle. Otherwise
-    ``id_cols`` must identify a row and the look-up is shuffled.
+    ``id_cols`` must identify a row and the look-up is shuffled. ``above`` counts
+    the reference values above x instead of below (for values where low is good).
+    A null value keeps a null percentile when ``by`` has no reference for it.
     """
     limit = BROADCAST_VALUES if max_values is None else max_values
     small = compact.filter(F.col("criterion").isin(*columns)).limit(limit + 1)
     local = _collect_bounded(small, list(by), limit)
     if local is not None:
-        return _score_in_place(rows, local, columns, list(by), prefix)
-    return _score_by_shuffle(rows, compact, columns, list(by), list(id_cols), prefix)
+        return _score_in_place(rows, local, columns, list(by), prefix, above)
+    return _score_by_shuffle(rows, compact, columns, list(by), list(id_cols), prefix, above)
 
 
 def _collect_bounded(small: DataFrame, by: list[str], limit: int):
@@ -74,7 +77,7 @@ def _collect_bounded(small: DataFrame, by: list[str], limit: int):
     return pdf.sort_values([*by, "criterion", "value"], kind="stable").reset_index(drop=True)
 
 
-def _score_in_place(rows, pdf, columns, by, prefix):
+def _score_in_place(rows, pdf, columns, by, prefix, above):
     tables = {}
     for name in columns:
         part = pdf[pdf["criterion"] == name]
@@ -100,15 +103,16 @@ def _score_in_place(rows, pdf, columns, by, prefix):
         if index is None:
             left = np.searchsorted(values, x, "left")
             right = np.searchsorted(values, x, "right")
-            return (below[left] + below[right]) / (2.0 * below[-1])
+            twice = below[left] + below[right]
+            return (2 * below[-1] - twice if above else twice) / (2.0 * below[-1])
         codes, uniques = pd.factorize(key)
         slot = np.array([index.get(u, -1) for u in uniques])[codes]
         lo, hi = starts[slot], ends[slot]
         base, m = below[lo], below[hi] - below[lo]
         left = _search(lo, hi, values, x, right=False)
         right = _search(lo, hi, values, x, right=True)
-        p = (below[left] + below[right] - 2 * base) / (2.0 * m)
-        return np.where(slot >= 0, p, np.nan)
+        twice = below[left] + below[right] - 2 * base
+        return np.where(slot >= 0, (2 * m - twice if above else twice) / (2.0 * m), np.nan)
 
     schema = ", ".join(f"`{c}` double" for c in columns)
 
@@ -127,7 +131,7 @@ def _score_in_place(rows, pdf, columns, by, prefix):
     return out.drop("__p")
 
 
-def _score_by_shuffle(rows, compact, columns, by, ids, prefix):
+def _score_by_shuffle(rows, compact, columns, by, ids, prefix, above):
     keys = [*by, "criterion"]
     slim = rows.select(*dict.fromkeys([*by, *ids]),
                        *[S.finite_or_fail(F.col(c), c).alias(f"__{c}") for c in columns])
@@ -141,9 +145,11 @@ def _score_by_shuffle(rows, compact, columns, by, ids, prefix):
     )
     run = prefix_counts(both, keys, "value", ["n_eq"], True)
     m = F.col("n_eq_total")
+    side = m - F.col("n_eq_before") - F.col("n_eq") if above else F.col("n_eq_before")
     table = run.filter(F.col("n_rows") > 0).select(
         *keys, "value", "n_rows",
-        F.when(m > 0, S.mid_rank(F.col("n_eq_before"), F.col("n_eq"), F.when(m > 0, m))).alias("p"))
+        F.when(m > 0, S.mid_rank(side, F.col("n_eq"), F.when(m > 0, m))).alias("p"))
+    table = runtime.cut_lineage(table, "percentiles")
     scored = lookup_join(long, table, [*keys, "value"])
     join_on = list(dict.fromkeys([*by, *ids]))
     wide = scored.groupBy(*join_on).agg(
