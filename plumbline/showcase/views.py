@@ -94,6 +94,23 @@ SELECT label AS pocket_id, vec_id, CAST([[embedding:1]] AS DOUBLE)*10 AS x, CAST
 SELECT vec_id AS atom_id, CASE WHEN vec_id % 3 = 0 THEN 'C' ELSE 'B' END AS chain, CAST(floor(vec_id/5) AS INT) AS residue_number,
   CAST([[embedding:5]] AS DOUBLE)*60 AS x, CAST([[embedding:6]] AS DOUBLE)*60 AS y, CAST([[embedding:7]] AS DOUBLE)*60 AS z,
   CAST(vec_id*17 % 50 AS DOUBLE) AS sasa FROM {embeddings}""",
+    # The same atoms as lines of three structure files, with residue names and flags.
+    "v_pdb": """
+SELECT concat('S', CAST(residue_number % 3 AS STRING)) AS structure_id, chain, residue_number,
+  CASE WHEN residue_number % 19 = 0 THEN 'A' ELSE '' END AS icode,
+  CASE residue_number % 7 WHEN 0 THEN 'HOH' WHEN 1 THEN 'ZN' WHEN 2 THEN 'SO4' WHEN 3 THEN 'MSE' WHEN 4 THEN 'GLY'
+    WHEN 5 THEN 'ALA' ELSE 'LYS' END AS resname, residue_number % 7 < 4 AS hetero,
+  CASE atom_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE ' ' END AS altloc, atom_id AS line_no, x, y, z, sasa FROM v_atoms""",
+    "v_pockets": """
+SELECT CAST(pocket_id % 3 AS BIGINT) AS target_id, pocket_id AS pocket_index, CAST((pocket_id * 37) % 11 AS DOUBLE) / 10 AS score,
+  CASE WHEN pocket_id % 4 <> 0 THEN CAST((pocket_id * 13) % 10 AS DOUBLE) / 10 END AS druggability,
+  200 + 50 * CAST(pocket_id AS DOUBLE) AS volume_A3, count(*) + CASE WHEN pocket_id = 4 THEN 1 ELSE 0 END AS n_reported
+FROM v_spheres GROUP BY pocket_id""",
+    "v_lining": """
+SELECT CAST((residue_number * 7) % 10 % 3 AS BIGINT) AS target_id, CAST((residue_number * 7) % 10 AS INT) AS pocket_index,
+  chain, residue_number, '' AS icode FROM v_atoms WHERE chain = 'B' AND residue_number % 10 <> 9""",
+    "v_site": """
+SELECT DISTINCT target_id, chain, residue_number, icode FROM v_lining WHERE residue_number % 4 = 1""",
     "v_grid": """
 SELECT a.r_regionkey AS ix, b.r_regionkey AS iy, c.r_regionkey AS iz,
   CAST(a.r_regionkey*3 - b.r_regionkey*2 + c.r_regionkey*c.r_regionkey AS DOUBLE) AS phi
