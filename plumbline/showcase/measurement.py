@@ -266,10 +266,10 @@ sides AS (SELECT coalesce(c.residue_number, h.residue_number) AS residue_number,
 _OVER = "ov AS (SELECT p.target_id, p.pocket_index, count(h.residue_number) AS c, string_agg(h.residue_number::VARCHAR, ',' ORDER BY h.residue_number) AS r FROM v_pockets p LEFT JOIN (SELECT DISTINCT l.target_id, l.pocket_index, l.residue_number FROM v_lining l JOIN {site} s ON s.target_id = l.target_id AND s.residue_number = l.residue_number AND s.chain = l.chain) h ON h.target_id = p.target_id AND h.pocket_index = p.pocket_index GROUP BY 1, 2)"
 _REASON = """CASE WHEN resname = 'HOH' THEN 'water' WHEN resname IN ('GLY', 'ALA', 'LYS', 'MSE') THEN 'protein' {more} ELSE 'default_policy' END"""
 _CORNER = """loc AS (SELECT atom_id, chain, (x + 20) / 10 AS fx, (y + 20) / 10 AS fy, (z + 20) / 10 AS fz FROM {src}),
-bs AS (SELECT *, floor(fx)::INT AS bx, floor(fy)::INT AS by, floor(fz)::INT AS bz FROM loc),
+bs AS (SELECT *, floor(fx)::INT AS kx, floor(fy)::INT AS ky, floor(fz)::INT AS kz FROM loc),
 ph AS (SELECT bs.atom_id, bs.chain, sum((1 - abs(fx - g.ix)) * (1 - abs(fy - g.iy)) * (1 - abs(fz - g.iz)) * g.phi) AS potential FROM bs
-  LEFT JOIN v_grid g ON g.ix BETWEEN bx AND bx + 1 AND g.iy BETWEEN by AND by + 1 AND g.iz BETWEEN bz AND bz + 1
-  AND bx BETWEEN 0 AND 3 AND by BETWEEN 0 AND 3 AND bz BETWEEN 0 AND 3 GROUP BY 1, 2)"""
+  LEFT JOIN v_grid g ON g.ix BETWEEN kx AND kx + 1 AND g.iy BETWEEN ky AND ky + 1 AND g.iz BETWEEN kz AND kz + 1
+  AND kx BETWEEN 0 AND 3 AND ky BETWEEN 0 AND 3 AND kz BETWEEN 0 AND 3 GROUP BY 1, 2)"""
 _SUMMARY = """count(*) AS n_points_requested, count(potential) AS n_points_inside_grid, round(avg(potential), 6) AS mean_potential,
   round(median(potential), 6) AS median_potential, avg(potential) > 0 AS electrostatic_compatible, CASE WHEN count(potential) = 0 THEN 'failed' ELSE 'success' END AS status"""
 _PICK = """rq AS (SELECT r_regionkey::BIGINT AS target_id, r_regionkey = 3 AS surface, coalesce(n, 0) AS n FROM region LEFT JOIN (SELECT target_id AS t, count(*) AS n FROM {site} GROUP BY 1) ON t = r_regionkey),
