@@ -68,6 +68,11 @@ def dinucleotide_shuffles(df: DataFrame, n: int, k: int = 2, seed: int = 42, pur
         (seed_col if seed_col is not None
          else identity.derive_seed(seed, F.col(id_col), F.col("sequence"), purpose)).alias("__seed"))
 
+    # Generating is the costly part: spread the rows evenly, whatever the files were.
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    seeded = seeded.repartition(tasks, "__seed")
+
     def generate(batches):
         for whole in batches:
             # Slices keep the output of one step small whatever n is.

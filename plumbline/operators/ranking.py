@@ -63,21 +63,16 @@ def rank_candidates(df: DataFrame, score: str = "tier1_score", id_col: str = "ca
     """
     by = list(by)
     if not wants_spread(df, spread):
+        # One sort serves all: ties are the peers of the range frame of that order.
         ks = by or [F.lit(0)]
         order = Window.partitionBy(*ks).orderBy(F.desc(score), F.asc(id_col))
         by_score = Window.partitionBy(*ks).orderBy(F.desc(score))
-        peers = Window.partitionBy(*ks, score)
-        whole = Window.partitionBy(*ks)
-        n_tied = F.count(F.lit(1)).over(peers)
-        return df.withColumns({
-            "rank": F.row_number().over(order).cast("long"),
-            "rank_min": F.rank().over(by_score).cast("long"),
-            "rank_is_tied": n_tied > 1,
-            "batch_rank_fraction": (
-                F.count(F.lit(1)).over(whole) - F.rank().over(by_score) + 1
-                - (n_tied - 1) / F.lit(2.0)
-            ) / F.count(F.lit(1)).over(whole),
-        })
+        peers = by_score.rangeBetween(Window.currentRow, Window.currentRow)
+        out = df.withColumns({
+            "rank": F.row_number().over(order).cast("long"), "rank_min": F.rank().over(by_score).cast("long"),
+            "__t": F.count(F.lit(1)).over(peers), "__n": F.count(F.lit(1)).over(Window.partitionBy(*ks))})
+        fraction = (F.col("__n") - F.col("rank_min") + 1 - (F.col("__t") - 1) / F.lit(2.0)) / F.col("__n")
+        return out.withColumns({"rank_is_tied": F.col("__t") > 1, "batch_rank_fraction": fraction}).drop("__t", "__n")
     order = F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("i"))
     numbered = row_numbers(df, by, order, "rank", True, min_rows)
     compact = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n_rows"))

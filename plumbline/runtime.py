@@ -16,6 +16,9 @@ ROWS_PER_TASK = 4_000_000
 #: A table may be broadcast only up to this many rows (checked by a count).
 BROADCAST_ROWS = 1_000_000
 
+#: Below this estimate (compressed input bytes) nothing can be large.
+SMALL_BYTES = 32 * 1024 * 1024
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -27,6 +30,7 @@ def local_session(cores: str = "*", app: str = "plumbline", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PLUMBLINE_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
@@ -58,10 +62,25 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (what EXPLAIN COST prints); no job is run.
+
+    It errs upwards: filters and aggregates keep the size of their input, joins
+    multiply.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_large(df: DataFrame, rows: int = ROWS_PER_TASK) -> bool:
-    """True when ``df`` has more than ``rows`` rows (column-pruned count)."""
-    return df.count() > rows
+    """True when ``df`` has more than ``rows`` rows.
+
+    A small estimate answers at once; otherwise the rows are counted (pruned to no
+    columns).
+    """
+    return estimated_bytes(df) > SMALL_BYTES and df.count() > rows
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    if rows >= SMALL_BYTES // 32 and estimated_bytes(df) <= SMALL_BYTES:
+        return True
     return df.limit(rows + 1).count() <= rows

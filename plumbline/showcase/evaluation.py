@@ -194,17 +194,17 @@ def _e1(spark, sf):
     shuf = view(spark, sf, "v_controls").filter("shuffle_index = 1").withColumn("source_id", F.col("candidate_id"))
     rnd = f.join(ref.select("candidate_id"), "candidate_id", "left_anti")
     gen = f.filter("doc_id % 11 = 0")
-    return evaluate.discrimination(ref, shuf, rnd, gen, _STRUCT, 5, 42, N_BOOT)
+    return ref, shuf, rnd, gen, _STRUCT, 5, 42
 
 
 def discrimination_scores(spark, sf):
-    scores, _c = _e1(spark, sf)
+    scores = evaluate.out_of_fold_scores(*_e1(spark, sf))
     return scores.groupBy("group", "fold").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.median("tier1_score"), 9).alias("median"), F.round(F.sum("tier1_score"), 6).alias("total"))
 
 
 def discrimination(spark, sf):
-    _s, comparisons = _e1(spark, sf)
+    _s, comparisons = evaluate.discrimination(*_e1(spark, sf), N_BOOT)
     return comparisons.select("comparison", "n_a", "n_b", F.round("auc", 6).alias("auc"),
                               F.round("median_a", 6).alias("median_a"), F.round("median_b", 6).alias("median_b"))
 
