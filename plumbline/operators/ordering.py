@@ -111,13 +111,18 @@ def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[
     return out.drop(_ALL, "__bucket", *[f"__{c}_off" for c in counts])
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], n_rows: str = "n_rows") -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], n_rows: str = "n_rows",
+                small: bool | None = None) -> DataFrame:
     """Join rows to a table that has one row per key and counts the rows of each key.
 
-    Keys that own more than 1/10000 of the rows are broadcast (at most 10000 of
+    A table of small estimated size travels to the rows. Otherwise keys that own more than 1/10000 of the rows are broadcast (at most 10000 of
     them can exist), so a key with a third of all rows never meets in one task;
     all other keys are joined by shuffle.
     """
+    if small is None:
+        small = runtime.estimated_bytes(table) <= runtime.SMALL_BYTES // 4
+    if small:
+        return rows.join(F.broadcast(table.drop(n_rows)), on)
     total = table.agg(F.sum(n_rows).alias("__total"))
     flagged = table.crossJoin(F.broadcast(total)).withColumn(
         "__hot", F.col(n_rows) * 10_000 > F.col("__total")).drop("__total", n_rows)

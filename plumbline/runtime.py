@@ -42,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-plumbline-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 

@@ -154,7 +154,7 @@ def _follow(key, batches, state):
         current = dict.fromkeys(_FIELDS)
         current.update(job_id=key[0], status="pending", n_warnings=0, n_stages_completed=0, last_seq=-1)
     # The whole trigger is put in order first; what was already folded is not folded again.
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    rows = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values("seq", kind="stable")
     for row in rows[rows["seq"] > current["last_seq"]].drop_duplicates("seq").itertuples(index=False):
         _fold(current, row)
     state.update(tuple(current[f] for f in _FIELDS))
@@ -167,7 +167,9 @@ def _follow(key, batches, state):
 def run_status_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The same status per job as a stream of updates, with stalls by event time.
 
-    State is one small row per job. ``events`` comes from ``stream_progress_events``.
+    State is one small row per job, and remembers the last sequence number, so lines
+    that repeat or come late change nothing. ``events`` comes from
+    ``stream_progress_events``.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
