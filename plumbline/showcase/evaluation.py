@@ -79,16 +79,14 @@ def sample(spark, sf):
     return groups.seeded_sample(view(spark, sf, "v_seq"), 40, by=["lang"]).select("lang", "candidate_id")
 
 
-def _labelled(spark, sf):
-    return view(spark, sf, "v_sized").withColumn("target_id", F.pmod(F.xxhash64("lang"), F.lit(1)) + (
-        F.substring("candidate_id", 2, 20).cast("long") % 30))
-
-
 def decoys(spark, sf):
     """five distinct decoys, never the own target."""
     t = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target_id"))
-    out = groups.choose_decoys(_own(spark, sf), t, 5)
-    return out.groupBy("candidate_id", "target_id").agg(
+    return groups.choose_decoys(_own(spark, sf), t, 5)
+
+
+def decoy_counts(spark, sf):
+    return decoys(spark, sf).groupBy("candidate_id", "target_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("decoy").alias("n_distinct"),
         F.count_if(F.col("decoy") == F.col("target_id")).alias("own"))
 
@@ -231,13 +229,14 @@ def matched_pairs(spark, sf):
 
 def matched(spark, sf):
     _p, summary = _e3(spark, sf)
-    return summary
+    return _r(summary, *[c for c in summary.columns if c != "n_pairs"])
 
 
 def _runs(spark, sf):
-    """Four runs: the same ranking against four targets."""
+    """One run per nation: the same ranking against the first target of each."""
     ranked = ranking.rank_candidates(view(spark, sf, "v_sized"))
-    t = view(spark, sf, "v_targets").filter("target_id BETWEEN 1 AND 4")
+    first = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("target_id"))
+    t = view(spark, sf, "v_targets").join(first.select("target_id"), "target_id", "left_semi")
     out = annotate_targets(ranked, t, view(spark, sf, "v_bank"), Comparison(n_survivors=300))
     return out.withColumn("run_id", F.concat(F.lit("run"), F.col("target_id").cast("string")))
 
@@ -322,7 +321,8 @@ e1 AS (SELECT grp, candidate_id, fold, {m} AS s FROM pc)""".format(
 
 _RUNS = f"""rk AS (SELECT *, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank FROM v_sized),
 {percentile_sql('SELECT * FROM rk WHERE rank <= 300')},
-runs AS (SELECT 'run' || target_id AS run_id, candidate_id, tier1_score, cp, {_BAND} AS band FROM pct WHERE target_id BETWEEN 1 AND 4)"""
+runs AS (SELECT 'run' || target_id AS run_id, candidate_id, tier1_score, cp, {_BAND} AS band FROM pct
+  WHERE target_id IN (SELECT min(s_suppkey) FROM supplier GROUP BY s_nationkey))"""
 
 
 def spearman_sql(src: str, keys: str, x: str, y: str) -> str:
@@ -360,6 +360,23 @@ w AS (SELECT *, (p + 1.9208::DOUBLE / n) / (1 + 3.8416::DOUBLE / n) AS c, 1.96::
 SELECT "group", n, round(p, 9) AS pass_rate, round(greatest(0, c - d), 9)::DOUBLE AS ci_low, round(least(1, c + d), 9)::DOUBLE AS ci_high, round(med, 9) AS median_p_value FROM w"""
 
 
+def decoy_sql(targets_: str, own: str) -> str:
+    """``dcy``: five consecutive places on a hashed circle, from a hashed start."""
+    return f"""pl AS (SELECT target_id AS decoy, count(*) OVER () AS n, row_number() OVER (ORDER BY ('0x' || substr(sha256('42|circle|' || target_id), 1, 8))::BIGINT, target_id) - 1 AS place FROM {targets_}),
+stt AS (SELECT o.candidate_id, o.target_id, pl.place AS loc, n, ('0x' || substr(md5('decoy|42|' || o.candidate_id), 1, 12))::BIGINT % (n - 1) AS s FROM {own} o JOIN pl ON pl.decoy = o.target_id),
+dcy AS (SELECT x.candidate_id, x.target_id, pl.decoy FROM (SELECT *, (loc + 1 + (s + j) % (n - 1)) % n AS place FROM stt, range(5) r(j) WHERE j < n - 1) x JOIN pl ON pl.place = x.place)"""
+
+
+_E3 = f"""{percentile_sql("SELECT *, substr(candidate_id, 2)::BIGINT % 5 * 2 + 2 AS own FROM v_sized")},
+tg AS (SELECT target_id FROM v_targets WHERE binding_mode = 'pocket'), ow AS (SELECT candidate_id, own AS target_id FROM pct WHERE target_id = own AND binding_mode = 'pocket' AND evaluable),
+{decoy_sql('tg', 'ow')}, un AS (SELECT p.candidate_id, p.cp AS v, true AS pos FROM pct p JOIN ow ON ow.candidate_id = p.candidate_id AND ow.target_id = p.target_id
+  UNION ALL SELECT p.candidate_id, p.cp, false FROM pct p JOIN dcy ON dcy.candidate_id = p.candidate_id AND dcy.decoy = p.target_id),
+df AS (SELECT candidate_id, max(v) FILTER (pos) - avg(v) FILTER (NOT pos) AS d FROM un GROUP BY 1), pr AS (SELECT d, row_number() OVER (ORDER BY candidate_id) - 1 AS i FROM df),
+ids AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) - 1 AS i FROM (SELECT DISTINCT candidate_id FROM un)),
+{drawn_sql('dd', 'pair', 'pr')}, mn AS (SELECT r, avg(d) AS m FROM dd GROUP BY 1), {drawn_sql('du', 'unit', 'ids')},
+{auc_sql("SELECT du.r, un.v, un.pos, 1 AS w FROM du JOIN un ON un.candidate_id = du.candidate_id UNION ALL SELECT -1, v, pos, 1 FROM un")},
+rr AS (SELECT a.candidate_id, 1 + count(*) FILTER (b.v > a.v) + 0.5::DOUBLE * count(*) FILTER (b.v = a.v) AS r FROM un a JOIN un b ON b.candidate_id = a.candidate_id AND a.pos AND NOT b.pos GROUP BY 1)"""
+
 QUERIES = {
     "c5_requested_scores": (requested_scores, "SELECT s.candidate_id, CASE WHEN s.doc_id % 6 <> 0 THEN f.ensemble_defect END AS ensemble_defect FROM v_seq s JOIN v_features f ON f.doc_id = s.doc_id"),
     "c6_held_out_members": (held_members, f"WITH {fold_sql(5)} SELECT candidate_id, count(*) AS n FROM v_controls WHERE candidate_id IN (SELECT candidate_id FROM folded WHERE fold = 0) GROUP BY 1"),
@@ -379,7 +396,9 @@ QUERIES = {
     "f7_folds_without_labels": (folds_unlabelled, f"WITH {fold_sql(4, unit='candidate_id')} SELECT candidate_id, '__unlabelled__' AS target_key, 'sequence (no target labels available)' AS grouping, fold FROM folded"),
     "f8_seeded_sample": (sample, """SELECT lang, candidate_id FROM (SELECT lang, candidate_id, row_number() OVER (PARTITION BY lang
         ORDER BY ('0x' || substr(sha256('42|sample|' || candidate_id), 1, 8))::BIGINT, candidate_id) AS k FROM v_seq) WHERE k <= 40"""),
-    "f9_choose_decoys": (decoys, """SELECT s.candidate_id, (s.doc_id % 10) * 2 + 2 AS target_id, least(5, (SELECT count(*) FROM supplier) - 1) AS n,
+    "f9_choose_decoys": (decoys, f"""WITH tg AS (SELECT s_suppkey AS target_id FROM supplier), ow AS (SELECT candidate_id, doc_id % 10 * 2 + 2 AS target_id FROM v_seq), {decoy_sql('tg', 'ow')}
+        SELECT candidate_id, target_id, decoy FROM dcy"""),
+    "f9_decoy_counts": (decoy_counts, """SELECT s.candidate_id, (s.doc_id % 10) * 2 + 2 AS target_id, least(5, (SELECT count(*) FROM supplier) - 1) AS n,
         least(5, (SELECT count(*) FROM supplier) - 1) AS n_distinct, 0::BIGINT AS own FROM v_seq s WHERE (s.doc_id % 10) * 2 + 2 IN (SELECT s_suppkey FROM supplier)"""),
     "d16_spearman": (spearman, f"""WITH s AS (SELECT *, CASE WHEN source = 'web' THEN 1.0::DOUBLE ELSE rg_median_A END AS y FROM v_sized), {spearman_sql('s', 'lang, source', 'loop_nt_median', 'y')}
         SELECT lang, source, n, round(rho, 9) AS rho, {_WHY} FROM rho"""),
@@ -431,7 +450,10 @@ QUERIES = {
     "g12_control_pass_rates": (pass_rates, _outcome_groups_sql()),
     "g13_matched_pairs": (matched_pairs, f"""WITH {percentile_sql("SELECT *, substr(candidate_id, 2)::BIGINT % 5 * 2 + 2 AS own FROM v_sized")} SELECT candidate_id, round(cp, 9) AS true_percentile,
         least(5, (SELECT count(*) FROM v_targets WHERE binding_mode = 'pocket') - 1) AS n_decoys FROM pct WHERE target_id = own AND binding_mode = 'pocket' AND evaluable"""),
-    "g13_matched_vs_decoy": (matched, None),
+    "g13_matched_vs_decoy": (matched, f"""WITH {_E3} SELECT (SELECT count(*) FROM df) AS n_pairs, round((SELECT avg(d) FROM df), 6) AS mean_difference, round((SELECT median(d) FROM df), 6) AS median_difference,
+        round((SELECT quantile_cont(m, 0.025) FROM mn), 6) AS difference_low, round((SELECT quantile_cont(m, 0.975) FROM mn), 6) AS difference_high, round((SELECT avg((d > 0)::INT) FROM df), 6) AS fraction_positive,
+        round(max(auc) FILTER (r = -1), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (r >= 0), 6) AS auc_low, round(quantile_cont(auc, 0.975) FILTER (r >= 0), 6) AS auc_high,
+        round((SELECT avg(1 / r) FROM rr), 6) AS mrr, round((SELECT avg((r = 1)::INT) FROM rr), 6) AS top1_accuracy FROM au"""),
     "c15_shared_candidates": (shared, f"""WITH {_RUNS} SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS n, round(sum(abs(a.cp - b.cp)), 6) AS moved FROM runs a JOIN runs b ON a.candidate_id = b.candidate_id
         AND a.run_id < b.run_id WHERE a.cp IS NOT NULL AND b.cp IS NOT NULL GROUP BY 1, 2"""),
     "g14_target_swap": (swap, f"""WITH {_RUNS}, sh AS (SELECT a.run_id AS run_a, b.run_id AS run_b, a.cp AS x, b.cp AS y, a.band <> b.band AS ch FROM runs a JOIN runs b ON a.candidate_id = b.candidate_id
