@@ -69,7 +69,7 @@ def with_percentiles(rows: DataFrame, compact: DataFrame, columns: list[str], by
 
 def _collect_bounded(small: DataFrame, by: list[str], limit: int):
     """The reference as sorted arrays, or None when it exceeds the bound."""
-    pdf = small.select(*by, "criterion", "value", "n").toPandas()
+    pdf = small.select(*by, "criterion", "value", "n").toArrow().to_pandas()
     if len(pdf) > limit:
         return None
     if pdf.empty:

@@ -128,7 +128,7 @@ def bank_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison =
     }
     pdf = probe.select(
         *[F.when(A.is_evaluable(F.col("loop_nt_median" if k != "surface" else area)), e).alias(k)
-          for k, e in exprs.items()]).toPandas()
+          for k, e in exprs.items()]).toArrow().to_pandas()
     for k in exprs:
         sized[k] = np.sort(pdf[k].dropna().to_numpy(dtype=float))
     shared = compared.sparkSession.sparkContext.broadcast(sized)

@@ -68,7 +68,10 @@ def estimated_bytes(df: DataFrame) -> int:
     It errs upwards: filters and aggregates keep the size of their input, joins
     multiply.
     """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # a remote session does not show its plans: let the caller count
+        return SMALL_BYTES + 1
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_large(df: DataFrame, rows: int = ROWS_PER_TASK) -> bool:

@@ -142,11 +142,14 @@ def _fold(state: dict, row) -> None:
 
 def _follow(key, batches, state):
     if state.hasTimedOut:
+        # A silent job keeps its state and may go on; a finished one is forgotten, and
+        # lines older than the watermark can no longer bring it back.
         current = dict(zip(_FIELDS, state.get))
-        state.remove()
         if current["status"] in ("pending", "running"):
             current["status"] = "stalled"
             yield pd.DataFrame([current], columns=_FIELDS)
+        else:
+            state.remove()
         return
     if state.exists:
         current = dict(zip(_FIELDS, state.get))
@@ -158,7 +161,7 @@ def _follow(key, batches, state):
     for row in rows[rows["seq"] > current["last_seq"]].drop_duplicates("seq").itertuples(index=False):
         _fold(current, row)
     state.update(tuple(current[f] for f in _FIELDS))
-    if current["status"] in ("pending", "running") and current["updated_utc"] is not None:
+    if current["updated_utc"] is not None:
         due = int(current["updated_utc"].timestamp() * 1000) + TIMEOUT_S * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([current], columns=_FIELDS)
