@@ -91,3 +91,18 @@ def test_mann_whitney_against_pairs(spark, skewed):
     u = (pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()
     assert got["u_statistic"] == u and got["auc"] == pytest.approx(u / pos.size / neg.size)
     assert 0.0 < got["p_value"] <= 1.0
+
+
+def test_large_bank_gives_the_same_annotation(spark):
+    from plumbline.plans.annotate import annotate_targets
+    from plumbline.settings import Comparison
+    from plumbline.showcase.views import view
+    small = "/root/testdata/sf0.001"
+    ranked = ranking.rank_candidates(view(spark, small, "v_sized"))
+    t, bank = view(spark, small, "v_targets"), view(spark, small, "v_bank")
+    cols = ("candidate_id", "target_id", "band", "control_percentile", "control_percentile_extended")
+    params = Comparison(n_survivors=30)
+    a = annotate_targets(ranked, t, bank, params)
+    b = annotate_targets(ranked, t, bank, params, max_bank=0)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, a.select(*cols).collect())) == sorted(map(key, b.select(*cols).collect()))
