@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, token_files
+from . import byte_bpe, suffix_dedup, token_files
 from .columns import table
 
 
@@ -26,9 +26,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.catalogue(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
 }
 
 
