@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, suffix_dedup, token_files
+from . import byte_bpe, jaccard_join, suffix_dedup, token_files
 from .columns import table
 
 
@@ -33,10 +33,15 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
 }
 
 
