@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, jaccard_join, suffix_dedup, token_files
+from . import byte_bpe, jaccard_join, language_id, quality, suffix_dedup, token_files
 from .columns import table
 
 
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.catalogue(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
@@ -37,11 +41,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
+    "op6_quality": (op6_quality, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
+    "op10_language_id": (op10_language_id, None),
 }
 
 
