@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, jaccard_join, language_id, quality, suffix_dedup, token_files
+from . import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
 from .columns import table
 
 
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.catalogue(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -48,8 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_decontaminate": (op4_decontaminate, None),
     "op6_quality": (op6_quality, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
+    "op8_license_scan": (op8_license_scan, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_language_id": (op10_language_id, None),
 }
