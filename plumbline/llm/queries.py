@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
+from . import byte_bpe, cover_tree, decontaminate, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
 from .columns import table
 
 
@@ -30,6 +30,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cover_tree.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return cover_tree.top_k(rows, F.col("id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +76,7 @@ QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
+    "op5_top_k": (op5_top_k, OP5_SQL),
     "op6_quality": (op6_quality, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_license_scan": (op8_license_scan, None),
