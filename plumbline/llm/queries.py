@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, cover_tree, decontaminate, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
+from . import byte_bpe, cover_tree, decontaminate, html_content, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
 from .columns import table
 
 
+def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_content": (op1_html_content, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
