@@ -11,7 +11,9 @@ DELTA_BINARY_PACKED pages instead, for ids without repetition.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,16 +26,23 @@ from pyspark.sql import functions as F
 from .columns import keyed_text
 
 #: Words that one Python worker remembers.
-MAX_WORDS = 250_000
+MAX_WORDS = 700_000
+#: Symbols that are split off the end of a word.
+MARKS = ".,;:!?*$%&#|"
 
 SCHEMA = "key long, part int, start_in_part long, n_tokens int, tokens array<int>"
 
 
+#: A word that is one run of letters to the library, whatever its version of Unicode.
+LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
 class WordEncoder:
     """The tokenizers library, asked once for each word.
 
-    Its model drops white space before the merges, so no token reaches over a space or a
-    line feed, and a text's ids are those of its words in order.
+    Its model folds case and drops white space before the merges, so no token reaches
+    over a space or a line feed, and a text's ids are those of its words in order. A run
+    of the symbols in MARKS after a letter or digit is split off likewise.
     """
 
     def __init__(self, path: str):
@@ -42,23 +51,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ask(self, words: list[str]) -> None:
+        """Plain words are asked for many at a time: each is one run of letters, whose last id is one that ends a run."""
+        plain = [word for word in words if LETTERS(word)]
+        for at in range(0, len(plain), 1024):
+            some = plain[at:at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                self.known[word] = data[begin:end]
+                begin = end
+        other = [word for word in words if not LETTERS(word)]
+        for at in range(0, len(other), 4096):
+            some = other[at:at + 4096]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = array("i", found.ids).tobytes()
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
-        words = [text.replace("\n", " ").split(" ") for text in texts]
-        distinct = set(chain.from_iterable(words))
+        words = [_plain(text).replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = found.ids
-        last = [] if end is None else [end]
-        per_text = [[*chain.from_iterable(map(self.known.__getitem__, w)), *last] for w in words]
-        sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        return np.fromiter(chain.from_iterable(per_text), np.int32, int(sizes.sum())), sizes
+        known = self.known
+        new = set(chain.from_iterable(words)).difference(known)
+        parts = {word: stem for word in new if (stem := word.rstrip(MARKS)) and stem != word and stem.isascii() and stem[-1].isalnum()}
+        ends = {word[len(stem):] for word, stem in parts.items()}
+        self._ask([w for w in new.union(parts.values(), ends) if w not in parts and w not in known])
+        for word, stem in parts.items():
+            known[word] = known[stem] + known[word[len(stem):]]
+        last = [] if end is None else [array("i", [end]).tobytes()]
+        per_text = [b"".join([*map(known.__getitem__, w), *last]) for w in words]
+        sizes = np.fromiter(map(len, per_text), np.int64, len(per_text)) // 4
+        return np.frombuffer(b"".join(per_text), np.int32), sizes
+
+
+def _plain(text: str) -> str:
+    """Lower case, where that is the same before and after the library's normalisation: characters up to U+00FF."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
