@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
-from .ordering import row_numbers, wants_spread
+from .ordering import null_safe_join, row_numbers
 
 
 def validated(raw: DataFrame, min_length: int = 20, max_length: int = 100,
@@ -22,35 +22,19 @@ def rejections(checked: DataFrame, keys: list[str] = ()) -> DataFrame:
         "reason")
 
 
-def dedupe_candidates(checked: DataFrame, keys: list[str] = (), spread=None,
-                      max_sources: int = 10_000) -> DataFrame:
-    """One row per valid sequence: first row wins, copies are counted and named.
+def dedupe_candidates(checked: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """One row per valid sequence: first row wins, copies are counted.
 
-    Counting and the first row are partial aggregates, so a sequence that owns a
-    third of the input shuffles as one row per task. The list of source ids cannot
-    be pre-aggregated; above ``max_sources`` copies it is kept in full by ``copies``
-    as rows and left null here.
+    Both are partial aggregates, so a sequence that owns a third of the input shuffles
+    as one row per task. The ids of the copies are not listed in the row, whatever their
+    number: ``copies`` gives them as rows.
     """
     ok = checked.filter(F.col("reason").isNull())
     first = F.struct("row", "supplied_id")
-    stats = ok.groupBy(*keys, F.col("clean").alias("sequence")).agg(
+    out = ok.groupBy(*keys, F.col("clean").alias("sequence")).agg(
         F.count(F.lit(1)).alias("duplicate_count"), F.min(first).alias("__first"))
-    listed = copies(ok, keys).join(
-        stats.filter(F.col("duplicate_count") <= max_sources).select(*keys, "sequence"),
-        [*keys, "sequence"], "left_semi")
-    if not wants_spread(ok, spread):
-        # Few rows in all: one aggregate does both.
-        both = ok.groupBy(*keys, F.col("clean").alias("sequence")).agg(
-            F.count(F.lit(1)).alias("duplicate_count"), F.min(first).alias("__first"),
-            F.array_sort(F.collect_list(F.struct("row", _source_name().alias("n")))).alias("__s"))
-        out = both.withColumn("source_ids", F.col("__s.n")).drop("__s")
-    else:
-        names = listed.groupBy(*keys, "sequence").agg(
-            F.array_sort(F.collect_list(F.struct("row", "source_id"))).alias("__s"))
-        out = stats.join(names, [*keys, "sequence"], "left").withColumn(
-            "source_ids", F.col("__s.source_id")).drop("__s")
     return out.select(*keys, "sequence", F.length("sequence").alias("length"), "duplicate_count",
-                      "source_ids", F.col("__first.row").alias("first_row"),
+                      F.col("__first.row").alias("first_row"),
                       F.col("__first.supplied_id").alias("supplied_id"))
 
 
@@ -77,7 +61,7 @@ def assign_ids(unique: DataFrame, prefix: str = "c", by: list[str] = (), spread=
         F.min((named & (F.col("__c") == 1)).cast("int")).alias("__ok"))
     numbered = row_numbers(unique, by, F.col("first_row"), "__i", spread)
     # Without ``by`` there is one row of facts; with it, one per batch.
-    joined = numbered.join(facts, by) if by else numbered.crossJoin(F.broadcast(facts))
+    joined = null_safe_join(numbered, facts, by) if by else numbered.crossJoin(F.broadcast(facts))
     width = F.greatest(F.lit(5), F.length(F.col("__n").cast("string")))
     digits = F.col("__i").cast("string")
     made = F.concat(F.lit(prefix), F.lpad(digits, F.greatest(width, F.length(digits)), F.lit("0")))

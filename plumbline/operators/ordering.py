@@ -8,8 +8,9 @@ single task. Every kernel here therefore has two shapes with the same result:
   processed in parallel, and bucket totals (a small table) supply the offsets.
 
 ``spread=None`` picks by counting the input (``runtime.is_large``). Cut points come
-from the values with the smallest hashes, a sample that is a function of the data
-alone, so a recomputed stage sees the same cuts.
+from values whose hash is below a threshold, a sample that is a function of the data
+alone, so a recomputed stage sees the same cuts. Both shapes treat null keys as one
+group and null values as the least.
 """
 
 from __future__ import annotations
@@ -19,16 +20,24 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 
-SAMPLE = 4096       # sampled values per big group
-CUTS = 255          # cut points per big group
+SAMPLE_PER_PART = 16    # sampled values per part of a big group
+BITS = 16               # a group is cut into 2**BITS parts at most
 _ALL = "__all"
+_HASHES = 1 << 30
 
 
 def wants_spread(df: DataFrame, spread) -> bool:
     return runtime.is_large(df) if spread is None else bool(spread)
 
 
-def count_at_most(sorted_array: Column, x: Column, bits: int = 8) -> Column:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; ``keys`` appear once, from the left."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def count_at_most(sorted_array: Column, x: Column, bits: int = BITS) -> Column:
     """How many entries of a sorted array are <= x (binary search)."""
     steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
     return F.aggregate(
@@ -39,39 +48,32 @@ def count_at_most(sorted_array: Column, x: Column, bits: int = 8) -> Column:
 
 def with_buckets(df: DataFrame, keys: list[str], value: str, min_rows: int | None = None,
                  bucket: str = "__bucket") -> DataFrame:
-    """Add an order-preserving bucket number; groups that are small get bucket 0.
+    """Add an order-preserving bucket number; groups of up to ``min_rows`` rows get bucket 0.
 
-    ``value`` (a scalar or a struct) orders the rows. Only groups above
-    max(min_rows, 1/2000 of all rows) are cut, so at most 2000 rows of cut points
-    exist and broadcasting them is safe at any input size.
+    ``value`` (a scalar or a struct) orders the rows. A larger group is cut in proportion
+    to its size, so a bucket holds about ``min_rows`` rows. The sample behind the cuts is a
+    filter on a hash, without a sort or a window: its rate follows from the group's size.
     """
     if min_rows is None:
         min_rows = runtime.ROWS_PER_TASK // 4
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__total"))
-    big = (
-        sizes.crossJoin(F.broadcast(total))
-        .filter((F.col("__n") > min_rows) & (F.col("__n") * 2000 > F.col("__total")))
-        .select(*keys)
-    )
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
+    parts = F.least(F.ceil(F.col("__n") / min_rows), F.lit(1 << BITS))
+    big = sizes.filter(F.col("__n") > min_rows).withColumn("__parts", parts.cast("int"))
+    rate = F.col("__parts") * SAMPLE_PER_PART / F.col("__n")
     sample = (
-        df.select(*keys, value).join(F.broadcast(big), keys, "left_semi")
-        .withColumn("__r", F.row_number().over(by_hash)).filter(F.col("__r") <= SAMPLE)
+        null_safe_join(df.filter(F.col(value).isNotNull()).select(*keys, value), big, keys)
+        .filter(F.pmod(F.xxhash64(value), F.lit(_HASHES)) < rate * _HASHES)
     )
-    ordered = sample.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("__s"))
-    cuts = ordered.select(
+    ordered = sample.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("__s"), F.max("__parts").alias("__parts"))
+    cuts = ordered.filter(F.size("__s") > 0).select(
         *keys,
-        F.transform(
-            F.sequence(F.lit(1), F.lit(CUTS)),
-            lambda i: F.get("__s", F.floor(i * F.size("__s") / (CUTS + 1)).cast("int")),
-        ).alias("__cuts"),
-    )
-    return (
-        df.join(F.broadcast(cuts), keys, "left")
-        .withColumn(bucket, F.coalesce(count_at_most(F.col("__cuts"), F.col(value)), F.lit(0)))
-        .drop("__cuts")
+        F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.col("__parts") - 1),
+            lambda i: F.get("__s", F.floor(i * F.size("__s") / F.col("__parts")).cast("int")),
+        )).alias("__cuts"),
     )
+    place = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__cuts"), F.col(value)))
+    return null_safe_join(df, cuts, keys, "left").withColumn(bucket, place).drop("__cuts")
 
 
 def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[str],
@@ -102,7 +104,7 @@ def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[
         *[F.sum(f"__{c}").over(whole).alias(f"{c}_total") for c in counts],
     )
     run = Window.partitionBy(*ks, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = bucketed.join(offsets, [*ks, "__bucket"])
+    out = null_safe_join(bucketed, offsets, [*ks, "__bucket"])
     for c in counts:
         out = out.withColumn(
             f"{c}_before",
@@ -112,23 +114,13 @@ def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], n_rows: str = "n_rows",
-                small: bool | None = None) -> DataFrame:
-    """Join rows to a table that has one row per key and counts the rows of each key.
+                how: str = "inner") -> DataFrame:
+    """Join rows to a table that has one row per key, null keys included.
 
-    A table of small estimated size travels to the rows. Otherwise keys that own more than 1/10000 of the rows are broadcast (at most 10000 of
-    them can exist), so a key with a third of all rows never meets in one task;
-    all other keys are joined by shuffle.
+    No side is forced to be broadcast. The table has a key once, so where one key owns
+    very many rows the adaptive skew join splits them over tasks.
     """
-    if small is None:
-        small = runtime.estimated_bytes(table) <= runtime.SMALL_BYTES // 4
-    if small:
-        return rows.join(F.broadcast(table.drop(n_rows)), on)
-    total = table.agg(F.sum(n_rows).alias("__total"))
-    flagged = table.crossJoin(F.broadcast(total)).withColumn(
-        "__hot", F.col(n_rows) * 10_000 > F.col("__total")).drop("__total", n_rows)
-    hot = F.broadcast(flagged.filter("__hot").drop("__hot"))
-    cold = flagged.filter(~F.col("__hot")).drop("__hot")
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    return null_safe_join(rows, table.drop(n_rows), on, how)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -211,7 +203,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: Column, out: str, spread=
                             F.coalesce(F.sum("__c").over(across), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*ks, "__bucket").orderBy("__o")
     return (
-        bucketed.join(offsets, [*ks, "__bucket"])
+        null_safe_join(bucketed, offsets, [*ks, "__bucket"])
         .withColumn(out, (F.col("__off") + F.row_number().over(inside)).cast("long"))
         .drop("__o", "__bucket", "__off", _ALL)
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
 from ..functions import scores as S
-from .ordering import lookup_join, prefix_counts
+from .ordering import lookup_join, null_safe_join, prefix_counts
 
 #: A reference is broadcast only while its distinct values stay below this count
 #: (16 bytes each); beyond it the look-up runs as a distributed running count.
@@ -54,89 +55,85 @@ def with_percentiles(rows: DataFrame, compact: DataFrame, columns: list[str], by
     """Add ``p__<column>`` for each column: mid-rank percentile within the reference.
 
     ``by`` partitions both sides (fold, target, ...). With a reference of bounded
-    size the rows are scored in place, in one pass without a shuffle. Otherwise
-    ``id_cols`` must identify a row and the look-up is shuffled. ``above`` counts
+    size the rows are scored in place, in one pass without a shuffle; otherwise each
+    column is looked up by a join. Keys are compared as what they are (null meets null),
+    and rows need no identity of their own. ``above`` counts
     the reference values above x instead of below (for values where low is good).
     A null value keeps a null percentile when ``by`` has no reference for it.
     """
     limit = BROADCAST_VALUES if max_values is None else max_values
     small = compact.filter(F.col("criterion").isin(*columns)).limit(limit + 1)
-    local = _collect_bounded(small, list(by), limit)
-    if local is not None:
-        return _score_in_place(rows, local, columns, list(by), prefix, above)
-    return _score_by_shuffle(rows, compact, columns, list(by), list(id_cols), prefix, above)
+    if runtime.fits_broadcast(small, limit):
+        return _score_in_place(rows, small, columns, list(by), prefix, above)
+    return _score_by_shuffle(rows, compact, columns, list(by), prefix, above)
 
 
-def _collect_bounded(small: DataFrame, by: list[str], limit: int):
-    """The reference as sorted arrays, or None when it exceeds the bound."""
-    pdf = small.select(*by, "criterion", "value", "n").toArrow().to_pandas()
-    if len(pdf) > limit:
-        return None
+def _score_in_place(rows, small, columns, by, prefix, above):
+    """``small`` is bounded: its distinct keys get numbers, which travel to the rows by a join on the keys."""
+    spark, slots = rows.sparkSession, None
+    if by:
+        keys = small.select(*by).distinct().toArrow()
+        numbered = keys.append_column("__slot", pa.array(range(keys.num_rows), pa.int32()))
+        slots = spark.createDataFrame(numbered).select(*(F.col(b).cast(small.schema[b].dataType).alias(b) for b in by), "__slot")
+        small = null_safe_join(small, F.broadcast(slots), by)
+    pdf = small.select(*(["__slot"] if by else []), "criterion", "value", "n").toArrow().to_pandas()
     if pdf.empty:
         raise ValueError("cannot compute a percentile against an empty reference")
-    return pdf.sort_values([*by, "criterion", "value"], kind="stable").reset_index(drop=True)
-
-
-def _score_in_place(rows, pdf, columns, by, prefix, above):
+    pdf = pdf.sort_values([*(["__slot"] if by else []), "criterion", "value"], kind="stable").reset_index(drop=True)
     tables = {}
     for name in columns:
         part = pdf[pdf["criterion"] == name]
         if part.empty:
             raise ValueError(f"criterion {name!r} is missing from the reference")
-        if by:
-            # Slices per key inside one array; keys are matched as text.
-            key = part[by].astype(str).agg("|".join, axis=1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            index = {k: i for i, k in enumerate(key[starts])}
-        else:
-            starts, index = np.array([0]), None
-        n = part["n"].to_numpy(dtype=np.int64)
-        ends = np.r_[starts[1:], len(part)]
-        below = np.r_[0, np.cumsum(n)]
-        tables[name] = (part["value"].to_numpy(dtype=float), below, starts, ends, index)
+        below = np.r_[0, np.cumsum(part["n"].to_numpy(dtype=np.int64))]
+        starts = ends = None
+        if by:  # slices per key inside one array
+            slot, n_slots = part["__slot"].to_numpy(), int(pdf["__slot"].max()) + 1
+            starts, ends = (np.searchsorted(slot, np.arange(n_slots), side) for side in ("left", "right"))
+        tables[name] = (part["value"].to_numpy(dtype=float), below, starts, ends)
     shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def look_up(name, x, key):
-        values, below, starts, ends, index = shared.value[name]
+        values, below, starts, ends = shared.value[name]
         if not np.isfinite(x).all():
             raise ValueError(f"non-finite value in {name}")
-        if index is None:
+        if starts is None:
             left = np.searchsorted(values, x, "left")
             right = np.searchsorted(values, x, "right")
             twice = below[left] + below[right]
             return (2 * below[-1] - twice if above else twice) / (2.0 * below[-1])
-        codes, uniques = pd.factorize(key)
-        slot = np.array([index.get(u, -1) for u in uniques])[codes]
-        lo, hi = starts[slot], ends[slot]
+        known = key >= 0
+        lo, hi = starts[np.maximum(key, 0)], ends[np.maximum(key, 0)]
+        known &= hi > lo
         base, m = below[lo], below[hi] - below[lo]
         left = _search(lo, hi, values, x, right=False)
         right = _search(lo, hi, values, x, right=True)
         twice = below[left] + below[right] - 2 * base
-        return np.where(slot >= 0, (2 * m - twice if above else twice) / (2.0 * m), np.nan)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(known, (2 * m - twice if above else twice) / (2.0 * m), np.nan)
 
     schema = ", ".join(f"`{c}` double" for c in columns)
 
     @F.pandas_udf(schema)
     def percentiles(batch: pd.DataFrame) -> pd.DataFrame:
-        key = batch["__key"] if by else None
+        key = batch["__slot"].to_numpy() if by else None
         return pd.DataFrame({c: look_up(c, batch[c].to_numpy(dtype=float), key) for c in columns})
 
     packed = [F.col(c).cast("double").alias(c) for c in columns]
     if by:
-        packed.append(F.concat_ws("|", *[F.col(b).cast("string") for b in by]).alias("__key"))
+        rows = null_safe_join(rows, F.broadcast(slots), by, "left")
+        packed.append(F.coalesce("__slot", F.lit(-1)).alias("__slot"))
     out = rows.withColumn("__p", percentiles(F.struct(*packed)))
     for c in columns:
         p = F.col("__p")[c]
         out = out.withColumn(prefix + c, F.when(F.isnan(p), F.lit(None)).otherwise(p) if by else p)
-    return out.drop("__p")
+    return out.drop("__p", "__slot")
 
 
-def _score_by_shuffle(rows, compact, columns, by, ids, prefix, above):
+def _score_by_shuffle(rows, compact, columns, by, prefix, above):
     keys = [*by, "criterion"]
-    slim = rows.select(*dict.fromkeys([*by, *ids]),
-                       *[S.finite_or_fail(F.col(c), c).alias(f"__{c}") for c in columns])
-    long = slim.unpivot(list(dict.fromkeys([*by, *ids])), [f"__{c}" for c in columns], "criterion", "value")
-    long = long.withColumn("criterion", F.substring("criterion", 3, 1000))
+    checked = rows.withColumns({f"__v_{c}": S.finite_or_fail(F.col(c), c) for c in columns})
+    long = checked.select(*by, *[F.col(f"__v_{c}").alias(c) for c in columns if c not in by]).unpivot(list(by), list(columns), "criterion", "value")
     asked = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_rows"))
     both = (
         compact.select(*keys, "value", F.col("n").alias("n_eq"), F.lit(0).cast("long").alias("n_rows"))
@@ -150,11 +147,11 @@ def _score_by_shuffle(rows, compact, columns, by, ids, prefix, above):
         *keys, "value", "n_rows",
         F.when(m > 0, S.mid_rank(side, F.col("n_eq"), F.when(m > 0, m))).alias("p"))
     table = runtime.cut_lineage(table, "percentiles")
-    scored = lookup_join(long, table, [*keys, "value"])
-    join_on = list(dict.fromkeys([*by, *ids]))
-    wide = scored.groupBy(*join_on).agg(
-        *[F.max(F.when(F.col("criterion") == c, F.col("p"))).alias(prefix + c) for c in columns])
-    return rows.join(wide, join_on)
+    out = checked
+    for c in columns:
+        one = table.filter(F.col("criterion") == c).select(*by, F.col("value").alias(f"__v_{c}"), F.col("p").alias(prefix + c))
+        out = lookup_join(out, one, [*by, f"__v_{c}"], how="left")
+    return out.drop(*[f"__v_{c}" for c in columns])
 
 
 def criterion_scores(rows: DataFrame, compact: DataFrame, criteria, by: list[str] = (),

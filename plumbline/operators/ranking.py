@@ -73,7 +73,9 @@ def rank_candidates(df: DataFrame, score: str = "tier1_score", id_col: str = "ca
             "__t": F.count(F.lit(1)).over(peers), "__n": F.count(F.lit(1)).over(Window.partitionBy(*ks))})
         fraction = (F.col("__n") - F.col("rank_min") + 1 - (F.col("__t") - 1) / F.lit(2.0)) / F.col("__n")
         return out.withColumns({"rank_is_tied": F.col("__t") > 1, "batch_rank_fraction": fraction}).drop("__t", "__n")
-    order = F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("i"))
+    # Descending with null last, as a struct that sorts upwards; NaN is above all numbers.
+    kind = F.when(F.col(score).isNull(), 2).when(F.isnan(F.col(score).cast("double")), 0).otherwise(1)
+    order = F.struct(kind.alias("k"), (-F.col(score)).alias("s"), F.col(id_col).alias("i"))
     numbered = row_numbers(df, by, order, "rank", True, min_rows)
     compact = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n_rows"))
     run = prefix_counts(compact, by, score, ["n_rows"], True, min_rows)

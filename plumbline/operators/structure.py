@@ -20,8 +20,6 @@ from .. import runtime
 from ..functions import geometry as G
 from .ordering import group_quantiles, lookup_join, wants_spread
 
-#: Parsed strings are broadcast up to this many (about 250 bytes each).
-BROADCAST_STRINGS = 200_000
 
 
 def positions(structures: DataFrame, id_col: str, dot: str) -> DataFrame:
@@ -239,8 +237,6 @@ def structure_features(df: DataFrame, dot: str = "dot_bracket", a_per_nt: float
     table = stats.withColumnRenamed("__id", dot).join(distinct, dot)
     # Written once: the look-up reads it from several branches.
     table = runtime.cut_lineage(table, "structures")
-    if runtime.fits_broadcast(table, BROADCAST_STRINGS):
-        return df.join(F.broadcast(table.drop("n_rows")), dot)
     return lookup_join(df, table, [dot])
 
 

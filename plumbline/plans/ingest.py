@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import settings
 from ..operators import intake
-from ..operators.ordering import wants_spread
+from ..runtime import cut_lineage
 
 
 def ingest_candidates(raw: DataFrame, min_length: int = 20, max_length: int = 100,
@@ -18,10 +17,10 @@ def ingest_candidates(raw: DataFrame, min_length: int = 20, max_length: int = 10
     """
     settings.check_lengths(min_length, max_length)
     checked = intake.validated(raw, min_length, max_length)
-    spread = wants_spread(raw, spread)
-    unique = intake.dedupe_candidates(checked, spread=spread)
-    named = intake.assign_ids(unique, id_prefix, spread=spread)
-    if require_valid and checked.filter(F.col("reason").isNull()).limit(1).count() == 0:
+    # One pass deduplicates; naming, the summary and the emptiness check read its result.
+    unique = cut_lineage(intake.dedupe_candidates(checked), "unique")
+    if require_valid and unique.isEmpty():
         raise ValueError("no valid candidates: every row was rejected")
+    named = intake.assign_ids(unique, id_prefix, spread=spread)
     rejected: DataFrame = intake.rejections(checked)
     return named, rejected, intake.ingest_summary(checked, unique)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Up to this many input rows a single task can sort any one group comfortably, so
 #: plain windows are safe whatever the key distribution. Above it operators switch
@@ -16,9 +19,6 @@ ROWS_PER_TASK = 4_000_000
 #: A table may be broadcast only up to this many rows (checked by a count).
 BROADCAST_ROWS = 1_000_000
 
-#: Below this estimate (compressed input bytes) nothing can be large.
-SMALL_BYTES = 32 * 1024 * 1024
-
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -37,12 +37,18 @@ def local_session(cores: str = "*", app: str = "plumbline", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Without that setting a temporary folder is made for a local session; on a cluster
+    every machine would see another one, so there it is an error.
+    """
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
+        made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
@@ -62,28 +68,11 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (what EXPLAIN COST prints); no job is run.
-
-    It errs upwards: filters and aggregates keep the size of their input, joins
-    multiply.
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:  # a remote session does not show its plans: let the caller count
-        return SMALL_BYTES + 1
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def is_large(df: DataFrame, rows: int = ROWS_PER_TASK) -> bool:
-    """True when ``df`` has more than ``rows`` rows.
-
-    A small estimate answers at once; otherwise the rows are counted (pruned to no
-    columns).
-    """
-    return estimated_bytes(df) > SMALL_BYTES and df.count() > rows
+    """True when ``df`` has more than ``rows`` rows: counted, up to that bound, without its columns."""
+    return not fits_broadcast(df, rows)
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    if rows >= SMALL_BYTES // 32 and estimated_bytes(df) <= SMALL_BYTES:
-        return True
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has at most ``rows`` rows: counted, as estimates err in both directions."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows

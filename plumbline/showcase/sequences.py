@@ -81,8 +81,7 @@ def finite(spark, sf):
 
 def dedupe(spark, sf):
     out = intake.dedupe_candidates(checked(spark, sf))
-    return out.select("sequence", "length", "duplicate_count", "first_row",
-                      F.array_join("source_ids", ",").alias("source_ids"))
+    return out.select("sequence", "length", "duplicate_count", "first_row")
 
 
 def ids(spark, sf):
@@ -137,8 +136,7 @@ checked AS (SELECT *, CASE WHEN clean = '' THEN 'empty sequence'
   WHEN length(clean) > 100 THEN 'length ' || length(clean) || ' above maximum 100' END AS reason
   FROM (SELECT *, list_sort(list_distinct([x FOR x IN string_split(clean, '') IF x NOT IN ('A','C','G','U')])) AS strange FROM c0))"""
 DEDUPED = CHECKED + """, deduped AS (SELECT clean AS sequence, length(clean)::INTEGER AS length, count(*) AS duplicate_count,
-  min(row) AS first_row, arg_min(coalesce(supplied_id, '\x01'), row) AS supplied0,
-  string_agg(coalesce(supplied_id, 'row' || row), ',' ORDER BY row) AS source_ids
+  min(row) AS first_row, arg_min(coalesce(supplied_id, '\x01'), row) AS supplied0
   FROM checked WHERE reason IS NULL GROUP BY clean)"""
 PREVIEW = ("CASE WHEN length(trim(raw_sequence, chr(9)||chr(10)||chr(13)||' ')) <= 60 THEN trim(raw_sequence, chr(9)||chr(10)||chr(13)||' ') "
            "ELSE substr(trim(raw_sequence, chr(9)||chr(10)||chr(13)||' '), 1, 59) || '…' END")
@@ -170,7 +168,7 @@ QUERIES = {
         FROM v_features f LEFT JOIN deduped d ON d.sequence = f.sequence"""),
     "c3_corpus_metadata": (corpus_metadata, """SELECT f.candidate_id, round(f.stem_fraction, 9) AS stem_fraction, r.target_name, r.target_pdb_id
         FROM v_features f LEFT JOIN v_reference r ON r.candidate_id = f.candidate_id"""),
-    "d3_dedupe_candidates": (dedupe, f"WITH {DEDUPED} SELECT sequence, length, duplicate_count, first_row, source_ids FROM deduped"),
+    "d3_dedupe_candidates": (dedupe, f"WITH {DEDUPED} SELECT sequence, length, duplicate_count, first_row FROM deduped"),
     "d4_ingest_summary": (summary, f"""WITH {DEDUPED} SELECT (SELECT count(*) FROM checked) AS n_submitted,
         (SELECT count(*) FROM checked WHERE reason IS NOT NULL) AS n_rejected, count(*) AS n_valid,
         count(*) FILTER (duplicate_count = 1) AS n_unique, min(length) AS min_length, max(length) AS max_length FROM deduped"""),

@@ -23,7 +23,7 @@ FROM {documents}""",
     "v_raw": """
 SELECT s.doc_id AS row, CASE WHEN s.doc_id % 4 = 3 THEN NULL ELSE s.candidate_id END AS supplied_id,
   CASE s.doc_id % 10
-    WHEN 0 THEN substr(d.text, 1, 40) WHEN 1 THEN substr(s.sequence, 1, 10)
+    WHEN 0 THEN d.text WHEN 1 THEN substr(s.sequence, 1, 10)
     WHEN 2 THEN lower(translate(s.sequence, 'U', 'T'))
     WHEN 3 THEN concat(' ', substr(s.sequence, 1, 10), ' ', substr(s.sequence, 11))
     WHEN 4 THEN '' WHEN 5 THEN concat(s.sequence, s.sequence)
