@@ -296,7 +296,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", depth
     Spans of one document can overlap. See ``remove_repeats`` for the cases.
     """
     spark = df.sparkSession
-    buckets = max(4096, 64 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(512, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = _keyed(df, key, text)
     packed = texts.mapInArrow(pack, "doc long, twin long, packed binary")
     hot = hot_landmarks(texts, depth, landmark)
