@@ -133,12 +133,19 @@ def _marks(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, stop: np.ndarra
 
 
 def _first_of_equal(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records by (mark, run, doc, twin, first), and which of them repeat the one before."""
+    """Records by (mark, run, doc, twin, first), and which of them repeat an earlier place.
+
+    The same place of the same document can come twice (its row repeats, or parts of a
+    long text overlap); it counts once.
+    """
     order = np.lexsort((records["first"], records["twin"], records["doc"], records["run"], records["mark"]))
     records = records[order]
-    again = np.zeros(len(records), bool)
-    again[1:] = (records["mark"][1:] == records["mark"][:-1]) & (records["run"][1:] == records["run"][:-1])
-    return records, again
+    same = np.zeros(len(records), bool)
+    same[1:] = (records["mark"][1:] == records["mark"][:-1]) & (records["run"][1:] == records["run"][:-1])
+    place = same.copy()
+    for name in ("doc", "twin", "first"):
+        place[1:] &= records[name][1:] == records[name][:-1]
+    return records[~place], same[~place]
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
