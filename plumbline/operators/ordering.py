@@ -34,6 +34,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """Equi-join in which null keys meet; ``keys`` appear once, from the left."""
     named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    if how in ("left_semi", "left_anti"):
+        return left.join(named.select(*[f"__right_{k}" for k in keys]), on, how)
     return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.scores import is_finite
-from .ordering import wants_spread, wide_quantiles
+from .ordering import null_safe_join, wants_spread, wide_quantiles
 
 MIN_SPHERES = 4
 
@@ -107,9 +107,16 @@ def patch_geometry(atoms: DataFrame, requested: DataFrame, target: str = "target
                    buried_below: float = 1.0, flat_limit: float = 12.0, spread=None) -> DataFrame:
     """Area and shape of the named residues of every target.
 
-    ``atoms`` holds one prepared chain per target with an area per atom (sasa).
+    ``atoms`` holds one prepared chain per target with an area per atom (sasa). Residues are
+    matched on chain and insertion code too where both tables have them. Requested
+    residues that no atom belongs to are listed and reported as the ``problem``; a target
+    of which none is present has only that.
     """
-    named = atoms.join(requested.select(target, "residue_number").distinct(), [target, "residue_number"], "left_semi")
+    on = [target, "residue_number", *(c for c in ("chain", "icode") if c in atoms.columns and c in requested.columns)]
+    wanted = requested.select(*on).distinct()
+    named = null_safe_join(atoms, wanted, on, "left_semi")
+    absent = null_safe_join(wanted, atoms.select(*on).distinct(), on, "left_anti").groupBy(target).agg(
+        F.array_sort(F.collect_set("residue_number")).alias("absent_residue_numbers"))
     areas = named.groupBy(target, "residue_number").agg(F.sum("sasa").alias("area"))
     per_target = areas.groupBy(target).agg(
         F.count(F.lit(1)).alias("n_residues"), F.sum("area").alias("patch_area_A2"),
@@ -129,4 +136,7 @@ def patch_geometry(atoms: DataFrame, requested: DataFrame, target: str = "target
         G.planarity(F.get("sv", 2), F.col("n")).alias("planarity_A"),
         G.elongation(F.get("sv", 0), F.get("sv", 2)).alias("elongation"),
         "buried_residue_numbers", "total_chain_area_A2")
-    return out.withColumn("shape_warning", G.patch_shape_warning(F.col("planarity_A"), flat_limit))
+    out = out.withColumn("shape_warning", G.patch_shape_warning(F.col("planarity_A"), flat_limit))
+    missing = F.array_join(F.transform("absent_residue_numbers", lambda r: r.cast("string")), ", ")
+    return wanted.select(target).distinct().join(out, target, "left").join(absent, target, "left").withColumn(
+        "problem", F.concat(F.lit("requested residues not present: "), missing))

@@ -60,7 +60,8 @@ def measure_targets(targets: DataFrame, pockets: DataFrame, spheres: DataFrame,
         F.col("problem").alias("pocket_problem")), [key, "pocket_index"], "left")
     patch = shapes.patch_geometry(atoms, site).select(
         key, "patch_area_A2", "n_residues", F.col("elongation").alias("patch_elongation"),
-        F.col("planarity_A").alias("patch_planarity_A"), F.col("shape_warning").alias("patch_shape_warning"))
+        F.col("planarity_A").alias("patch_planarity_A"), F.col("shape_warning").alias("patch_shape_warning"),
+        F.col("problem").alias("patch_problem"))
     out = targets.select(key, "binding_mode").join(cavity, key, "left").join(patch, key, "left")
     if potentials is not None:
         out = out.join(potentials.select(key, "mean_potential"), key, "left")
@@ -70,6 +71,7 @@ def measure_targets(targets: DataFrame, pockets: DataFrame, spheres: DataFrame,
     problem = (
         F.when(pocket & (F.col("status") != "selected"), F.coalesce("warning", F.lit("no cavity selected")))
         .when(pocket, F.col("pocket_problem"))
+        .when(surface & F.col("patch_problem").isNotNull(), F.col("patch_problem"))
         .when(surface & (F.coalesce("patch_area_A2", F.lit(0.0)) == 0), "no measured patch"))
     return out.select(
         key, "binding_mode", "method", F.when(pocket, F.col("pocket_index")).alias("pocket_index"),

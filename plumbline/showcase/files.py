@@ -30,8 +30,10 @@ def csv_rows(spark, sf):
         "row", (F.col("row") % 8).alias("b"), F.coalesce("supplied_id", F.lit("")).alias(" ID "),
         F.regexp_replace("raw_sequence", "[\r\n]", " ").alias("Sequence"))
     path = fresh_path(spark, "csv")
-    raw.repartition("b").sortWithinPartitions("b", "row").select("b", " ID ", "Sequence").write.partitionBy("b").csv(
-        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Half of the files have another order of columns.
+    for part, order in (("b < 4", (" ID ", "Sequence")), ("b >= 4", ("Sequence", " ID "))):
+        raw.filter(part).repartition("b").sortWithinPartitions("b", "row").select("b", *order).write.mode("append").partitionBy("b").csv(
+            path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     out = sequences.read_sequences_csv(spark, path + "/b=*/")
     return out.select(bucket().alias("b"), "row", "sequence", "supplied_id")
 
@@ -82,7 +84,8 @@ def corpus_file(spark, sf):
         F.expr("""CASE doc_id % 6 WHEN 0 THEN substr(sequence, 1, 12) WHEN 1 THEN lower(translate(sequence, 'U', 'T')) WHEN 2 THEN repeat('ACGU', 7)
                   WHEN 3 THEN concat(sequence, 'X') ELSE sequence END""").alias("Sequence"), "target_name")
     path = fresh_path(spark, "corpus")
-    df.repartition("b").sortWithinPartitions("b", "row").drop("row").write.partitionBy("b").csv(path, header=True)
+    for part, order in (("b < 2", ("ID", "Sequence", "target_name")), ("b >= 2", ("target_name", "Sequence", "ID"))):
+        df.filter(part).repartition("b").sortWithinPartitions("b", "row").select("b", *order).write.mode("append").partitionBy("b").csv(path, header=True)
     return path
 
 

@@ -150,13 +150,16 @@ def _patch_atoms(spark, sf):
 
 
 def _patch_site(spark, sf):
-    return _patch_atoms(spark, sf).filter("residue_number % 3 = 0").select("target_id", "residue_number").distinct()
+    """Every third residue, and one behind the last that no atom belongs to."""
+    own = _patch_atoms(spark, sf)
+    beyond = own.groupBy("target_id").agg((F.max("residue_number") + 2).alias("residue_number"))
+    return own.filter("residue_number % 3 = 0").select("target_id", "residue_number").distinct().unionByName(beyond)
 
 
 def patches(spark, sf):
     out = shapes.patch_geometry(_patch_atoms(spark, sf), _patch_site(spark, sf), buried_below=30.0)
     return out.select(
-        "target_id", "n_residues", "n_atoms", F.round("patch_area_A2", 6).alias("patch_area"),
+        "target_id", "problem", "n_residues", "n_atoms", F.round("patch_area_A2", 6).alias("patch_area"),
         F.round("total_chain_area_A2", 6).alias("total_area"), F.round("planarity_A", 4).alias("planarity"),
         F.round("elongation", 4).alias("elongation"), "shape_warning",
         F.array_join(F.transform("buried_residue_numbers", lambda x: x.cast("string")), ",").alias("buried"),
@@ -329,8 +332,8 @@ QUERIES = {
         round(d, 4) AS d_pocket_A, round(list_max(ce), 4) AS d_pocket_centres_A, round(eq, 4) AS d_equiv_A, round(sv1 / sv3, 4) AS elongation, round(2 * sv3 / sqrt(n), 4) AS planarity_A FROM v"""),
     "d13_patch_geometry": (patches, f"""WITH {pca_sql(_PATCH, 'target_id')}, r AS (SELECT target_id, residue_number, sum(sasa) AS s FROM pts GROUP BY 1, 2),
         g AS (SELECT target_id, count(*) AS n_residues, round(sum(s), 6) AS patch_area, coalesce(string_agg(residue_number::VARCHAR, ',' ORDER BY residue_number) FILTER (s < 30), '') AS buried FROM r GROUP BY 1),
-        t AS (SELECT residue_number % 2 AS target_id, sum(sasa) AS total FROM v_atoms WHERE chain = 'B' GROUP BY 1)
-        SELECT pca.target_id, n_residues, pca.n AS n_atoms, patch_area, round(total, 6) AS total_area, round(2 * sv3 / sqrt(n), 4) AS planarity, round(sv1 / sv3, 4) AS elongation,
+        t AS (SELECT residue_number % 2 AS target_id, sum(sasa) AS total, max(residue_number) + 2 AS beyond FROM v_atoms WHERE chain = 'B' GROUP BY 1)
+        SELECT pca.target_id, 'requested residues not present: ' || beyond AS problem, n_residues, pca.n AS n_atoms, patch_area, round(total, 6) AS total_area, round(2 * sv3 / sqrt(n), 4) AS planarity, round(sv1 / sv3, 4) AS elongation,
         2 * sv3 / sqrt(n) > 12 AS shape_warning, buried, round(ce[1], 4) AS extent1, round(ce[2], 4) AS extent2, round(ce[3], 4) AS extent3
         FROM pca JOIN g ON g.target_id = pca.target_id JOIN t ON t.target_id = pca.target_id"""),
     "c17_grid_corners": (corner_potential, f"WITH {_CORNER.format(src='v_atoms')} SELECT atom_id, round(potential, 6) AS potential FROM ph"),

@@ -48,7 +48,10 @@ def running_sum(df: DataFrame, what, out: str, inclusive: bool = True) -> DataFr
 
 
 def first_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, head, n_lines) of the non-blank lines; partial aggregates only."""
+    """(file, head, n_lines) of the non-blank lines; partial aggregates only.
+
+    Where only the head is asked for, the count is pruned.
+    """
     lines = placed(spark.read.text(path)).filter(F.trim(F.col("value")) != "")
     return lines.groupBy("file").agg(
         F.min_by("value", F.struct("block", "pos")).alias("head"), F.count(F.lit(1)).alias("n_lines"))

@@ -20,18 +20,30 @@ def _strip(c):
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Commas outside quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_csv_strings(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """Every column a string, header names trimmed and lower-cased; with file and row.
+    """Every column a string, by its name in the header of its own file; with file and row.
 
-    The header is row 1. ``multiline`` accepts line breaks inside quotes, at the
-    price of files that cannot be split.
+    Files may differ in the order and choice of their columns: the result has all names,
+    null where a file lacks one. Header names are trimmed and lower-cased; the header is
+    row 1. ``multiline`` accepts line breaks inside quotes, at the price of files that
+    cannot be split.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline,
-                         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    names = {c: c.replace("﻿", "").strip().lower() for c in raw.columns}
-    numbered = number_rows(placed(raw), "__row")
-    return numbered.select("file", (F.col("__row") + 1).alias("row"),
-                           *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    clean = F.transform(F.split("head", _COMMA), lambda c: F.lower(_strip(F.regexp_replace(c, '^\ufeff?"?|"$', ""))))
+    heads = first_lines(spark, path).select(F.col("file").alias("__file"), clean.alias("__names"))
+    names = [r["n"] for r in heads.select(F.posexplode("__names").alias("i", "n")).groupBy("n").agg(F.min("i").alias("i")).orderBy("i", "n").collect()]
+    width = heads.agg(F.max(F.size("__names"))).first()[0] or 1
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(schema).csv(path, header=False, quote='"', escape='"', multiLine=multiline,
+                                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    numbered = number_rows(placed(raw), "row").filter(F.col("row") > 1)
+    values = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    place = lambda n: F.array_position("__names", n).cast("int")
+    return numbered.join(heads, F.col("file") == F.col("__file")).select(
+        "file", "row", *[F.when(place(n) > 0, F.get(values, place(n) - 1)).alias(n) for n in names])
 
 
 def read_sequences_csv(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
