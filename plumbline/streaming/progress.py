@@ -114,37 +114,63 @@ def drop_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 _FIELDS = [f.name for f in STATUS.fields]
 
+#: What one kind of event sets together; each keeps the seq of its latest event.
+_GROUPS = ("status", "stage", "progress", "unit", "artifact", "error", "started", "updated")
+_STATE = T.StructType([*STATUS.fields, *(T.StructField(f"seq_{g}", T.LongType()) for g in _GROUPS)])
+_STATE_FIELDS = [f.name for f in _STATE.fields]
+_ENDS = {"run_started": "running", "run_completed": "completed", "run_failed": "failed"}
 
-def _fold(state: dict, row) -> None:
-    """One event onto the state of its job."""
-    kind = row.event
-    state["updated_utc"], state["last_seq"] = row.created_utc, int(row.seq)
-
-    def number(v):
-        return None if pd.isna(v) else int(v)
-
-    if kind == "run_started":
-        state.update(status="running", started_utc=row.created_utc)
-    elif kind == "stage_started":
-        state.update(stage=row.stage, completed=0, total=number(row.total))
-    elif kind == "advance":
-        state.update(stage=row.stage, completed=number(row.completed), total=number(row.total), unit=row.unit)
-    elif kind == "stage_completed":
-        state["n_stages_completed"] += 1
-    elif kind == "warning":
-        state["n_warnings"] += 1
-    elif kind == "run_completed":
-        state.update(status="completed", stage=None, artifact_path=row.artifact_path,
-                     artifact_sha256=row.artifact_sha256)
-    elif kind == "run_failed":
-        state.update(status="failed", error_code=row.code, error_message=row.message)
+
+def _number(v):
+    return None if pd.isna(v) else int(v)
+
+
+def _text(v):
+    return None if pd.isna(v) else v
+
+
+def _fold(state: dict, rows: pd.DataFrame) -> None:
+    """One batch of new events onto the state of its job, whatever their order.
+
+    As in the batch twin every field follows its own latest event, so an event that
+    arrives late changes what later ones have not set.
+    """
+    def latest(group, *kinds):
+        some = rows[rows["event"].isin(kinds)] if kinds else rows
+        if not len(some):
+            return None
+        row = some.loc[some["seq"].idxmax()]
+        if int(row["seq"]) <= state[f"seq_{group}"]:
+            return None
+        state[f"seq_{group}"] = int(row["seq"])
+        return row
+
+    if (r := latest("status", *_ENDS)) is not None:
+        state["status"] = _ENDS[r["event"]]
+    if (r := latest("stage", "stage_started", "advance", "run_completed")) is not None:
+        state["stage"] = None if r["event"] == "run_completed" else _text(r["stage"])
+    if (r := latest("progress", "stage_started", "advance")) is not None:
+        state["completed"] = 0 if r["event"] == "stage_started" else _number(r["completed"])
+        state["total"] = _number(r["total"])
+    if (r := latest("unit", "advance")) is not None:
+        state["unit"] = _text(r["unit"])
+    if (r := latest("artifact", "run_completed")) is not None:
+        state["artifact_path"], state["artifact_sha256"] = _text(r["artifact_path"]), _text(r["artifact_sha256"])
+    if (r := latest("error", "run_failed")) is not None:
+        state["error_code"], state["error_message"] = _text(r["code"]), _text(r["message"])
+    if (r := latest("started", "run_started")) is not None:
+        state["started_utc"] = r["created_utc"]
+    if (r := latest("updated")) is not None:
+        state["updated_utc"], state["last_seq"] = r["created_utc"], int(r["seq"])
+    state["n_warnings"] += int((rows["event"] == "warning").sum())
+    state["n_stages_completed"] += int((rows["event"] == "stage_completed").sum())
 
 
 def _follow(key, batches, state):
     if state.hasTimedOut:
         # A silent job keeps its state and may go on; a finished one is forgotten, and
         # lines older than the watermark can no longer bring it back.
-        current = dict(zip(_FIELDS, state.get))
+        current = dict(zip(_STATE_FIELDS, state.get))
         if current["status"] in ("pending", "running"):
             current["status"] = "stalled"
             yield pd.DataFrame([current], columns=_FIELDS)
@@ -152,33 +178,35 @@ def _follow(key, batches, state):
             state.remove()
         return
     if state.exists:
-        current = dict(zip(_FIELDS, state.get))
+        current = dict(zip(_STATE_FIELDS, state.get))
     else:
-        current = dict.fromkeys(_FIELDS)
-        current.update(job_id=key[0], status="pending", n_warnings=0, n_stages_completed=0, last_seq=-1)
-    # The whole trigger is put in order first; what was already folded is not folded again.
-    rows = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values("seq", kind="stable")
-    for row in rows[rows["seq"] > current["last_seq"]].drop_duplicates("seq").itertuples(index=False):
-        _fold(current, row)
-    state.update(tuple(current[f] for f in _FIELDS))
+        current = dict.fromkeys(_STATE_FIELDS)
+        current.update(job_id=key[0], status="pending", n_warnings=0, n_stages_completed=0, last_seq=-1,
+                       **{f"seq_{g}": -1 for g in _GROUPS})
+    for batch in batches:  # a job's trigger comes in pieces; none needs the others
+        if len(batch):
+            _fold(current, batch)
+    state.update(tuple(current[f] for f in _STATE_FIELDS))
     if current["updated_utc"] is not None:
         due = int(current["updated_utc"].timestamp() * 1000) + TIMEOUT_S * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([current], columns=_FIELDS)
 
 
-def run_status_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def run_status_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same status per job as a stream of updates, with stalls by event time.
 
-    State is one small row per job, and remembers the last sequence number, so lines
-    that repeat or come late change nothing. ``events`` comes from
-    ``stream_progress_events``.
+    State is one small row per job. Repeated lines are dropped within the watermark, and
+    a late line sets only what no later one has set, so triggers may cut and mix the log
+    in any way. A job is reported as stalled once the watermark is ``TIMEOUT_S`` behind
+    its last event: with ``delay`` the watermark itself lags, so choose it as small as
+    late lines allow. ``events`` comes from ``stream_progress_events``.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ready = _with_optional(events).select(
         F.col("job_id").cast("string").alias("job_id"), F.col("seq").cast("long").alias("seq"), "created_utc", "event",
         "stage", F.col("completed").cast("long").alias("completed"), F.col("total").cast("long").alias("total"),
-        "unit", "message", "code", "artifact_path", "artifact_sha256").withWatermark("created_utc", delay)
+        "unit", "message", "code", "artifact_path", "artifact_sha256").withWatermark("created_utc", delay).dropDuplicatesWithinWatermark(["job_id", "seq"])
     return ready.groupBy("job_id").applyInPandasWithState(
-        _follow, STATUS, STATUS, "update", GroupStateTimeout.EventTimeTimeout)
+        _follow, STATUS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
