@@ -10,7 +10,8 @@ junction (zero length included), f and t the unpaired ends.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,36 +175,41 @@ def _graph_rg(parts: pd.Series) -> pd.Series:
     An entry lists (stem, left, right, mass, extent, rg). Distances run from centre
     to centre along the fewest elements; among equal hops the shortest counts.
     """
-    out = np.zeros(len(parts))
-    for row, items in enumerate(parts):
-        items = list(items)
-        n = len(items)
-        mass = np.array([e["mass"] for e in items], dtype=float)
-        half = np.array([e["extent"] for e in items], dtype=float) / 2
-        own = np.array([e["rg"] for e in items], dtype=float)
-        at = {e["stem"]: x for x, e in enumerate(items) if e["stem"] is not None}
-        link = np.zeros((n, n), dtype=bool)
-        for x, e in enumerate(items):
-            for s in (e["left"], e["right"]):
-                if s is not None and s in at:
-                    link[x, at[s]] = link[at[s], x] = True
-        hop = half[:, None] + half[None, :]
-        dist = np.full((n, n), np.inf)
-        np.fill_diagonal(dist, 0.0)
-        seen = np.eye(n, dtype=bool)
-        ring = seen.copy()
-        while ring.any():
-            # Extend every frontier by one element at once; min over the predecessors.
-            step = np.where(ring[:, :, None] & link[None, :, :], dist[:, :, None] + hop[None, :, :], np.inf).min(axis=1)
-            ring = np.isfinite(step) & ~seen
-            dist[ring] = step[ring]
-            seen |= ring
-        dist[~np.isfinite(dist)] = 0.0
-        total = mass.sum()
-        if total > 0:
-            spread = (mass[:, None] * mass[None, :] * dist * dist).sum()
-            out[row] = np.sqrt(spread / (2 * total * total) + (mass * own * own).sum() / total)
-    return pd.Series(out)
+    return pd.Series([_element_graph_rg(list(items)) for items in parts], dtype=float)
+
+
+def _element_graph_rg(items: list) -> float:
+    """One breadth-first pass from each element, over lists of neighbours: elements times links."""
+    total = float(sum(e["mass"] for e in items))
+    if total <= 0:
+        return 0.0
+    at = {e["stem"]: x for x, e in enumerate(items) if e["stem"] is not None}
+    near: list[set[int]] = [set() for _ in items]
+    for x, e in enumerate(items):
+        for s in (e["left"], e["right"]):
+            if s is not None and s in at and at[s] != x:
+                near[x].add(at[s])
+                near[at[s]].add(x)
+    half = [e["extent"] / 2 for e in items]
+    mass = [e["mass"] for e in items]
+    spread = 0.0
+    for start in range(len(items)):
+        known, ring = {start}, {start: 0.0}
+        moment = 0.0
+        while ring:
+            step: dict[int, float] = {}
+            for x, far in ring.items():
+                for y in near[x]:
+                    if y not in known:
+                        reach = far + half[x] + half[y]
+                        if y not in step or reach < step[y]:
+                            step[y] = reach
+            known.update(step)
+            moment += sum(mass[y] * far * far for y, far in step.items())
+            ring = step
+        spread += mass[start] * moment
+    own = sum(e["mass"] * e["rg"] * e["rg"] for e in items)
+    return math.sqrt(spread / (2 * total * total) + own / total)
 
 
 def _parts(a_per_nt: float, a_per_bp: float):

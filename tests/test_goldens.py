@@ -202,3 +202,13 @@ def test_nan_becomes_null(spark):
 
 def test_preview(spark):
     assert one(spark, sequences.truncate_preview(F.lit(" " + "A" * 61))) == "A" * 59 + "…"
+
+
+def test_long_structures_have_a_size(spark):
+    from plumbline.operators import structure
+
+    hairpin = "(((....)))."
+    df = spark.createDataFrame([("long", hairpin * 454), ("one", hairpin)], "candidate_id string, dot_bracket string")
+    got = {r["candidate_id"]: r["radius_of_gyration_A"] for r in structure.radius_of_gyration(
+        structure.elements(df, "candidate_id", "dot_bracket")).collect()}
+    assert len(hairpin * 454) > 4990 and 0 < got["one"] < got["long"]
