@@ -57,10 +57,10 @@ def random_rows(spark, sf):
 def all_groups(spark, sf):
     ref = view(spark, sf, "v_reference").select("candidate_id", "sequence")
     seqs = view(spark, sf, "v_seq")
-    rnd = seqs.filter("doc_id % 5 = 0").select("candidate_id", F.reverse("sequence").alias("sequence"))
+    rnd = seqs.select("candidate_id", F.reverse("sequence").alias("sequence"))
     shf = ref.select(F.concat(F.lit("shuf_"), "candidate_id").alias("candidate_id"),
                      F.concat(F.lit("A"), "sequence").alias("sequence"), F.col("candidate_id").alias("source_id"))
-    gen = seqs.filter("doc_id % 3 = 0").select("candidate_id", "sequence")
+    gen = seqs.select("candidate_id", "sequence")
     out, _dropped = groups.build_groups(ref, rnd, shf, gen)
     return out.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("with_source"),
                                     F.min("sequence").alias("first"))
@@ -191,7 +191,7 @@ def _e1(spark, sf):
     ref = view(spark, sf, "v_reference").withColumn("target_name", F.concat("target_name", F.lit("-"), (F.col("doc_id") % 4).cast("string")))
     shuf = view(spark, sf, "v_controls").filter("shuffle_index = 1").withColumn("source_id", F.col("candidate_id"))
     rnd = f.join(ref.select("candidate_id"), "candidate_id", "left_anti")
-    gen = f.filter("doc_id % 11 = 0")
+    gen = f
     return ref, shuf, rnd, gen, _STRUCT, 5, 42
 
 
@@ -209,7 +209,7 @@ def discrimination(spark, sf):
 
 def pass_rates(spark, sf):
     f = view(spark, sf, "v_features").join(view(spark, sf, "v_seq").select("candidate_id", F.col("lang").alias("group")), "candidate_id")
-    out = evaluate.control_pass_rates(f, view(spark, sf, "v_controls"), view(spark, sf, "v_reference"), _STRUCT, n_per_group=100)
+    out = evaluate.control_pass_rates(f, view(spark, sf, "v_controls"), view(spark, sf, "v_reference"), _STRUCT)
     return _r(out, "pass_rate", "ci_low", "ci_high", "median_p_value", digits=9)
 
 
@@ -312,7 +312,7 @@ sz AS (SELECT fold, count(*) AS n FROM folded GROUP BY 1),
 rnd AS (SELECT * FROM (SELECT f.*, sz.fold, sz.n, row_number() OVER (PARTITION BY sz.fold ORDER BY ('0x' || substr(sha256('42|random|' || sz.fold || '|' || candidate_id), 1, 8))::BIGINT, candidate_id) AS k
   FROM v_features f CROSS JOIN sz WHERE candidate_id NOT IN (SELECT candidate_id FROM v_reference)) WHERE k <= n),
 cd AS (SELECT 'validated' AS grp, candidate_id, fold, {c} FROM folded UNION ALL SELECT 'shuffled', c.candidate_id, folded.fold, {cc} FROM v_controls c JOIN folded ON folded.candidate_id = c.candidate_id WHERE c.shuffle_index = 1
-  UNION ALL SELECT 'random', candidate_id, fold, {c} FROM rnd UNION ALL SELECT 'generated', candidate_id, NULL, {c} FROM v_features WHERE doc_id % 11 = 0),
+  UNION ALL SELECT 'random', candidate_id, fold, {c} FROM rnd UNION ALL SELECT 'generated', candidate_id, NULL, {c} FROM v_features),
 pc AS (SELECT cd.grp, cd.candidate_id, cd.fold, {p} FROM cd JOIN folded t ON cd.fold IS NULL OR t.fold <> cd.fold WHERE cd.fold IS NULL OR cd.fold IN (SELECT fold FROM ok) GROUP BY ALL),
 e1 AS (SELECT grp, candidate_id, fold, {m} AS s FROM pc)""".format(
     c=", ".join(c.name for c in _STRUCT), cc=", ".join(f"c.{c.name}" for c in _STRUCT),
@@ -353,8 +353,7 @@ SELECT target_id, count(*) AS n, """ + ", ".join(
 
 def _outcome_groups_sql() -> str:
     from .controls import _outcome_sql
-    return f"""WITH {_outcome_sql()}, m AS (SELECT s.lang AS "group", o.* FROM (SELECT candidate_id, lang, row_number() OVER (PARTITION BY lang
-    ORDER BY ('0x' || substr(sha256('42|sample|' || candidate_id), 1, 8))::BIGINT, candidate_id) AS k FROM v_seq) s JOIN outcome o ON o.candidate_id = s.candidate_id WHERE s.k <= 100),
+    return f"""WITH {_outcome_sql()}, m AS (SELECT s.lang AS "group", o.* FROM v_seq s JOIN outcome o ON o.candidate_id = s.candidate_id),
 g AS (SELECT "group", count(*) AS n, avg(shuffle_pass::INT) AS p, median(shuffle_p_value) AS med FROM m GROUP BY 1),
 w AS (SELECT *, (p + 1.9208::DOUBLE / n) / (1 + 3.8416::DOUBLE / n) AS c, 1.96::DOUBLE * sqrt(p * (1 - p) / n + 0.9604::DOUBLE / (n * n)) / (1 + 3.8416::DOUBLE / n) AS d FROM g)
 SELECT "group", n, round(p, 9) AS pass_rate, round(greatest(0, c - d), 9)::DOUBLE AS ci_low, round(least(1, c + d), 9)::DOUBLE AS ci_high, round(med, 9) AS median_p_value FROM w"""
@@ -389,8 +388,8 @@ QUERIES = {
         p AS (SELECT i, p, ('0x' || substr(md5('letter|42|' || i || '|' || p), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u, a, c, g, t FROM (SELECT *, unnest(range(1, length + 1)) AS p FROM w))
         SELECT 'rand' || lpad(i::VARCHAR, 5, '0') AS candidate_id, string_agg(CASE WHEN u < a / t THEN 'A' WHEN u < a / t + c / t THEN 'C' WHEN u < a / t + c / t + g / t THEN 'G' ELSE 'U' END, '' ORDER BY p) AS sequence,
           'random' AS "group" FROM p GROUP BY i"""),
-    "f1_build_groups": (all_groups, """WITH g AS (SELECT 'validated' AS grp, sequence, NULL AS src FROM v_reference UNION ALL SELECT 'random', reverse(sequence), NULL FROM v_seq WHERE doc_id % 5 = 0
-        UNION ALL SELECT 'shuffled', 'A' || sequence, candidate_id FROM v_reference UNION ALL SELECT 'generated', sequence, NULL FROM v_seq WHERE doc_id % 3 = 0 AND sequence NOT IN (SELECT sequence FROM v_reference))
+    "f1_build_groups": (all_groups, """WITH g AS (SELECT 'validated' AS grp, sequence, NULL AS src FROM v_reference UNION ALL SELECT 'random', reverse(sequence), NULL FROM v_seq
+        UNION ALL SELECT 'shuffled', 'A' || sequence, candidate_id FROM v_reference UNION ALL SELECT 'generated', sequence, NULL FROM v_seq WHERE sequence NOT IN (SELECT sequence FROM v_reference))
         SELECT grp AS "group", count(*) AS n, count(src) AS with_source, min(sequence) AS first FROM g GROUP BY 1"""),
     "f7_target_folds": (folds, f"WITH {fold_sql(3)} SELECT candidate_id, target_key, 'target_name' AS grouping, fold FROM folded"),
     "f7_folds_without_labels": (folds_unlabelled, f"WITH {fold_sql(4, unit='candidate_id')} SELECT candidate_id, '__unlabelled__' AS target_key, 'sequence (no target labels available)' AS grouping, fold FROM folded"),

@@ -65,7 +65,7 @@ FROM v_fold f CROSS JOIN (SELECT p_partkey FROM {part} WHERE p_partkey BETWEEN 1
     "v_samples": """
 SELECT a.candidate_id, n.p_partkey AS sample_index, b.dot_bracket
 FROM v_fold a CROSS JOIN (SELECT p_partkey FROM {part} WHERE p_partkey BETWEEN 1 AND 9) n
-JOIN v_fold b ON b.doc_id = (a.doc_id * 7 + n.p_partkey * 13) % 150""",
+JOIN v_fold b ON b.doc_id = (a.doc_id * 7 + n.p_partkey * 13) % (SELECT count(*) FROM {documents})""",
     "v_bank": """
 SELECT concat('bank', CAST(p_partkey AS STRING)) AS control_id, CAST(p_partkey % 26 AS DOUBLE) AS loop_nt_median,
   CAST(20 + p_partkey % 81 AS DOUBLE) AS length, 8 + CAST(p_partkey % 320 AS DOUBLE) / 10 AS rg_median_A FROM {part}""",
