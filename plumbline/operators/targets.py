@@ -105,36 +105,55 @@ def band_thresholds(distribution: DataFrame, params: Comparison = Comparison(),
     return q.withColumn("units", F.when(F.col("binding_mode") == POCKET, "A").otherwise("A^2"))
 
 
-def bank_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison = Comparison(),
-                     max_values: int = 1_000_000) -> DataFrame:
-    """Same numbers as ``control_percentile`` without pairing bank and targets.
+def calibrated(compared: DataFrame, bank: DataFrame, targets: DataFrame, params: Comparison = Comparison(),
+               id_cols=("candidate_id",), max_values: int = 1_000_000) -> DataFrame:
+    """Control percentiles for a bank of any size.
 
-    Per mode the bank is one sorted array of reaches (or areas); the controls that
-    fit worse than a candidate lie outside an interval around the target value, so
-    two binary searches per pair replace a distribution per target. The array is
-    broadcast behind a size check.
+    Up to ``max_values`` distinct controls travel to the rows; beyond that each target's
+    distribution is looked up by a join.
     """
-    probe = bank.select(
-        *[F.col(c).cast("double").alias(c) for c in ("loop_nt_median", "length", "rg_median_A")])
-    if not runtime.fits_broadcast(probe, max_values):
-        raise ValueError("the control bank is too large to broadcast; use control_percentile")
-    sized = {}
+    sizes = bank_sizes(bank, params)
+    if runtime.fits_broadcast(sizes, max_values):
+        return bank_percentiles(compared, bank, params, sizes)
+    asked = targets.join(compared.select("target_id").distinct(), "target_id", "left_semi")
+    dist = target_distribution(bank, asked, params)
+    scored = control_percentile(compared, dist, id_cols=id_cols)
+    return control_percentile(scored, dist, "disagreement_extended", "control_percentile_extended", id_cols)
+
+
+def bank_sizes(bank: DataFrame, params: Comparison = Comparison()) -> DataFrame:
+    """(kind, value, n): distinct reaches and areas of the usable controls."""
     area = "length" if params.footprint_model == "length" else "rg_median_A"
+    probe = bank.select(*[F.col(c).cast("double").alias(c) for c in ("loop_nt_median", "length", "rg_median_A")])
     exprs = {
         "flexible": G.loop_reach(F.col("loop_nt_median"), params.a_per_nt, params.flex_c),
         "extended": G.loop_reach(F.col("loop_nt_median"), params.a_per_nt, extended=True),
         "surface": (G.footprint_from_length(F.col(area), params.a_per_nt, params.footprint_scale)
                     if area == "length" else G.footprint_from_radius(F.col(area), params.footprint_scale)),
     }
-    pdf = probe.select(
-        *[F.when(A.is_evaluable(F.col("loop_nt_median" if k != "surface" else area)), e).alias(k)
-          for k, e in exprs.items()]).toArrow().to_pandas()
-    for k in exprs:
-        sized[k] = np.sort(pdf[k].dropna().to_numpy(dtype=float))
+    sized = probe.select(*[F.when(A.is_evaluable(F.col("loop_nt_median" if k != "surface" else area)), e).cast("double").alias(k)
+                           for k, e in exprs.items()])
+    return sized.unpivot([], list(exprs), "kind", "value").filter(F.col("value").isNotNull()).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def bank_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison = Comparison(), sizes: DataFrame | None = None) -> DataFrame:
+    """Same numbers as ``control_percentile`` without pairing bank and targets.
+
+    Per mode the bank is one sorted array of reaches (or areas) with counts; the controls
+    that fit worse than a candidate lie outside an interval around the target value, so
+    two binary searches per pair replace a distribution per target. ``calibrated`` checks
+    the size first.
+    """
+    pdf = (bank_sizes(bank, params) if sizes is None else sizes).toArrow().to_pandas().sort_values("value", kind="stable")
+    sized = {}
+    for k in ("flexible", "extended", "surface"):
+        part = pdf[pdf["kind"] == k]
+        sized[k] = part["value"].to_numpy(dtype=float), np.r_[0, np.cumsum(part["n"].to_numpy(dtype=np.int64))]
     shared = compared.sparkSession.sparkContext.broadcast(sized)
     primary = params.primary
 
-    def worse(values, centre, gap):
+    def worse(values, below, centre, gap):
         # |value - centre| falls, then rises along the sorted values: search each side
         # on the computed distance, so ties compare the very same doubles.
         n = values.size
@@ -155,9 +174,10 @@ def bank_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison =
             return lo
 
         zero, full = np.zeros_like(split), np.full_like(split, n)
-        greater = edge(zero, split, False, True) + (n - edge(split, full, True, True))
-        at_least = edge(zero, split, False, False) + (n - edge(split, full, True, False))
-        return (greater + 0.5 * (at_least - greater)) / n
+        total = below[-1]
+        greater = below[edge(zero, split, False, True)] + (total - below[edge(split, full, True, True)])
+        at_least = below[edge(zero, split, False, False)] + (total - below[edge(split, full, True, False)])
+        return (greater + 0.5 * (at_least - greater)) / total
 
     schema = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("x", T.DoubleType())])
 
@@ -168,11 +188,11 @@ def bank_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison =
                 (primary, (mode == "pocket") & gap.notna(), gap, d, "p"),
                 ("surface", (mode != "pocket") & gap.notna(), gap, a, "p"),
                 ("extended", (mode == "pocket") & gap_x.notna(), gap_x, d, "x")):
-            values = shared.value[name]
+            values, below = shared.value[name]
             if rows.any():
                 if values.size == 0:
                     raise ValueError("no control produced a usable measurement for this mode")
-                out.loc[rows, col] = worse(values, centre[rows].to_numpy(float), g[rows].to_numpy(float))
+                out.loc[rows, col] = worse(values, below, centre[rows].to_numpy(float), g[rows].to_numpy(float))
         return out
 
     scored = compared.withColumn("__w", percentiles(
