@@ -71,15 +71,10 @@ def empirical_cdf(spark, sf):
 
 def empirical_cdf_shuffled(spark, sf):
     """The same numbers through the plan for references too big to broadcast."""
-    line = view(spark, sf, "v_line").withColumn("row_id", F.monotonically_increasing_id())
     rows = view(spark, sf, "v_line")
     cols = [c.name for c in LINE_CRITERIA]
-    distinct = rows.select("candidate_id", *cols).dropDuplicates(["candidate_id"])
-    del line
     compact = percentile.compact_reference(rows.filter("is_reference"), cols)
-    keyed = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "candidate_id", F.concat_ws("|", *cols))
-    del distinct
+    keyed = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     out = percentile.with_percentiles(keyed, compact, cols, max_values=0)
     return out.agg(F.sum("n").alias("n_rows"),
                    *[F.round(F.sum(F.col("n") * F.col(f"p__{c}")), 4).alias(f"sum_{c}") for c in cols])
