@@ -61,11 +61,21 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where the same rows feed several branches that must agree even when an
-    executor is lost and a stage is recomputed.
+    executor is lost and a stage is recomputed. ``discard`` deletes what was written,
+    once nothing that is still to run reads it.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``cut_lineage`` result."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_large(df: DataFrame, rows: int = ROWS_PER_TASK) -> bool:
