@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, discard
 from .columns import slices, text_bytes
 from .components import components
 from .packing import CHUNK, Hashes, by_bucket, dealt, mix, pack
@@ -272,7 +272,7 @@ def _link_blocks(percent: int):
 
 def _links(packed: DataFrame, to: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) found in the blocks that ``to`` (doc, blocks) sends the documents to."""
-    sets = packed.join(to, "doc").mapInArrow(_sets(words), "block string, doc long, grams binary")
+    sets = packed.join(to.hint("merge"), "doc").mapInArrow(_sets(words), "block string, doc long, grams binary")
     return sets.repartition("block").sortWithinPartitions("block").mapInArrow(_link_blocks(percent), "a long, b long")
 
 
@@ -287,13 +287,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     gives an empty table; further columns are ignored.
     """
     spark = df.sparkSession
-    buckets = max(4096, 64 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(512, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sketch = cut_lineage(texts.mapInArrow(_sketch(words, percent), "key long, n long, s1 long, s2 long, keys binary"), "sketch")
-    taking = sketch.filter("n > 0 AND key IS NOT NULL")
-    classes = cut_lineage(taking.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), F.min_by("keys", "key").alias("keys")), "classes")
-    dealt_keys = classes.select(F.col("doc").alias("key"), "keys").mapInArrow(_pack_keys(buckets), "bucket int, kind int, records binary")
-    ties = dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long")
+    with_keys = cut_lineage(sketch.filter("n > 0 AND key IS NOT NULL").groupBy("n", "s1", "s2").agg(
+        F.min("key").alias("doc"), F.min_by("keys", "key").alias("keys")), "classes")
+    # The keys are most of what was written, and done with as soon as they are dealt.
+    members = cut_lineage(sketch.drop("keys"), "members")
+    discard(sketch)
+    taking = members.filter("n > 0 AND key IS NOT NULL")
+    dealt_keys = with_keys.select(F.col("doc").alias("key"), "keys").mapInArrow(_pack_keys(buckets), "bucket int, kind int, records binary")
+    ties = cut_lineage(dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long"), "ties")
+    classes = cut_lineage(with_keys.drop("keys"), "sets")
+    discard(with_keys)
     families = cut_lineage(components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
                            .join(classes.groupBy("doc").agg(F.sum("n").alias("n")), "doc"), "families")
 
@@ -323,13 +329,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         to = place.select("doc", F.when(F.col("part") == F.col("main"), all_docs).otherwise(F.array_union(all_docs, strays)).alias("blocks"))
         links = cut_lineage(links.unionByName(_links(packed, to, words, percent)), "links")
         joined = components(links)
-    of_class = classes.drop("keys").join(joined, F.col("doc") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "doc").alias("component"))
+    of_class = classes.join(joined, F.col("doc") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "doc").alias("component"))
     # One key with several texts ties the components of its classes together.
     member = taking.select("key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"]).select("key", "component")
-    of_key = member.groupBy("key").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    of_key = cut_lineage(member.groupBy("key").agg(F.min("component").alias("component"), F.max("component").alias("other")), "components")
     several = of_key.filter("component <> other")
     if not several.isEmpty():
         joined = components(member.select(F.col("key").alias("a"), F.col("component").alias("b")))
         of_key = of_key.join(joined, F.col("key") == F.col("id"), "left").select("key", F.coalesce(joined["component"], of_key["component"]).alias("component"))
-    return sketch.select("key", "n").join(of_key.select("key", "component"), "key", "left").select(
+    return members.select("key", "n").join(of_key.select("key", "component"), "key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
