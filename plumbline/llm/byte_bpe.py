@@ -21,22 +21,36 @@ that holds back at most three bytes.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import slices
+
 ROOT, START = 0, -1
 
+#: Text that is encoded at a time.
+BATCH_BYTES = 4 << 20
+
 #: A prefix with at most so many longer tokens is followed only if one of them fits.
 FEW = 12
 
 #: States and memorised pieces of one Python worker; beyond them it starts anew.
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 160_000
+MAX_PIECES = 300_000
+MAX_PAIRS = 250_000
+
+#: Marks a word at the start of a line.
+APART = "\0"
+
+#: Symbols that often follow a word, and a word that is one run of letters whatever the version of Unicode.
+MARKS = ".,;:!?*$%&#|"
+LETTERS = re.compile(r"\0?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +68,7 @@ class Vocabulary:
         self.token_at: list[int] = [START]
         self.inner: list[bool] = [False]
         self.depth: list[int] = [0]
-        self.below: list[list[int]] = [[]]
+        self.below: list[tuple[int, ...]] = [()]
         for token, rank in ranks.items():
             node = ROOT
             for byte in token:
@@ -65,10 +79,10 @@ class Vocabulary:
                     self.token_at.append(START)
                     self.inner.append(False)
                     self.depth.append(self.depth[node] + 1)
-                    self.below.append([])
+                    self.below.append(())
                     self.inner[node] = True
                 if len(self.below[node]) <= FEW:
-                    self.below[node].append(rank)
+                    self.below[node] += (rank,)
                 node = below
             self.token_at[node] = rank
         self._spines: dict[int, tuple[list, list] | None] = {}
@@ -116,7 +130,7 @@ class Vocabulary:
         known = self._fits.get(key)
         if known is not None:
             return known
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > MAX_PAIRS:
             self._fits.clear()
         self._fits[key] = fit = self._fit(before, rank)
         return fit
@@ -158,27 +172,26 @@ class Encoder:
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self._restart()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _restart(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state((ROOT, START))
+        self.number: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        self.moves: dict[int, int] = {}  # state and byte -> last token and next state
+        self.start = self._state(array("i", (ROOT, START)).tobytes())
 
-    def _state(self, items: tuple) -> int:
+    def _state(self, items: bytes) -> int:
         number = self.number.get(items)
         if number is None:
             number = self.number[items] = len(self.states)
             self.states.append(items)
-            self.steps.append({})
         return number
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
+    def _step(self, state: int, byte: int) -> int:
         """Make the transition that no text has needed so far: the last token of the longer text, and the next state."""
         v = self.vocabulary
-        items, alive, last = self.states[state], [], START
+        items, alive, last = array("i", self.states[state]), array("i"), START
         for at in range(0, len(items), 2):
             before = items[at + 1]
             below = v.edges.get(items[at] << 8 | byte)
@@ -188,49 +201,48 @@ class Encoder:
             if rank != START and last == START and v.fits(before, rank):
                 last = rank
             if v.inner[below] and v.may_fit(before, below):
-                alive += (below, before)
+                alive.extend((below, before))
         if last == START:
             raise ValueError(f"no token for byte {byte}; the ranks must hold every byte")
-        made = self.steps[state][byte] = (last, self._state((*alive, ROOT, last)))
+        alive.extend((ROOT, last))
+        made = self.moves[state << 8 | byte] = last << 32 | self._state(alive.tobytes())
         return made
 
-    def _settled(self, state: int, lasts: list[int], base: int) -> int:
+    def _settled(self, state: int, lasts: list[int]) -> int:
         """Up to which byte all ways on agree: their chains of tokens have met there."""
-        items, at = self.states[state], set()
-        for k in range(0, len(items), 2):
-            at.add(len(lasts) - self.vocabulary.depth[items[k]])
+        items = array("i", self.states[state])
+        at = {len(lasts) - self.vocabulary.depth[items[k]] for k in range(0, len(items), 2)}
         while len(at) > 1:
             far = max(at)
             at.remove(far)
-            at.add(far - self.length[lasts[far - 1]] if far > base else base)
+            at.add(max(0, far - self.length[lasts[far - 1]]))
         return at.pop()
 
-    def piece(self, piece: bytes) -> tuple[int, ...]:
+    def piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         whole = self.vocabulary.ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) > self.max_states:
             self._restart()
         out: list[int] = []
         lasts: list[int] = []
-        state, steps = self.start, self.steps
+        state, moves = self.start, self.moves
         for byte in piece:
-            move = steps[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 if len(self.states) > 2 * self.max_states:  # one endless match
                     kept = self.states[state]
                     self._restart()
-                    state, steps = self._state(kept), self.steps
+                    state, moves = self._state(kept), self.moves
                 move = self._step(state, byte)
-            lasts.append(move[0])
-            state = move[1]
+            lasts.append(move >> 32)
+            state = move & 0xFFFFFFFF
             if len(lasts) > 4096:  # write what is settled: memory stays bounded by the lookahead
-                settled = self._settled(state, lasts, 0)
+                settled = self._settled(state, lasts)
                 out += self._back(lasts, settled)
                 del lasts[:settled]
-        out += self._back(lasts, len(lasts))
-        return tuple(out)
+        return out + self._back(lasts, len(lasts))
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         out = []
@@ -240,45 +252,57 @@ class Encoder:
         out.reverse()
         return out
 
-    def _matches(self, text: str) -> tuple[int, ...]:
+    def _matches(self, text: str) -> bytes:
         known, out = self.pieces, []
         for match in self.pattern.findall(text):
             ids = known.get(match)
             if ids is None:
-                ids = self.piece(match.encode())
+                ids = array("i", self.piece(match.encode())).tobytes()
                 if len(match) < 64:
                     known[match] = ids
             out.append(ids)
-        return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between two lone spaces; APART in front: at the start of a line, without the space."""
+        known = self.words
+        stem = word.rstrip(MARKS)
+        if LETTERS(stem):
+            ids = known.get(stem)
+            if ids is None:
+                ids = array("i", self.piece((stem[1:] if stem[0] == APART else " " + stem).encode())).tobytes()
+                if len(stem) < 64:
+                    known[stem] = ids
+            if stem != word:
+                ids += self._matches(word[len(stem):])
+        else:
+            ids = self._matches(word[1:] if word[0] == APART else " " + word)
+        return ids
 
-    def encode(self, text: str) -> Iterable[int]:
-        """Ids of a whole text.
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers.
 
         No match reaches over a space or line feed that stands alone between two other
         characters (a match only takes one space in front), so the text can be cut
-        there and equal cuts need one walk.
+        there, and equal cuts need one walk. Behind a run of letters a match ends too.
         """
         if not text:
-            return ()
-        for memory in (self.spaced, self.pieces):
+            return b""
+        for memory in (self.words, self.pieces):
             if len(memory) > self.max_pieces:
                 memory.clear()
-        if text.replace("\n", " ").split(" ") != text.split():  # white space side by side, at an end, or of another kind
+        if text.replace("\n", " ").split(" ") != text.split() or APART in text:  # white space side by side, at an end, or of another kind
             return self._matches(text)
-        spaced, out = self.spaced, []
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                out.append(self._matches("\n"))
-            words = line.split(" ")
-            out.append(self._matches(words[0]))
-            for word in words[1:]:
-                ids = spaced.get(word)
-                if ids is None:
-                    ids = self._matches(" " + word)
-                    if len(word) < 64:
-                        spaced[word] = ids
-                out.append(ids)
-        return chain.from_iterable(out)
+        words = (APART + text).replace("\n", f" \n {APART}").split(" ")
+        known = self.words
+        if "\n" not in known:
+            known["\n"] = self._matches("\n")
+        long = {}
+        for word in set(words).difference(known):
+            (known if len(word) < 64 else long)[word] = self._word(word)
+        if long:
+            return b"".join([long[w] if w in long else known[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
 
 
 #: Bytes that may follow the start of a character: (first allowed, last allowed, continuation bytes).
@@ -368,16 +392,12 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(ranks, pattern)
-        for batch in batches:
-            flat: list[np.ndarray] = []
-            sizes = np.zeros(batch.num_rows + 1, np.int32)
-            for i, value in enumerate(batch.column(text).to_pylist()):
-                found = np.fromiter(tool.encode(value or ""), np.int32)
-                flat.append(found)
-                sizes[i + 1] = len(found)
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+        for whole in batches:
+            for batch in slices([whole], text, BATCH_BYTES):
+                found = [tool.encode(value or "") for value in batch.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
     return df.mapInArrow(run, schema)
 
@@ -389,10 +409,11 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", text: str = "decoded") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(ranks)
-        for batch in batches:
-            lists = batch.column(ids)
-            out = ["".join(decode_stream(lists[i].as_py() or () if not lists[i].is_valid else lists[i].values.to_numpy(zero_copy_only=False).tolist(), table)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                out = ["".join(decode_stream(one.values.to_numpy(zero_copy_only=False).tolist(), table)) if one.is_valid else "" for one in batch.column(ids)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
     return df.mapInArrow(run, schema)
 
