@@ -1,14 +1,13 @@
 """Exact Jaccard links between documents on word n-grams, by vertical partitioning.
 
-The order of all n-grams is the order of their 64-bit hashes. It is cut into slices and
-the slices into fragments, and a document's set falls into the same cuts.
+The global order of n-grams puts rare ones first: those that are common in a sample of
+the documents come last, and within both parts the order is that of 64-bit hashes. The
+order is cut into fragments, and a document's set falls into the same cuts.
 
-Candidates. Two sets with Jaccard J >= t differ in at most (|A|+|B|)(1-t)/(1+t) n-grams.
-In one of G slices they then differ in at most d, and of that slice's d + 3 fragments
-three at least are equal. So a key is made of every fragment with three n-grams or more,
-and of every three of the thinner ones: two linked sets share a key, always. Numbers of
-slices and fragments follow from the size class of the set; a set also makes the keys of
-the classes that larger partners can be in.
+Candidates. Of a set of n n-grams a set with Jaccard J >= t lacks at most n - ceil(t n), so
+two linked sets share one of the first n - ceil(t n) + 1 of each in any order. These are
+its keys. Which n-grams count as common changes how many candidates there are, never which
+links are found.
 
 Links. Documents that share keys, directly or over others, form a family. Within it the
 partial overlaps of all pairs are counted fragment by fragment as products of incidence
@@ -22,7 +21,6 @@ Copies of a set are one class from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, discard
+from ..runtime import cut_lineage
 from .columns import slices, text_bytes
 from .components import components
 from .packing import CHUNK, Hashes, by_bucket, dealt, mix, pack
@@ -42,6 +40,12 @@ BLOCK_GRAMS = 2_000_000
 #: Columns of an incidence matrix at a time.
 FRAGMENT_COLUMNS = 4096
 
+#: See ``common_grams``.
+SAMPLE_STEP, SAMPLE_LEAST, COMMON_LEAST, COMMON_SHARE = 16, 20_000, 16, 1000
+
+#: Keys that a map task collects before it deals them.
+KEYS_AT_ONCE = 1_000_000
+
 KEY = np.dtype([("key", "<u8"), ("doc", "<i8")])
 
 _WHITE = np.zeros(256, bool)
@@ -83,93 +87,83 @@ def _gram_hashes(body: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-class Plan:
-    """Size classes and cuts for one similarity (a whole number of per cent)."""
-
-    def __init__(self, percent: int):
-        if not 1 <= percent <= 100:
-            raise ValueError(f"similarity must be 1 to 100 per cent, not {percent}")
-        self.percent, self.lows = percent, [1]
-        self.most_fragments = 32 if percent >= 88 else 16
-        self.threes = {n: np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3) for n in range(12)}
-
-    def size_class(self, n: int) -> int:
-        while self.lows[-1] <= n:
-            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 5 // 4))
-        return int(np.searchsorted(self.lows, n, side="right")) - 1
-
-    def cuts(self, number: int) -> tuple[int, int]:
-        """Slices, and fragments of a slice, of a size class; (0, 0): different sets can't be linked."""
-        largest = self.lows[number + 1] - 1
-        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        if differ == 0:
-            return 0, 0
-        parts = -(-differ // (self.most_fragments - 3))
-        return parts, differ // parts + 3
-
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        n = len(grams)
-        if not n:
-            return np.zeros(0, np.uint64)
-        highest = self.size_class(n * 100 // self.percent)
-        found = []
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(0x632BE59BD9B4E019)))))
-        for number in range(self.size_class(n), highest + 1):
-            parts, each = self.cuts(number)
-            if not parts:
-                continue
-            total = parts * each
-            where = ((grams >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
-            ends = np.searchsorted(where, np.arange(total + 1, dtype=np.uint64))
-            size = np.diff(ends)
-            code = mix((sums[ends[1:]] - sums[ends[:-1]]) + (np.arange(total, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                       + np.uint64(number + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
-            fat = size >= 3 if each > 8 else np.zeros(total, bool)
-            found.append(code[fat])
-            thin = np.flatnonzero(~fat)
-            of = thin // each
-            bounds = np.searchsorted(of, np.arange(parts + 1))
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if hi - lo >= 3:
-                    three = self.threes.get(hi - lo)
-                    if three is None:
-                        three = np.array(list(combinations(range(hi - lo), 3)), np.int64)
-                    x = code[thin[lo:hi]][three]
-                    found.append(mix(mix(mix(x[:, 0]) + x[:, 1]) + x[:, 2]))
-        return np.concatenate([np.zeros(0, np.uint64), *found])
-
-
-def _sketch(words: int, percent: int):
-    """Per document: size of its set, two sums that tell sets apart, and its keys."""
+def prefix(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams of a set that candidates are found by: the first of the order, one more than a linked set may lack."""
+    n = len(grams)
+    if 100 * n < percent * (n + 1):  # no different set is near enough
+        return grams[:0]
+    length = n - (percent * n + 99) // 100 + 1
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+        grams = np.concatenate((grams[~last], grams[last]))
+    return grams[:length]
+
+
+def common_grams(texts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of n-grams that many documents hold, from a sample: they go to the end of the order.
+
+    The sample is one document in SAMPLE_STEP, SAMPLE_LEAST at least. An n-gram counts as
+    common from COMMON_LEAST documents, or one in COMMON_SHARE, of the sample, so there are
+    at most COMMON_SHARE times a document's mean number of n-grams of them.
+    """
+    n = texts.count()
+    wanted = max(n // SAMPLE_STEP, min(n, SAMPLE_LEAST))
+    if n:
+        texts = texts.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / n)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            found = [np.zeros(0, np.uint64)]
+            for batch in slices([whole], "text", CHUNK):
+                found += _gram_hashes(*text_bytes(batch.column("text")), words)
+            gram, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "n"])
+
+    held = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    most = held.filter(F.col("n") >= max(COMMON_LEAST, wanted // COMMON_SHARE)).select("gram").toArrow()
+    return np.sort(most.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sketch(words: int):
+    """Per document: size of its set, and two sums that tell sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Plan(percent)
         for whole in batches:
             for batch in slices([whole], "text", CHUNK):
                 sets = _gram_hashes(*text_bytes(batch.column("text")), words)
                 sums = [[int(mix(g ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for g in sets] for salt in (0x1234567, 0x89ABCDEF)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array([len(g) for g in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()),
-                     pa.array([plan.keys(g).tobytes() for g in sets], pa.binary())], names=["key", "n", "s1", "s2", "keys"])
+                    [batch.column("key"), pa.array([len(g) for g in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())],
+                    names=["key", "n", "s1", "s2"])
 
     return run
 
 
-def _pack_keys(buckets: int):
-    """Keys packed by bucket; of the sets of one batch that share a key the first stands for all, and the others are tied to it (kind 1)."""
+def _deal_keys(words: int, percent: int, common: np.ndarray, buckets: int):
+    """Keys of all sets, packed by bucket; of sets in hand that share a key the first stands for all, and the others are tied to it (kind 1)."""
+
+    def settle(docs: list, keys: list) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(sum(map(len, keys)), KEY)
+        if not len(x):
+            return
+        x["key"], x["doc"] = np.concatenate(keys), np.repeat(np.array(docs, np.int64), [len(k) for k in keys])
+        x, again, head = _by_key(x)
+        yield from dealt(0, x[~again], x["key"][~again], buckets)
+        ties = np.unique(_ties(x, again, head))
+        if len(ties):
+            yield from dealt(1, ties, mix(ties["key"]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
-            x = np.zeros(sum(map(len, blobs)), KEY)
-            if not len(x):
-                continue
-            x["key"], x["doc"] = np.concatenate(blobs), np.repeat(batch.column("key").to_numpy(), [len(b) for b in blobs])
-            x, again, head = _by_key(x)
-            yield from dealt(0, x[~again], x["key"][~again], buckets)
-            ties = np.unique(_ties(x, again, head))
-            if len(ties):
-                yield from dealt(1, ties, mix(ties["key"]), buckets)
+        for whole in batches:
+            docs, keys, held = [], [], 0
+            for batch in slices([whole], "text", CHUNK):
+                docs += batch.column("key").to_pylist()
+                keys += [prefix(g, common, percent) for g in _gram_hashes(*text_bytes(batch.column("text")), words)]
+                held += sum(map(len, keys[len(docs) - batch.num_rows:]))
+                if held >= KEYS_AT_ONCE:
+                    yield from settle(docs, keys)
+                    docs, keys, held = [], [], 0
+            yield from settle(docs, keys)
 
     return run
 
@@ -286,20 +280,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     graph; a row without a key has a null component and takes no part. An empty table
     gives an empty table; further columns are ignored.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"similarity must be 1 to 100 per cent, not {percent}")
     spark = df.sparkSession
     buckets = max(512, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sketch = cut_lineage(texts.mapInArrow(_sketch(words, percent), "key long, n long, s1 long, s2 long, keys binary"), "sketch")
-    with_keys = cut_lineage(sketch.filter("n > 0 AND key IS NOT NULL").groupBy("n", "s1", "s2").agg(
-        F.min("key").alias("doc"), F.min_by("keys", "key").alias("keys")), "classes")
-    # The keys are most of what was written, and done with as soon as they are dealt.
-    members = cut_lineage(sketch.drop("keys"), "members")
-    discard(sketch)
+    members = cut_lineage(texts.mapInArrow(_sketch(words), "key long, n long, s1 long, s2 long"), "members")
     taking = members.filter("n > 0 AND key IS NOT NULL")
-    dealt_keys = with_keys.select(F.col("doc").alias("key"), "keys").mapInArrow(_pack_keys(buckets), "bucket int, kind int, records binary")
-    ties = cut_lineage(dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long"), "ties")
-    classes = cut_lineage(with_keys.drop("keys"), "sets")
-    discard(with_keys)
+    classes = cut_lineage(taking.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc")), "classes")
+    # Copies share all their keys, so it does no harm that they make them too: a class is in its family.
+    keyed = texts.filter("key IS NOT NULL")
+    dealt_keys = keyed.mapInArrow(_deal_keys(words, percent, common_grams(keyed, words), buckets), "bucket int, kind int, records binary")
+    ties = dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long")
     families = cut_lineage(components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
                            .join(classes.groupBy("doc").agg(F.sum("n").alias("n")), "doc"), "families")
 
