@@ -4,10 +4,14 @@ The global order of n-grams puts rare ones first: those that are common in a sam
 the documents come last, and within both parts the order is that of 64-bit hashes. The
 order is cut into fragments, and a document's set falls into the same cuts.
 
-Candidates. Of a set of n n-grams a set with Jaccard J >= t lacks at most n - ceil(t n), so
-two linked sets share one of the first n - ceil(t n) + 1 of each in any order. These are
-its keys. Which n-grams count as common changes how many candidates there are, never which
-links are found.
+Candidates. Two linked sets have J >= t, so one lacks at most n - ceil(t n) of the other's n
+n-grams, and at most D = (|A|+|B|)(1-t)/(1+t) are in one of them only. In the order each
+of these stands between at most two neighbours among the n-grams in common, so of the
+first D + 1 such pairs of neighbours one is undisturbed: its n-grams are neighbours in
+both sets, within their first D + 2 + n - ceil(t n). These pairs are the keys. (From t =
+0.75 on there are enough n-grams in common; below, single n-grams of the prefix of length
+n - ceil(t n) + 1 are the keys.) Which n-grams count as common ones changes how many
+candidates there are, never which links are found.
 
 Links. Documents that share keys, directly or over others, form a family. Within it the
 partial overlaps of all pairs are counted fragment by fragment as products of incidence
@@ -34,8 +38,8 @@ from .components import components
 from .packing import CHUNK, Hashes, by_bucket, dealt, mix, pack
 
 #: Documents and n-grams of a block: two blocks meet in one task.
-BLOCK_DOCS = 1024
-BLOCK_GRAMS = 2_000_000
+BLOCK_DOCS = 512
+BLOCK_GRAMS = 1_000_000
 
 #: Columns of an incidence matrix at a time.
 FRAGMENT_COLUMNS = 4096
@@ -87,16 +91,20 @@ def _gram_hashes(body: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def prefix(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams of a set that candidates are found by: the first of the order, one more than a linked set may lack."""
+def prefix_keys(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """Keys from the first n-grams of the order (see above): of two neighbours, or of one below 75 per cent."""
     n = len(grams)
     if 100 * n < percent * (n + 1):  # no different set is near enough
         return grams[:0]
-    length = n - (percent * n + 99) // 100 + 1
     if len(common):
         last = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
         grams = np.concatenate((grams[~last], grams[last]))
-    return grams[:length]
+    lacking = n - (percent * n + 99) // 100
+    if percent < 75:
+        return grams[:lacking + 1]
+    differ = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+    first = grams[:differ + lacking + 2]
+    return mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:])
 
 
 def common_grams(texts: DataFrame, words: int) -> np.ndarray:
@@ -158,7 +166,7 @@ def _deal_keys(words: int, percent: int, common: np.ndarray, buckets: int):
             docs, keys, held = [], [], 0
             for batch in slices([whole], "text", CHUNK):
                 docs += batch.column("key").to_pylist()
-                keys += [prefix(g, common, percent) for g in _gram_hashes(*text_bytes(batch.column("text")), words)]
+                keys += [prefix_keys(g, common, percent) for g in _gram_hashes(*text_bytes(batch.column("text")), words)]
                 held += sum(map(len, keys[len(docs) - batch.num_rows:]))
                 if held >= KEYS_AT_ONCE:
                     yield from settle(docs, keys)
