@@ -379,25 +379,33 @@ def byte_table(path: str) -> list[bytes]:
     return _TABLES[path]
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids`` (array<int>): the tokens of each whole text.
+def _lists(found: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds ``ids`` (array<int>): the tokens of each whole text; and ``decoded``, if named: the text that these ids stand for.
 
     ``ranks`` is the path of a rank file that every executor can read. A null text counts
-    as empty, an empty text has an empty array, a column that is called like ``ids``
+    as empty, an empty text has an empty array, a column that is called like a new one
     already is replaced, repeated rows are encoded each for itself, and an empty table
-    gives an empty table.
+    gives an empty table. Encoding and decoding in one step need one Python worker.
     """
-    df = df.drop(ids) if ids in df.columns and ids != text else df
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{ids}` array<int>"])
+    df = df.drop(*(c for c in (ids, decoded) if c in df.columns and c != text))
+    extra = [f"`{ids}` array<int>"] + ([f"`{decoded}` string"] if decoded else [])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(ranks, pattern)
+        tool, table = encoder(ranks, pattern), byte_table(ranks) if decoded else []
         for whole in batches:
             for batch in slices([whole], text, BATCH_BYTES):
                 found = [tool.encode(value or "") for value in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+                columns, names = [*batch.columns, _lists(found)], [*batch.schema.names, ids]
+                if decoded:
+                    back = ["".join(decode_stream(np.frombuffer(one, np.int32).tolist(), table)) for one in found]
+                    columns, names = [*columns, pa.array(back, pa.string())], [*names, decoded]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks))
+    return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
