@@ -1,17 +1,21 @@
 """Exact Jaccard links between documents on word n-grams, by vertical partitioning.
 
-The global order of n-grams puts rare ones first: those that are common in a sample of
-the documents come last, and within both parts the order is that of 64-bit hashes. The
-order is cut into fragments, and a document's set falls into the same cuts.
-
-Candidates. Two linked sets have J >= t, so one lacks at most n - ceil(t n) of the other's n
-n-grams, and at most D = (|A|+|B|)(1-t)/(1+t) are in one of them only. In the order each
-of these stands between at most two neighbours among the n-grams in common, so of the
-first D + 1 such pairs of neighbours one is undisturbed: its n-grams are neighbours in
-both sets, within their first D + 2 + n - ceil(t n). These pairs are the keys. (From t =
-0.75 on there are enough n-grams in common; below, single n-grams of the prefix of length
-n - ceil(t n) + 1 are the keys.) Which n-grams count as common ones changes how many
-candidates there are, never which links are found.
+The global order of n-grams is that of their 64-bit hashes; it is cut into fragments, and
+a document's set falls into the same cuts.
+
+Candidates. Two linked sets (Jaccard J >= t) differ in at most D = (|A|+|B|)(1-t)/(1+t)
+n-grams. For a high t the order is cut into slices, in one of which they differ in at most
+d, and of that slice's d + 3 fragments three at least are equal: a key is made of every
+fragment with three n-grams or more, and of every three of the thinner ones. Numbers of
+slices and fragments follow from the size class of the set; a set also makes the keys of
+the classes that larger partners can be in.
+
+For a lower t fragments would be too thin. There the order puts n-grams that are common
+in a sample last. Each differing n-gram stands between at most two neighbours among those
+in common, so of the first D + 1 pairs of neighbours one is undisturbed: its n-grams are
+neighbours in both sets, within the first D + 2 + n - ceil(t n) of n. These pairs are the
+keys. (Under 0.75 single n-grams of the first n - ceil(t n) + 1 are.) Which n-grams count
+as common ones changes how many candidates there are, never which links are found.
 
 Links. Documents that share keys, directly or over others, form a family. Within it the
 partial overlaps of all pairs are counted fragment by fragment as products of incidence
@@ -25,6 +29,7 @@ Copies of a set are one class from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,9 @@ BLOCK_GRAMS = 1_000_000
 #: Columns of an incidence matrix at a time.
 FRAGMENT_COLUMNS = 4096
 
+#: From this similarity on, keys are made of whole fragments.
+HIGH = 88
+
 #: See ``common_grams``.
 SAMPLE_STEP, SAMPLE_LEAST, COMMON_LEAST, COMMON_SHARE = 16, 20_000, 16, 1000
 
@@ -91,6 +99,59 @@ def _gram_hashes(body: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
+class Fragments:
+    """Keys from fragments of the order, for a high similarity: size classes and cuts (see above)."""
+
+    def __init__(self, percent: int):
+        self.percent, self.lows, self.most_fragments = percent, [1], 32
+        self.threes = {n: np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3) for n in range(12)}
+
+    def size_class(self, n: int) -> int:
+        while self.lows[-1] <= n:
+            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 5 // 4))
+        return int(np.searchsorted(self.lows, n, side="right")) - 1
+
+    def cuts(self, number: int) -> tuple[int, int]:
+        """Slices, and fragments of a slice, of a size class; (0, 0): different sets can't be linked."""
+        largest = self.lows[number + 1] - 1
+        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
+        if differ == 0:
+            return 0, 0
+        parts = -(-differ // (self.most_fragments - 3))
+        return parts, differ // parts + 3
+
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        n = len(grams)
+        if not n:
+            return np.zeros(0, np.uint64)
+        highest = self.size_class(n * 100 // self.percent)
+        found = []
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(0x632BE59BD9B4E019)))))
+        for number in range(self.size_class(n), highest + 1):
+            parts, each = self.cuts(number)
+            if not parts:
+                continue
+            total = parts * each
+            where = ((grams >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
+            ends = np.searchsorted(where, np.arange(total + 1, dtype=np.uint64))
+            size = np.diff(ends)
+            code = mix((sums[ends[1:]] - sums[ends[:-1]]) + (np.arange(total, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                       + np.uint64((number + 1) * 0xC2B2AE3D27D4EB4F % 2 ** 64))
+            fat = size >= 3 if each > 8 else np.zeros(total, bool)
+            found.append(code[fat])
+            thin = np.flatnonzero(~fat)
+            of = thin // each
+            bounds = np.searchsorted(of, np.arange(parts + 1))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if hi - lo >= 3:
+                    three = self.threes.get(hi - lo)
+                    if three is None:
+                        three = np.array(list(combinations(range(hi - lo), 3)), np.int64)
+                    x = code[thin[lo:hi]][three]
+                    found.append(mix(mix(mix(x[:, 0]) + x[:, 1]) + x[:, 2]))
+        return np.concatenate([np.zeros(0, np.uint64), *found])
+
+
 def prefix_keys(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """Keys from the first n-grams of the order (see above): of two neighbours, or of one below 75 per cent."""
     n = len(grams)
@@ -162,11 +223,12 @@ def _deal_keys(words: int, percent: int, common: np.ndarray, buckets: int):
             yield from dealt(1, ties, mix(ties["key"]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragments = Fragments(percent) if percent >= HIGH else None
         for whole in batches:
             docs, keys, held = [], [], 0
             for batch in slices([whole], "text", CHUNK):
                 docs += batch.column("key").to_pylist()
-                keys += [prefix_keys(g, common, percent) for g in _gram_hashes(*text_bytes(batch.column("text")), words)]
+                keys += [fragments.keys(g) if fragments else prefix_keys(g, common, percent) for g in _gram_hashes(*text_bytes(batch.column("text")), words)]
                 held += sum(map(len, keys[len(docs) - batch.num_rows:]))
                 if held >= KEYS_AT_ONCE:
                     yield from settle(docs, keys)
@@ -298,7 +360,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     classes = cut_lineage(taking.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc")), "classes")
     # Copies share all their keys, so it does no harm that they make them too: a class is in its family.
     keyed = texts.filter("key IS NOT NULL")
-    dealt_keys = keyed.mapInArrow(_deal_keys(words, percent, common_grams(keyed, words), buckets), "bucket int, kind int, records binary")
+    common = np.zeros(0, np.uint64) if percent >= HIGH else common_grams(keyed, words)
+    dealt_keys = keyed.mapInArrow(_deal_keys(words, percent, common, buckets), "bucket int, kind int, records binary")
     ties = dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long")
     families = cut_lineage(components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
                            .join(classes.groupBy("doc").agg(F.sum("n").alias("n")), "doc"), "families")
