@@ -140,6 +140,70 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.clean(frame, bench).count() == 200 - len({d for d, _ in truth})
 
 
+def missed_alignment(masks, least):
+    """The shortest segment of matches (1) and substitutions (0) that the verification accepts and no mask meets, or None.
+
+    Inside a best segment no sum from its start is negative and the last is larger than all before.
+    """
+    masks = [int(m, 2) for m in masks]
+    keep = (1 << max(m.bit_length() for m in masks) - 1) - 1
+    states = {(0, 0, 0, 0): ""}
+    for last, matched, total, most in (queue := list(states)):
+        way, full = states[last, matched, total, most], last << 1 | 1
+        after = []
+        if total >= 2:
+            after.append((last << 1 & keep, matched, total - 2, most))
+        if not any(full & m == m for m in masks):
+            if total + 1 > most and matched + 1 >= least:
+                return way + "1"
+            after.append((full & keep, min(least, matched + 1), total + 1, max(most, total + 1)))
+        for state in after:
+            if state not in states:
+                states[state] = way + "01"[state[0] & 1]
+                queue.append(state)
+    return None
+
+
+def test_masks_meet_every_accepted_alignment():
+    assert missed_alignment(("1111110111", "1101101111", "1011111011", "1111011101"), 10) is not None
+    assert missed_alignment(decontaminate.MASKS, decontaminate.MIN_MATCHED) is None
+
+
+def brute_overlaps(docs, items, least):
+    """Best accepted segment of every text and item, from the verification of every alignment."""
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = np.array(text.split()), np.array(item.split())
+            found = []
+            for shift in range(1 - len(b), len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                start, stop, matched = decontaminate.best_segment(a[lo:hi] == b[lo - shift:hi - shift])
+                if matched >= min(least, len(b)):
+                    found.append((matched, -(stop - start), -(lo + start), -(lo + start - shift)))
+            if found:
+                matched, n, at, place = max(found)
+                out.add((d, i, -at, -place, -n, matched))
+    return out
+
+
+def test_leaks_against_every_alignment(spark):
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(words, n))) for i, n in enumerate([10, 11, 15, 15, 20, 30, 59])]
+    docs = []
+    for i, item in items:
+        changes = [range(start, 99, step) for step in (3, 4, 5) for start in range(step)]
+        changes += [r.choice(len(item.split()), k, replace=False) for k in (0, 1, 2, 3, 4, 4, 5, 6)]
+        for change in changes:
+            passage = [f"other{j}" if j in set(change) else w for j, w in enumerate(item.split())]
+            cut = int(r.integers(0, 3))
+            docs.append((len(docs), " ".join([*r.choice(words, 5), *passage[cut:], *r.choice(words, 5)])))
+    want = brute_overlaps(docs, items, 10)
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 60
+
+
 def test_leak_query_finds_every_whole_passage(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect()]
