@@ -3,7 +3,8 @@
 A seed is a window of words of which a fixed mask ignores some positions, so a hit
 survives substituted words that fall on ignored positions. Every alignment that the
 verification accepts, with ten matching words or more, holds a seed of one mask at least
-(shown by a search of all patterns, see the tests), so seeding loses nothing. Seeds of all benchmark items form an index; every window of a training text is
+(shown by a search of all patterns, see the tests), so seeding loses nothing. An item of
+fewer words must match as a whole, so its seed is a window of all its words. Seeds of all benchmark items form an index; every window of a training text is
 looked up (a bitmap of fixed size answers nearly all of them). A hit gives an alignment of
 a text and an item, and the alignment is then verified word by word: its best segment,
 where a match counts 1 and a substitution -2, must have enough matching words.
@@ -30,6 +31,8 @@ MASKS = ("1110111", "110100111", "110011011", "101010111", "1010010111", "110000
 INDEX_ROWS = 2_000_000
 BITMAP_BITS = 24
 MIN_MATCHED = 10
+#: An item of one word is no passage.
+LEAST_WORDS = 2
 
 
 def seeds(word: np.ndarray, mask: str) -> np.ndarray:
@@ -50,10 +53,13 @@ class Index:
     """Sorted seeds of benchmark items, with where they stand."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...]):
-        self.items, self.masks = items, masks
+        self.items = items
+        sizes = {len(word) for _id, word in items}
+        whole = {n: "1" * n for n in sizes if LEAST_WORDS <= n < MIN_MATCHED}
+        self.masks = (*(masks if max(sizes, default=0) >= MIN_MATCHED else ()), *whole.values())
         codes, where = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
         for number, (_id, word) in enumerate(items):
-            for mask in masks:
+            for mask in masks if len(word) >= MIN_MATCHED else [whole[len(word)]] if len(word) in whole else []:
                 code = seeds(word, mask)
                 codes.append(code)
                 where.append(np.stack([np.full(len(code), number), np.arange(len(code))], 1))
@@ -97,7 +103,7 @@ def _search(index: Index, min_matched: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices([whole], "text", CHUNK):
-                w = Words(*text_bytes(batch.column("text")), symbols=False)
+                w = Words(*text_bytes(batch.column("text")), symbols=False, characters=True)
                 at, item, place = index.hits(w.hash, w.text)
                 rows = []
                 if len(at):
@@ -120,19 +126,21 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
              masks: tuple[str, ...] = MASKS, min_matched: int = MIN_MATCHED, index_rows: int = INDEX_ROWS) -> DataFrame:
     """One row per (key, item) with its best verified overlap: where it starts, in words, its length and its matching words.
 
-    Words are runs of letters and digits, A-Z lowered. An item shorter than a mask can't
-    be found; null and empty texts and items have no overlap. Rows that share a key count
+    Words are runs of letters and digits, A-Z lowered, and single characters of scripts
+    without spaces. An item of fewer than ten words is found where all its words are, an
+    item of one word never; ``min_matched`` under ten may miss segments of fewer matches. Null and empty texts and items have no overlap. Rows that share a key count
     together, a repeated item counts once, ties go to the earliest place. An empty table on
     either side gives an empty result; further columns are ignored.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) * len(masks) // (2 * index_rows)))  # a word and its space take two characters at least
+    # A word and its space take two characters at least, a character of a script without spaces is a word.
+    total = items.agg(F.coalesce(F.sum(F.length("text") + F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))), F.lit(0))).first()[0]
+    passes = max(1, -(-int(total) * len(masks) // (2 * index_rows)))
     found = None
     for number in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).orderBy("item", "text").toArrow()
         texts = part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
-        w = Words(*text_bytes(texts), symbols=False)
+        w = Words(*text_bytes(texts), symbols=False, characters=True)
         index = Index([(i, w.hash[a:b]) for i, a, b in zip(part.column("item").to_pylist(), w.bounds[:-1], w.bounds[1:])], masks)
         now = keyed_text(df, key, text).mapInArrow(_search(index, min_matched), FOUND)
         found = now if found is None else found.unionByName(now)

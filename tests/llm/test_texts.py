@@ -204,6 +204,19 @@ def test_leaks_against_every_alignment(spark):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 60
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(0, "What is heat?"), (1, "two words"), (2, "one two three four five six seven eight nine"), (3, "今天天气怎么样？"),
+             (4, "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。"), (5, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (6, "alone"), (7, "𠀀𠀁𠀂")]
+    docs = [(0, "So what IS heat, then"), (1, "what is the heat"), (2, "Two-words!"), (3, "zero one two three four five six seven eight nine ten"),
+            (4, "one two three four six five seven eight nine"), (5, "他问：今天天气怎么样。我说很好"), (6, "今天天气很好"), (7, "昔、吾輩は犬である。名前はまだ無い。どこで生れたかとんと見当がつかぬという。"),
+            (8, "เขาพูดว่าภาษาไทยไม่มีช่องว่างระหว่างคำครับ"), (9, "left alone"), (10, "ab𠀀𠀁𠀂cd"), (11, "two"), (12, "words two")]
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(x.doc_id, x.item_id): x for x in decontaminate.overlaps(frame, bench).collect()}
+    assert set(rows) == {(0, 0), (2, 1), (3, 2), (5, 3), (7, 4), (8, 5), (10, 7)}
+    assert tuple(rows[3, 2])[2:] == (1, 0, 9, 9) and tuple(rows[5, 3])[2:] == (2, 0, 7, 7)
+    assert {r.doc_id for r in decontaminate.clean(frame, bench).collect()} == {1, 4, 6, 9, 11, 12}
+
+
 def test_leak_query_finds_every_whole_passage(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect()]
