@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import keyed_text, slices, text_bytes
+from .columns import keyed_text, slices, text_bytes, text_hash
 from .packing import CHUNK, mix
 from .words import Words
 
@@ -96,7 +96,7 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
     return start, stop, int(same[start:stop].sum())
 
 
-FOUND = "key long, item long, text_start int, item_start int, n_words int, n_matched int"
+FOUND = "key long, twin long, item long, text_start int, item_start int, n_words int, n_matched int"
 
 
 def _search(index: Index, min_matched: int):
@@ -108,30 +108,23 @@ def _search(index: Index, min_matched: int):
                 rows = []
                 if len(at):
                     ways = np.unique(np.stack([w.text[at], item, at - place], 1), axis=0)
-                    keys = batch.column("key")
+                    keys, twins = batch.column("key"), batch.column("twin")
                     for t, i, shift in ways.tolist():
                         own, (name, word) = (int(w.bounds[t]), int(w.bounds[t + 1])), index.items[i]
                         lo, hi = max(own[0], shift), min(own[1], shift + len(word))
                         start, stop, matched = best_segment(w.hash[lo:hi] == word[lo - shift:hi - shift])
                         if matched >= min(min_matched, len(word)):
-                            rows.append((keys[t].as_py(), name, lo + start - own[0], lo + start - shift, stop - start, matched))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "item", "text_start", "item_start", "n_words", "n_matched"])
+                            rows.append((keys[t].as_py(), twins[t].as_py(), name, lo + start - own[0], lo + start - shift, stop - start, matched))
+                columns = list(zip(*rows)) or [()] * 7
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "twin", "item", "text_start", "item_start", "n_words", "n_matched"])
 
     return run
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-             masks: tuple[str, ...] = MASKS, min_matched: int = MIN_MATCHED, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """One row per (key, item) with its best verified overlap: where it starts, in words, its length and its matching words.
-
-    Words are runs of letters and digits, A-Z lowered, and single characters of scripts
-    without spaces. An item of fewer than ten words is found where all its words are, an
-    item of one word never; ``min_matched`` under ten may miss segments of fewer matches. Null and empty texts and items have no overlap. Rows that share a key count
-    together, a repeated item counts once, ties go to the earliest place. An empty table on
-    either side gives an empty result; further columns are ignored.
-    """
+def _found(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+           masks: tuple[str, ...] = MASKS, min_matched: int = MIN_MATCHED, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """Every verified overlap: (key, hash of the text, item) and where it is."""
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
     # A word and its space take two characters at least, a character of a script without spaces is a word.
     total = items.agg(F.coalesce(F.sum(F.length("text") + F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))), F.lit(0))).first()[0]
@@ -142,13 +135,27 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         texts = part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
         w = Words(*text_bytes(texts), symbols=False, characters=True)
         index = Index([(i, w.hash[a:b]) for i, a, b in zip(part.column("item").to_pylist(), w.bounds[:-1], w.bounds[1:])], masks)
-        now = keyed_text(df, key, text).mapInArrow(_search(index, min_matched), FOUND)
+        now = keyed_text(df, key, text).withColumn("twin", text_hash("text")).mapInArrow(_search(index, min_matched), FOUND)
         found = now if found is None else found.unionByName(now)
+    return found
+
+
+def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+             masks: tuple[str, ...] = MASKS, min_matched: int = MIN_MATCHED, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """One row per (key, item) with its best verified overlap: where it starts, in words, its length and its matching words.
+
+    Words are runs of letters and digits, A-Z lowered, and single characters of scripts
+    without spaces. An item of fewer than ten words is found where all its words are, an
+    item of one word never; ``min_matched`` under ten may miss segments of fewer matches. Null and empty texts and items have no overlap. Rows that share a key count
+    together, a repeated item counts once, ties go to the earliest place. An empty table on
+    either side gives an empty result; further columns are ignored.
+    """
+    found = _found(df, benchmark, key, text, item, item_text, masks, min_matched, index_rows)
     best = F.max_by(F.struct("text_start", "item_start", "n_words", "n_matched"), F.struct("n_matched", -F.col("n_words"), -F.col("text_start"), -F.col("item_start")))
     return found.groupBy("key", "item").agg(best.alias("b")).select(F.col("key").alias(key), F.col("item").alias(item), "b.*")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` without a verified overlap, all their columns kept. A row without a key is judged with the others that have none."""
-    hit = overlaps(df, benchmark, key, text, **options).select(F.col(key).alias("__hit")).distinct()
-    return df.join(hit, F.col(key).cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    """Rows of ``df`` without a verified overlap, all their columns kept. Each row is judged by its own text, also without a key or under a shared one."""
+    hit = _found(df, benchmark, key, text, **options).select(F.col("key").alias("__hit"), F.col("twin").alias("__twin")).distinct()
+    return df.join(hit, F.col(key).cast("long").eqNullSafe(F.col("__hit")) & (text_hash(text) == F.col("__twin")), "left_anti")

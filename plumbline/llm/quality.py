@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import crc32_of_id, keyed_text, slices, text_bytes
+from .columns import crc32_of_id, keyed_text, slices, text_bytes, text_hash
 from .packing import CHUNK, mix
 from .words import Words
 
@@ -113,8 +113,8 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return model.weights().astype(np.float32)
 
 
-def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row: the probability of label 1. A null or empty text has the intercept's score."""
+def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", twin: bool = False) -> DataFrame:
+    """(key, score) of every row: the probability of label 1. A null or empty text has the intercept's score. ``twin``: also the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,14 +122,17 @@ def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "
                 body, offsets = text_bytes(batch.column("text"))
                 of, found, share = features(body, offsets)
                 dot = np.bincount(of, weights[found] * share, len(offsets) - 1) + weights[-1]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], names=["key", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *([batch.column("twin")] if twin else []), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], names=names)
 
-    return keyed_text(df, key, text).mapInArrow(run, "key long, score double").withColumnRenamed("key", key)
+    names = ["key", "twin", "score"] if twin else ["key", "score"]
+    rows = keyed_text(df, key, text)
+    rows = rows.withColumn("twin", text_hash("text")) if twin else rows
+    return rows.mapInArrow(run, f"key long, {'twin long, ' * twin}score double").withColumnRenamed("key", key)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5,
-             held_out: int = 0, accept: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(key, held_out, score, predicted) of every row.
+             held_out: int = 0, accept: float = 0.3, sample_rows: int = SAMPLE_ROWS, twin: bool = False) -> DataFrame:
+    """(key, held_out, score, predicted) of every row; with ``twin`` also the hash of its text.
 
     Labels of rows whose crc32(key as text) modulo ``folds`` is ``held_out`` are never
     learnt from. Only the text is an input of the score. Repeated rows get equal scores; a
@@ -140,4 +143,4 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = labels.select(F.col(key), F.col(label).alias("label")).filter(F.col("label").isNotNull() & ~aside)
     rows = df.select(F.col(key), F.col(text).alias("text")).join(known, key)
     weights = train(rows, key, "text", "label", sample_rows)
-    return score(df, weights, key, text).select(key, aside.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    return score(df, weights, key, text, twin).select(key, *["twin"] * twin, aside.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))

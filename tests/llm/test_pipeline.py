@@ -68,6 +68,23 @@ def test_tokens_stage_and_run(spark, stages):
     assert {i: r.n_tokens for i, r in rows_of(corpus_pipeline.run(spark, SMALL)).items()} == {i: r.n_tokens for i, r in tokens.items()}
 
 
+def test_stages_judge_rows_without_an_id_or_under_a_shared_one(spark, stages):
+    judged = stages[0].join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id")
+    good, bad = [[r.text for r in judged.filter(f"quality = {q} AND length(text) BETWEEN 200 AND 2000").orderBy("doc_id").limit(2).collect()] for q in (1, 0)]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda df: sorted((r.doc_id or -1, r.text) for r in df.collect())
+    docs = stages[0].select("doc_id", "text").unionByName(frame([(None, good[0]), (None, bad[0]), (10**9, good[1]), (10**9, bad[1])]))
+    kept = corpus_pipeline.keep_quality(spark, docs, SMALL).filter("doc_id IS NULL OR doc_id = 1000000000")
+    assert texts(kept) == [(-1, good[0]), (10**9, good[1])]
+    rows = [(None, "a leak " + item), (None, "clean text"), (5, item), (5, "another clean text")]
+    assert texts(corpus_pipeline.decontaminated(spark, frame(rows), SMALL)) == [(-1, "clean text"), (5, "another clean text")]
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, one), (None, one + " more"), (None, two), (5, two), (5, three), (5, three), (6, three + " more"), (7, "")]
+    kept = texts(corpus_pipeline.drop_near_duplicates(spark, frame(rows), SMALL))
+    assert len(kept) == 4 and kept[0][0] == -1 and kept[0][1] in (one, one + " more") and kept[1:] == [(5, two), (5, three), (7, "")]
+
+
 def test_stages_take_odd_and_no_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
