@@ -1,6 +1,6 @@
 """Language of a text, by a bit-sliced Bloom filter over byte n-grams.
 
-A slot of the filter holds one bit for each language. The slots of an n-gram, combined by
+A slot of the filter holds one bit for each language, in as many machine words as that takes. The slots of an n-gram, combined by
 AND, are the set of all languages that contain it (or seem to: each language's false
 positive rate follows from how many of its bits are set). A text's count for a language
 is the number of its n-grams with that language's bit, less the false positives to expect.
@@ -63,27 +63,30 @@ def slots(gram: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class Filter:
-    """Languages (in ascending order) and, per slot, their bits."""
+    """Languages (in ascending order) and, per word of 64 languages and slot, their bits."""
 
     def __init__(self, languages: list[str], of_language: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages: a slot is one machine word")
         self.languages = languages
-        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-        self.bits = np.zeros(1 << SLOT_BITS, f"u{width // 8}")
+        width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
+        self.bits = np.zeros((-(-len(languages) // width), 1 << SLOT_BITS), f"u{width // 8}")
+        one = self.bits.dtype.type
         for number, values in enumerate(of_language):
             for at in slots(values):
-                self.bits[at] |= self.bits.dtype.type(1 << number)
-        fill = np.array([np.count_nonzero(self.bits >> self.bits.dtype.type(i) & self.bits.dtype.type(1)) / len(self.bits) for i in range(len(languages))])
+                self.bits[number // width, at] |= one(1 << number % width)
+        fill = np.array([np.count_nonzero(self.bits[i // width] & one(1 << i % width)) / self.bits.shape[1] for i in range(len(languages))])
         self.false = fill ** HASHES
 
     def counts(self, text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the corrected number of n-grams, and each text's number of n-grams."""
-        mask = None
-        for at in slots(gram):
-            mask = self.bits[at] if mask is None else mask & self.bits[at]
         total = np.bincount(text, minlength=n)
-        hits = np.stack([np.bincount(text, (mask >> mask.dtype.type(i)) & mask.dtype.type(1), n) for i in range(len(self.languages))], 1)
+        places, width = list(slots(gram)), 8 * self.bits.itemsize
+        hits = np.zeros((n, len(self.languages)))
+        for word, bits in enumerate(self.bits):
+            mask = bits[places[0]]
+            for at in places[1:]:
+                mask &= bits[at]
+            for i in range(word * width, min(len(self.languages), (word + 1) * width)):
+                hits[:, i] = np.bincount(text, (mask >> mask.dtype.type(i % width)) & mask.dtype.type(1), n)
         return np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false)), total
 
 
@@ -91,28 +94,30 @@ def train(rows: DataFrame, key: str, text: str, lang: str, sample_rows: int = SA
     """The filter from rows with a text and a language, at most about ``sample_rows`` of each language; None without rows."""
     known = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(65).collect()}
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not n:
         return None
     languages = sorted(n)
-    share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, sample_rows / n[name]))) for name in languages))
+    place = {name: i for i, name in enumerate(languages)}
+    share = F.element_at(F.map_from_arrays(F.lit(languages), F.lit([min(1.0, sample_rows / n[name]) for name in languages])), F.col("lang"))
     picked = known.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < (share * (1 << 24)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices([whole], "text", CHUNK):
-                number = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
+                number = np.array([place[x] for x in batch.column("lang").to_pylist()])
                 text, gram = grams(*text_bytes(batch.column("text")))
                 once = np.unique(gram << np.uint64(24) | text.astype(np.uint64))  # a gram has 40 bits, a slice under 2^24 rows
                 of = number[(once & np.uint64(0xFFFFFF)).astype(np.int64)].astype(np.uint64)
-                pair, count = np.unique(once >> np.uint64(24) << np.uint64(8) | of, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((pair & np.uint64(0xFF)).astype(np.int32)), pa.array((pair >> np.uint64(8)).astype(np.int64)), pa.array(count.astype(np.int64))], names=["number", "gram", "n"])
+                pair, count = np.unique(once >> np.uint64(24) << np.uint64(24) | of, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((pair & np.uint64(0xFFFFFF)).astype(np.int32)), pa.array((pair >> np.uint64(24)).astype(np.int64)), pa.array(count.astype(np.int64))], names=["number", "gram", "n"])
 
     held = picked.mapInArrow(run, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
-    least = F.coalesce(*(F.when(F.col("number") == i, F.lit(max(2.0 if min(n[x], sample_rows) > 20 else 1.0, LEAST_SHARE * min(n[x], sample_rows)))) for i, x in enumerate(languages)))
+    least = F.get(F.lit([max(2.0 if min(n[x], sample_rows) > 20 else 1.0, LEAST_SHARE * min(n[x], sample_rows)) for x in languages]), F.col("number"))
     got = held.filter(F.col("n") >= least).select("number", "gram").toArrow()
     number, gram = got.column("number").to_numpy(), got.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    found = Filter(languages, [gram[number == i] for i in range(len(languages))])
+    order = np.argsort(number, kind="stable")
+    found = Filter(languages, np.split(gram[order], np.searchsorted(number[order], np.arange(1, len(languages)))))
     found.usual = max(languages, key=lambda x: (n[x], x))
     return found
 

@@ -69,6 +69,19 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
+def test_more_languages_than_a_machine_word_or_a_byte_holds(spark):
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for i in range(270):
+        words = ["".join(r.choice(letters, 8)) for _ in range(6)]
+        rows += [(8 * i + j, " ".join(r.permutation(words)), f"l{i:03d}") for j in range(8)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _t, x in rows}
+    right = [x.lang_pred == lang[x.doc_id] for x in got]
+    assert len(got) == len(rows) and sum(right) / len(right) > 0.98
+
+
 def test_filter_counts_are_corrected():
     r = np.random.default_rng(1)
     own = r.integers(0, 1 << 40, 400_000, dtype=np.uint64)
