@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,5 +57,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
             at = end
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def vector_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of integers; shorter ones are filled up with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py():column.offsets[-1].as_py()] if len(column) else np.zeros(0, np.int64)
+    out = np.zeros((len(column), width), np.int64)
+    row = np.repeat(np.arange(len(column)), sizes)
+    out[row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]] = flat
+    return out

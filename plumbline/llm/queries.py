@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path
-from . import byte_bpe, cover_tree, decontaminate, html_content, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
+from . import byte_bpe, cover_tree, curriculum, decontaminate, hard_negatives, html_content, importance, jaccard_join, language_id, license_scan, quality, suffix_dedup, token_files
 from .columns import table
 
 
@@ -107,6 +107,75 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.quantised(rows), F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("visits.position", 0).alias("first_position"))
+
+
+#: Demand is integrated segment by segment: schedules (1, 1, 1), (0.25, 1, 1.75) and (1.75, 1, 0.25), in halves of the training time.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS o FROM documents
+), s AS (
+  SELECT no_source, source_key, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY no_source, source_key) - 1 AS n FROM d GROUP BY no_source, source_key
+), w AS (SELECT *, CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, n % 3 AS schedule FROM s),
+l AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - 2.0::DOUBLE * CAST(coalesce(sum(source_size) OVER b, 0) AS DOUBLE))
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+  FROM w WINDOW b AS (ORDER BY source_size::DOUBLE / weight, no_source, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (SELECT *, least(2.0::DOUBLE * source_size, max(level) OVER () * weight) AS target FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.schedule, CAST(floor(t.target + 0.5::DOUBLE) AS BIGINT) AS lim,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.no_source, d.source_key ORDER BY d.o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
+  FROM d JOIN t ON d.no_source = t.no_source AND d.source_key = t.source_key
+), q AS (
+  SELECT *, greatest(least(lim - a, size), 0) AS once, greatest(least(lim - source_size - a, size), 0) AS again, 2.0::DOUBLE * (a / target) AS c FROM p
+), r AS (
+  SELECT *, CASE schedule WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN c < 0.625 THEN 0.25 ELSE 1.0 END ELSE CASE WHEN c < 1.375 THEN 1.75 ELSE 1.0 END END::DOUBLE AS lo,
+    CASE schedule WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN c < 0.625 THEN 1.0 ELSE 1.75 END ELSE CASE WHEN c < 1.375 THEN 1.0 ELSE 0.25 END END::DOUBLE AS hi,
+    CASE schedule WHEN 0 THEN 1.0 WHEN 1 THEN 0.625 ELSE 1.375 END::DOUBLE AS half FROM q
+), u AS (SELECT *, c - CASE WHEN c < half THEN 0.0::DOUBLE ELSE half END AS rest FROM r)
+SELECT doc_id, size, source_size, target, CAST(once + again AS BIGINT) AS taken,
+  CASE WHEN once > 0 THEN ((CASE WHEN c < half THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) + 2.0::DOUBLE * rest / (lo + sqrt(greatest(lo * lo + 2.0::DOUBLE * (hi - lo) * rest, 0.0::DOUBLE)))) / 2.0::DOUBLE END AS first_position
+FROM u
+"""
+
+
 QUERIES = {
     "op1_html_content": (op1_html_content, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -118,6 +187,9 @@ QUERIES = {
     "op8_license_scan": (op8_license_scan, None),
     "op9_jaccard_join": (op9_jaccard_join, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
+    "op11_importance_resampling": (op11_importance_resampling, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_source_mixing": (op13_source_mixing, OP13_SQL),
 }
 
 
