@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import null_safe_join
 from ..runtime import cut_lineage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each node's larger neighbours are tied to its least one. Small: its smaller ones.
 
-    The minimum is a partial aggregate; the join behind it has one row per node on one
-    side, so a node with very many neighbours is split as a skewed join is.
+    The minimum is a partial aggregate. The join behind it has one row per node on one
+    side and does not share the aggregate's exchange, so the rows of a node with very many
+    neighbours are split as those of any skewed join.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    tied = both.join(least, "a")
+    tied = null_safe_join(both, least, ["a"])
     if large:
         return tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(

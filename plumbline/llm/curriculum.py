@@ -129,10 +129,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         return F.struct(F.lit(i).alias("pass"), words.alias("words"), F.when(words > 0, when).alias("position"))
 
     visits = F.filter(F.array(*[visit(i) for i in range(passes)]), lambda v: v["words"] > 0)
-    done = single.select(
-        F.col("key").alias(key), F.when(~F.col("no_source"), F.col("source_key")).alias(source), "size", "source_size", "target", visits.alias("visits"))
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda total, v: total + v["words"])
-    return done.withColumn("taken", taken).orderBy(F.get("visits.position", 0).asc_nulls_last())
+    # What is never visited is sorted by its hash: a range of its own for every share of it.
+    return single.withColumn("visits", visits).withColumn("taken", taken).orderBy(F.get("visits.position", 0).asc_nulls_last(), "order").select(
+        F.col("key").alias(key), F.when(~F.col("no_source"), F.col("source_key")).alias(source), "size", "source_size", "target", "taken", "visits")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 from .columns import slices, text_bytes
 from .components import components
-from .packing import CHUNK, Hashes, by_bucket, dealt, mix, pack
+from .packing import CHUNK, Hashes, by_bucket, dealt, forest, mix, pack
 
 #: Documents and n-grams of a block: two blocks meet in one task.
 BLOCK_DOCS = 512
@@ -58,6 +58,9 @@ SAMPLE_STEP, SAMPLE_LEAST, COMMON_LEAST, COMMON_SHARE = 16, 20_000, 16, 1000
 #: Keys that a map task collects before it deals them.
 KEYS_AT_ONCE = 1_000_000
 
+#: Documents of a reducing task's forest.
+TIES_HELD = 1_000_000
+
 KEY = np.dtype([("key", "<u8"), ("doc", "<i8")])
 
 _WHITE = np.zeros(256, bool)
@@ -218,7 +221,7 @@ def _deal_keys(words: int, percent: int, common: np.ndarray, buckets: int):
         x["key"], x["doc"] = np.concatenate(keys), np.repeat(np.array(docs, np.int64), [len(k) for k in keys])
         x, again, head = _by_key(x)
         yield from dealt(0, x[~again], x["key"][~again], buckets)
-        ties = np.unique(_ties(x, again, head))
+        ties = _spanning(_ties(x, again, head))
         if len(ties):
             yield from dealt(1, ties, mix(ties["key"]), buckets)
 
@@ -253,10 +256,27 @@ def _ties(x: np.ndarray, again: np.ndarray, head: np.ndarray) -> np.ndarray:
     return out[out["key"].view(np.int64) != out["doc"]]
 
 
+def _spanning(ties: np.ndarray) -> np.ndarray:
+    """As few ties as connect the same documents."""
+    low, doc = forest(ties["key"].view(np.int64), ties["doc"])
+    out = np.zeros(len(low), KEY)
+    out["key"], out["doc"] = low.view(np.uint64), doc
+    return out
+
+
 def _tie_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One spanning forest of all that share a key in this task (several where it has more than TIES_HELD documents)."""
+
+    def out(ties: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ties["doc"].copy()), pa.array(ties["key"].view(np.int64).copy())], names=["a", "b"])
+
+    held = np.zeros(0, KEY)
     for block in by_bucket(batches, {0: KEY, 1: KEY}):
-        ties = np.unique(np.concatenate([block[1], _ties(*_by_key(block[0]))]))
-        yield pa.RecordBatch.from_arrays([pa.array(ties["doc"].copy()), pa.array(ties["key"].view(np.int64).copy())], names=["a", "b"])
+        held = _spanning(np.concatenate([held, block[1], _ties(*_by_key(block[0]))]))
+        if len(held) > TIES_HELD:
+            yield out(held)
+            held = held[:0]
+    yield out(held)
 
 
 def _sets(words: int):
@@ -327,8 +347,7 @@ def _link_blocks(percent: int):
                     yield settle()
                     held = {}
                 before = block
-                found = np.frombuffer(grams.as_buffer(), np.uint64)
-                held[doc] = found if doc not in held else np.union1d(held[doc], found)
+                held[doc] = np.frombuffer(grams.as_buffer(), np.uint64)
         yield settle()
 
     return run
@@ -347,8 +366,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     without white space); a text with fewer words is one n-gram; an empty or null text has
     the empty set and is linked with nothing. ``component_id`` is the smallest key that
     links reach, the row's own included. Rows that share a key count as one node of the
-    graph; a row without a key has a null component and takes no part. An empty table
-    gives an empty table; further columns are ignored.
+    graph, also if their texts differ (each text is compared for itself); a row without a
+    key has a null component and takes no part. An empty table gives an empty table;
+    further columns are ignored.
     """
     if not 1 <= percent <= 100:
         raise ValueError(f"similarity must be 1 to 100 per cent, not {percent}")
@@ -357,6 +377,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     texts = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     members = cut_lineage(texts.mapInArrow(_sketch(words), "key long, n long, s1 long, s2 long"), "members")
     taking = members.filter("n > 0 AND key IS NOT NULL")
+    of_key = taking.groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("one"), F.max(F.struct("n", "s1", "s2")).alias("other"))
+    if not of_key.filter("one <> other").isEmpty():
+        return _by_text(texts, words, percent).select(F.col("key").alias(key), "n_shingles", "component_id")
     classes = cut_lineage(taking.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc")), "classes")
     # Copies share all their keys, so it does no harm that they make them too: a class is in its family.
     keyed = texts.filter("key IS NOT NULL")
@@ -393,12 +416,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         links = cut_lineage(links.unionByName(_links(packed, to, words, percent)), "links")
         joined = components(links)
     of_class = classes.join(joined, F.col("doc") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "doc").alias("component"))
-    # One key with several texts ties the components of its classes together.
-    member = taking.select("key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"]).select("key", "component")
-    of_key = cut_lineage(member.groupBy("key").agg(F.min("component").alias("component"), F.max("component").alias("other")), "components")
-    several = of_key.filter("component <> other")
-    if not several.isEmpty():
-        joined = components(member.select(F.col("key").alias("a"), F.col("component").alias("b")))
-        of_key = of_key.join(joined, F.col("key") == F.col("id"), "left").select("key", F.coalesce(joined["component"], of_key["component"]).alias("component"))
-    return members.select("key", "n").join(of_key.select("key", "component"), "key", "left").select(
+    member = taking.select("key", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"]).select("key", "component").distinct()
+    return members.select("key", "n").join(member, "key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+
+
+def _by_text(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` where a key has several texts: each (key, text) is a node by its 64-bit hash, and a key ties its nodes' components together."""
+    rows = cut_lineage(texts.withColumn("node", F.when(F.col("key").isNotNull(), F.xxhash64("key", "text"))), "texts")
+    found = near_duplicates(rows, key="node", words=words, percent=percent).distinct()
+    of_row = cut_lineage(rows.select("key", "node").join(found.filter("node IS NOT NULL"), "node"), "nodes")
+    least = of_row.groupBy("component_id").agg(F.min("key").alias("least"))
+    joined = components(of_row.join(least, "component_id").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    keyed = of_row.join(joined, F.col("key") == F.col("id"), "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
+    bare = rows.filter("key IS NULL").mapInArrow(_sketch(words), "key long, n long, s1 long, s2 long").select(
+        "key", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
+    return keyed.unionByName(bare)

@@ -18,19 +18,40 @@ CHUNK = 1 << 20
 #: Records that a reducing task sorts at a time (at least one bucket).
 SORT_AT_ONCE = 400_000
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Hashes are pairs of polynomials modulo this prime, so no structure of a text makes two hashes meet (powers of two as moduli do, for the Thue-Morse word).
+PRIME = (1 << 31) - 1
+_P = np.uint64(PRIME)
+_BASES = ((1_412_379_037, 784_193_329), (1_930_112_849, 362_437_181))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Bytes whose products with powers can be summed without a remainder.
+SUMMED = 1 << 24
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same residue, nearer to the prime: below 2^31 + 4 from below 2^62 in two steps."""
+    high = x >> np.uint64(31)
+    x &= _P
+    x += high
+    return x
+
+
+def _run_of_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have, step = 1, base
+    while have < n:  # doubled each time
+        more = min(have, n - have)
+        out[have:have + more] = out[:more] * np.uint64(step) % _P
+        have, step = have + more, step * step % PRIME
+    return out.astype(np.uint32)
+
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^j and base^-j modulo 2^64 for j < n."""
+    """b^j and b^-j for j < n."""
     found = _POWERS.get(base)
     if found is None or len(found[0]) < n:
         n = max(n, CHUNK + (1 << 17))
-        inverse = np.uint64(pow(int(_BASES[base]), -1, 1 << 64))
-        up, down = np.full(n, _BASES[base]), np.full(n, inverse)
-        up[0] = down[0] = 1
-        found = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        found = _run_of_powers(base, n), _run_of_powers(pow(base, -1, PRIME), n)
         if n <= 4 * CHUNK:
             _POWERS[base] = found
     return found
@@ -43,19 +64,72 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hash of any substring of a chunk, from prefix sums of byte times power."""
-
-    def __init__(self, chunk: np.ndarray, base: int):
-        up, self.down = powers(base, len(chunk) + 1)
-        self.sums = np.zeros(len(chunk) + 1, np.uint64)
-        np.cumsum((chunk.astype(np.uint64) + np.uint64(1)) * up[:len(chunk)], out=self.sums[1:])
+    """Hash of any substring of a chunk, from prefix sums of byte times power; two polynomials make 62 bits."""
+
+    def __init__(self, chunk: np.ndarray, pair: int):
+        self.sides = []
+        value = chunk.astype(np.uint64) + np.uint64(1)
+        for base in _BASES[pair]:
+            up, down = powers(base, len(chunk) + 1)
+            sums = np.zeros(len(chunk) + 1, np.uint64)
+            np.multiply(value, up[:len(chunk)], out=sums[1:])
+            for at in range(1, len(sums), SUMMED):  # whole for all but very long chunks
+                part = sums[at:at + SUMMED]
+                part[0] += sums[at - 1] % _P
+                np.cumsum(part, out=part)
+                if len(sums) > SUMMED:
+                    part %= _P
+            self.sides.append((sums, down))
+
+    def _hash(self, pick) -> np.ndarray:
+        out = None
+        for sums, down in self.sides:
+            stop, start, power = pick(sums, down)
+            x = stop - start
+            x += _P
+            x = _folded(_folded(x))
+            x *= power
+            x = _folded(_folded(x))
+            x[x >= _P] -= _P
+            out = x if out is None else out << np.uint64(31) | x
+        return mix(out)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
+        return self._hash(lambda sums, down: (sums[stop], sums[start], down[start]))
 
     def sliding(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
+        n = len(self.sides[0][0]) - length
+        return self._hash(lambda sums, down: (sums[length:], sums[:n], down[:n]))
+
+
+def hashes_of_rows(rows: np.ndarray, pair: int) -> np.ndarray:
+    """What ``Hashes`` gives for each row of a matrix of bytes (of fewer than SUMMED columns)."""
+    value, out = rows.astype(np.uint64) + np.uint64(1), None
+    for base in _BASES[pair]:
+        x = (value * powers(base, rows.shape[1])[0][:rows.shape[1]]).sum(1, dtype=np.uint64) % _P
+        out = x if out is None else out << np.uint64(31) | x
+    return mix(out)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (a, b): each node but the least of its tree with that least one."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[u], label[v]
+        open_ = x != y
+        if not open_.any():
+            break
+        u, v, x, y = u[open_], v[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = label[label]
+            if (above == label).all():
+                break
+            label = above
+    below = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[below]], ids[below]
 
 
 def dealt(kind: int, records: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
 from .columns import slices, text_bytes
-from .packing import CHUNK, Hashes, by_bucket, dealt, mix, pack, powers
+from .packing import CHUNK, Hashes, by_bucket, dealt, hashes_of_rows, mix, pack
 
 DEPTH = 100
 LANDMARK = 24
@@ -246,7 +246,7 @@ def _cut_pieces(landmark: int, buckets: int):
                 start, stop, place = (np.array(v.values.to_numpy()) for v in (starts, stops, places))
                 at = start.astype(np.int64) + place
                 around = body[at[:, None] + np.arange(landmark)]
-                mark = mix(((around.astype(np.uint64) + np.uint64(1)) * powers(0, landmark)[0][:landmark]).sum(1, dtype=np.uint64))
+                mark = hashes_of_rows(around, 0)
                 for i in range(len(start)):
                     key = int(mark[i])
                     head = np.array((key, doc.as_py(), twin.as_py(), start[i], place[i], 0), PIECE)

@@ -5,9 +5,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from plumbline.llm import jaccard_join, queries, suffix_dedup
+from plumbline.llm import jaccard_join, packing, queries, suffix_dedup
 from plumbline.llm.components import components
 
 from .conftest import ODD, SMALL
@@ -142,6 +143,55 @@ def test_one_key_with_two_texts_joins_their_groups(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_one_key_with_two_near_texts(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join([*a, "more"])), (2, " ".join(b)), (3, " ".join([*b, "more"])), (3, " ".join([*b, "more"])), (4, "other words"), (None, "other words"), (5, None)]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert [x[:2] for x in got] == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 5)]
+    assert [x[2] for x in got] == [56, 56, 57, 57, 57, 1, 0]
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_thue_morse_words_differ(spark):
+    one = thue_morse(10)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, one), (4, two), (5, f"{one} x y z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(frame, words=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    cut = brute_windows([t.encode() for _, t in docs], 100)
+    for r, (kept, n, _runs) in zip(sorted(suffix_dedup.remove_repeats(frame).collect(), key=lambda r: r.doc_id), cut):
+        assert bytes(r.kept) == kept and sum(s.stop - s.start for s in r.removed) == n
+
+
+def test_hashes_of_long_chunks(monkeypatch):
+    data = np.frombuffer(random.Random(2).randbytes(5000) * 2, np.uint8)
+    want = packing.Hashes(data, 1)
+    monkeypatch.setattr(packing, "SUMMED", 700)
+    got = packing.Hashes(data, 1)
+    start, stop = np.array([0, 3, 699, 10, 5010]), np.array([1, 900, 701, 5000, 10000])
+    assert (got.of(start, stop) == want.of(start, stop)).all() and got.of(start, stop)[3] == got.of(start, stop)[4]
+    assert (got.sliding(24) == packing.hashes_of_rows(np.lib.stride_tricks.sliding_window_view(data, 24), 1)).all()
+
+
+def test_forest():
+    r = random.Random(3)
+    for n in (0, 1, 40, 400):
+        links = [(r.randrange(300), r.randrange(300)) for _ in range(n)]
+        low, doc = packing.forest(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+        least = {x: x for link in links for x in link}
+        for _ in range(n):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        assert dict(zip(doc.tolist(), low.tolist())) == {x: y for x, y in least.items() if x != y} and len(set(doc.tolist())) == len(doc)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
