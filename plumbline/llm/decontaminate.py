@@ -4,8 +4,8 @@ A seed is a window of words of which a fixed mask ignores some positions, so a h
 survives substituted words that fall on ignored positions. Every alignment that the
 verification accepts, with ten matching words or more, holds a seed of one mask at least
 (shown by a search of all patterns, see the tests), so seeding loses nothing. An item of
-fewer words must match as a whole, so its seed is a window of all its words. Seeds of all benchmark items form an index; every window of a training text is
-looked up (a bitmap of fixed size answers nearly all of them). A hit gives an alignment of
+fewer words must match as a whole, so its seed is a window of all its words. Seeds of all
+benchmark items form an index; every window of a training text is looked up (a bitmap of fixed size answers nearly all of them). A hit gives an alignment of
 a text and an item, and the alignment is then verified word by word: its best segment,
 where a match counts 1 and a substitution -2, must have enough matching words.
 
@@ -31,6 +31,10 @@ MASKS = ("1110111", "110100111", "110011011", "101010111", "1010010111", "110000
 INDEX_ROWS = 2_000_000
 BITMAP_BITS = 24
 MIN_MATCHED = 10
+#: Seeds found in texts that are held before repeats of an alignment go.
+HITS_AT_ONCE = 500_000
+#: Stand for the seed before the first one.
+FIRST_OF_ITEM, FIRST_OF_TEXT = np.uint64(1), np.uint64(2)
 #: An item of one word is no passage.
 LEAST_WORDS = 2
 
@@ -64,27 +68,56 @@ class Index:
                 codes.append(code)
                 where.append(np.stack([np.full(len(code), number), np.arange(len(code))], 1))
         code, at = np.concatenate(codes), np.concatenate(where)
-        order = np.argsort(code, kind="stable")
-        self.code, self.at = code[order], at[order]
+        before = np.concatenate(([FIRST_OF_ITEM], code[:-1])) if len(code) else code
+        before[at[:, 1] == 0] = FIRST_OF_ITEM
+        order = np.lexsort((before, code))
+        self.code, self.before, self.at = code[order], before[order], at[order]
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.code >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
-    def hits(self, word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position among the words, item, position in the item) of every shared seed within one text."""
-        out = [np.zeros((0, 3), np.int64)]
+    def alignments(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, place of the item's first word among the words) that share a seed, sorted.
+
+        A seed whose predecessors agree too lies on an alignment that the predecessors
+        have shown, so only the first seed of a diagonal is taken: repetitive texts and
+        items give text plus item rows, not text times item.
+        """
+        ways = np.zeros((0, 3), np.int64)
         for mask in self.masks:
             code = seeds(word, mask)
             maybe = np.flatnonzero(self.bitmap[(code >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
             maybe = maybe[text[maybe] == text[maybe + len(mask) - 1]]
+            first, last = (np.searchsorted(self.code, code[maybe], side) for side in ("left", "right"))
+            maybe, first, last = (x[last > first] for x in (maybe, first, last))
             if not len(maybe):
                 continue
-            first, last = (np.searchsorted(self.code, code[maybe], side) for side in ("left", "right"))
-            n = last - first
-            back = np.repeat(np.arange(len(maybe)), n)
-            row = first[back] + np.arange(len(back)) - (np.cumsum(n) - n)[back]
-            out.append(np.column_stack([maybe[back], self.at[row]]))
-        found = np.concatenate(out)
-        return found[:, 0], found[:, 1], found[:, 2]
+            before = np.where((maybe > 0) & (text[maybe - 1] == text[maybe]), code[maybe - 1], FIRST_OF_TEXT)
+            low, high = (_within(self.before, first, last, before, right) for right in (False, True))
+            at = np.concatenate((maybe, maybe))
+            start, n = np.concatenate((first, high)), np.concatenate((low - first, last - high))
+            total = np.cumsum(n)
+            done = 0
+            while done < len(at):
+                end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + HITS_AT_ONCE, side="right")))
+                some = n[done:end]
+                back = np.repeat(np.arange(done, end), some)
+                row = start[back] + np.arange(len(back)) - np.repeat(np.cumsum(some) - some, some)
+                ways = np.unique(np.concatenate((ways, np.stack([text[at[back]], self.at[row, 0], at[back] - self.at[row, 1]], 1))), axis=0)
+                done = end
+        return ways
+
+
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search for each ``wanted`` in its own sorted stretch [low, high) of ``values``."""
+    low, high = low.copy(), high.copy()
+    while True:
+        live = np.flatnonzero(low < high)
+        if not len(live):
+            return low
+        middle = (low[live] + high[live]) // 2
+        up = values[middle] <= wanted[live] if right else values[middle] < wanted[live]
+        low[live[up]] = middle[up] + 1
+        high[live[~up]] = middle[~up]
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
@@ -104,10 +137,9 @@ def _search(index: Index, min_matched: int):
         for whole in batches:
             for batch in slices([whole], "text", CHUNK):
                 w = Words(*text_bytes(batch.column("text")), symbols=False, characters=True)
-                at, item, place = index.hits(w.hash, w.text)
+                ways = index.alignments(w.hash, w.text)
                 rows = []
-                if len(at):
-                    ways = np.unique(np.stack([w.text[at], item, at - place], 1), axis=0)
+                if len(ways):
                     keys, twins = batch.column("key"), batch.column("twin")
                     for t, i, shift in ways.tolist():
                         own, (name, word) = (int(w.bounds[t]), int(w.bounds[t + 1])), index.items[i]

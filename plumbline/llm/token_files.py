@@ -42,7 +42,8 @@ class WordEncoder:
 
     Its model folds case and drops white space before the merges, so no token reaches
     over a space or a line feed, and a text's ids are those of its words in order. A run
-    of the symbols in MARKS after a letter or digit is split off likewise.
+    of the symbols in MARKS after a letter or digit is split off likewise. A text that
+    spells an added token (in any case) is given to the library whole.
     """
 
     def __init__(self, path: str):
@@ -50,12 +51,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def _spells_added(self, text: str) -> bool:
+        return any(token in text or token.lower() in text for token in self.added)
+
     def _ask(self, words: list[str]) -> None:
         """Plain words are asked for many at a time: each is one run of letters, whose last id is one that ends a run."""
         plain = [word for word in words if LETTERS(word)]
@@ -74,7 +78,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
-        words = [_plain(text).replace("\n", " ").split(" ") for text in texts]
+        plain = [_plain(text) for text in texts]
+        whole = {i: array("i", self.tokenizer.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids).tobytes() for i, text in enumerate(plain) if self._spells_added(text)}
+        words = [[] if i in whole else text.replace("\n", " ").split(" ") for i, text in enumerate(plain)]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         known = self.known
@@ -85,7 +91,7 @@ class WordEncoder:
         for word, stem in parts.items():
             known[word] = known[stem] + known[word[len(stem):]]
         last = [] if end is None else [array("i", [end]).tobytes()]
-        per_text = [b"".join([*map(known.__getitem__, w), *last]) for w in words]
+        per_text = [b"".join([whole.get(i, b""), *map(known.__getitem__, w), *last]) for i, w in enumerate(words)]
         sizes = np.fromiter(map(len, per_text), np.int64, len(per_text)) // 4
         return np.frombuffer(b"".join(per_text), np.int32), sizes
 

@@ -310,3 +310,44 @@ def test_html_odd_rows(spark):
     rows = {r.page_id: r for r in html_content.extract(frame).collect()}
     assert len(rows) == len(odd) and rows[0].text == "" and rows[7].text == "x" and rows[0].n_chars == 0
     assert html_content.extract(frame.limit(0)).count() == 0
+
+
+def test_alignments_are_those_of_all_hits():
+    r = np.random.default_rng(4)
+    for vocabulary in (1, 2, 3, 40):
+        items = [(i, r.integers(1, 1 + vocabulary, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for i, n in enumerate((2, 9, 10, 14, 30, 31))]
+        index = decontaminate.Index(items, decontaminate.MASKS)
+        word = r.integers(1, 1 + vocabulary, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        text = np.sort(r.integers(0, 6, 300))
+        want = set()
+        for i, own in items:
+            for mask in decontaminate.MASKS if len(own) >= 10 else ["1" * len(own)]:
+                mine, theirs = decontaminate.seeds(own, mask), decontaminate.seeds(word, mask)
+                for p in range(len(theirs)):
+                    if text[p] == text[p + len(mask) - 1]:
+                        want |= {(int(text[p]), i, p - int(q)) for q in np.flatnonzero(mine == theirs[p])}
+        # A diagonal that goes on from a hit of the same mask is known from there.
+        assert {tuple(x) for x in index.alignments(word, text).tolist()} == want
+
+
+def test_repetitive_texts_in_bounded_memory():
+    import tracemalloc
+
+    item = np.full(200, 7, np.uint64)
+    index = decontaminate.Index([(0, item)], decontaminate.MASKS)
+    word, text = np.full(350_000, 7, np.uint64), np.zeros(350_000, np.int64)
+    tracemalloc.start()
+    ways = index.alignments(word, text)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert 350_000 <= len(ways) <= 350_200
+
+
+def test_words_of_equal_polynomials_are_no_passage(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, f"x {one} y")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.overlaps(docs, items).collect()] == [1]

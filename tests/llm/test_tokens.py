@@ -76,7 +76,6 @@ def test_query_against_the_library(spark, reference):
 
 def expected_files(texts):
     tool = Tokenizer.from_file(WORDS)
-    tool.encode_special_tokens = True
     start, out = 0, []
     for text in texts:
         ids = tool.encode(text, add_special_tokens=False).ids + [1]
@@ -92,6 +91,15 @@ def test_token_files_query(spark):
     assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == expected_files(t for _, t in docs)
 
 
+def test_spelt_out_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "A<|endoftext|>B", "a <|ENDOFTEXT|> b", "<|startoftext|>", "漢 <|endoftext|>. É", "<|endoftext|>\n<|endoftext|>", "plain <| text |>", "<|endoftext|"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "added")
+    token_files.write(token_files.encode_sorted(frame, WORDS), path)
+    got = token_files.catalogue(spark, path).orderBy("start").collect()
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == expected_files(texts)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_with_odd_rows(spark, odd_docs, no_docs, tmp_path, encoding):
     path = str(tmp_path / encoding)
