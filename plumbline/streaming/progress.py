@@ -1,4 +1,4 @@
-"""Status of runs from their progress log: batch twins and the stream.
+"""Status of runs from their progress log: batch twins and the stream. ``throttle`` thins the log out.
 
 Events: job_id, seq, created_utc, event, stage, completed, total, and optionally
 unit, message, code, artifact_path, artifact_sha256. Order is ``seq``.
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TIMEOUT_S = 900
-THROTTLE_MS = 250
 
 STATUS = T.StructType([
     T.StructField("job_id", T.StringType()), T.StructField("status", T.StringType()),
@@ -91,20 +90,6 @@ def stalled_runs(jobs: DataFrame, status: DataFrame, now, timeout_s: int = TIMEO
     return s.select("job_id", final.alias("status"), "stage", code.alias("error_code"), "updated_utc")
 
 
-def throttle(events: DataFrame, window_ms: int = THROTTLE_MS) -> DataFrame:
-    """At most one advance per job, stage and time bucket; final ones always stay.
-
-    Buckets of fixed width, not a sliding gap: the kept set does not depend on the
-    order of arrival, so batch and stream agree.
-    """
-    moving = (F.col("event") == "advance") & (F.col("completed") < F.col("total"))
-    bucket = F.floor(F.col("created_utc").cast("timestamp").cast("double") * 1000 / window_ms)
-    columns = events.columns
-    kept = events.filter(moving).groupBy("job_id", "stage", bucket.alias("__b")).agg(
-        F.min_by(F.struct(*columns), F.col("seq")).alias("r")).select("r.*")
-    return kept.unionByName(events.filter(~F.coalesce(moving, F.lit(False))))
-
-
 def drop_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Repeated lines out: within a watermark on a stream, over all rows in a batch."""
     if events.isStreaming:
@@ -118,7 +103,7 @@ _FIELDS = [f.name for f in STATUS.fields]
 _GROUPS = ("status", "stage", "progress", "unit", "artifact", "error", "started", "updated")
 _STATE = T.StructType([*STATUS.fields, *(T.StructField(f"seq_{g}", T.LongType()) for g in _GROUPS)])
 _STATE_FIELDS = [f.name for f in _STATE.fields]
-_ENDS = {"run_started": "running", "run_completed": "completed", "run_failed": "failed"}
+ENDS = {"run_started": "running", "run_completed": "completed", "run_failed": "failed"}
 
 
 def _number(v):
@@ -145,8 +130,8 @@ def _fold(state: dict, rows: pd.DataFrame) -> None:
         state[f"seq_{group}"] = int(row["seq"])
         return row
 
-    if (r := latest("status", *_ENDS)) is not None:
-        state["status"] = _ENDS[r["event"]]
+    if (r := latest("status", *ENDS)) is not None:
+        state["status"] = ENDS[r["event"]]
     if (r := latest("stage", "stage_started", "advance", "run_completed")) is not None:
         state["stage"] = None if r["event"] == "run_completed" else _text(r["stage"])
     if (r := latest("progress", "stage_started", "advance")) is not None:
