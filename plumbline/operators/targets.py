@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,24 +12,32 @@ from .. import runtime
 from ..functions import annotation as A
 from ..functions import geometry as G
 from ..settings import POCKET, Comparison
-from .ordering import group_quantiles
+from .ordering import group_quantiles, with_buckets
 from .percentile import with_percentiles
 
 UNITS = {"pocket": "A", "surface": "A^2"}
 
 
+#: Targets that travel to the rows, and beyond that: targets of a block, shares of the rows that meet it.
+TARGETS_AT_ONCE, TARGET_BLOCK, ROW_SHARES = 100_000, 10_000, 8
+
+
 def pair_with_targets(rows: DataFrame, targets: DataFrame, on: list[str] = ()) -> DataFrame:
     """Rows next to the targets they are compared with.
 
     ``on`` names the assignment of rows to targets (a run, a batch). Without it the
-    request itself is every row with every target; the target table must then be
-    small enough to travel to the rows.
+    request itself is every row with every target: a target table of up to
+    TARGETS_AT_ONCE rows travels to the rows, a larger one meets them block by block.
     """
     if on:
         return rows.join(targets, list(on))
-    if not runtime.fits_broadcast(targets, 100_000):
-        raise ValueError("too many targets for an all-pairs request; pass the run that assigns them")
-    return rows.crossJoin(F.broadcast(targets))
+    if runtime.fits_broadcast(targets, TARGETS_AT_ONCE):
+        return rows.crossJoin(F.broadcast(targets))
+    blocks = -(-targets.count() // TARGET_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("__share", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(ROW_SHARES)).cast("int")).withColumn("__block", every(blocks))
+    right = targets.withColumn("__block", F.pmod(F.xxhash64("target_id"), F.lit(blocks)).cast("int")).withColumn("__share", every(ROW_SHARES))
+    return left.join(right, ["__block", "__share"]).drop("__block", "__share")
 
 
 def compare(pairs: DataFrame, params: Comparison = Comparison(), model=None) -> DataFrame:
@@ -105,20 +113,77 @@ def band_thresholds(distribution: DataFrame, params: Comparison = Comparison(),
     return q.withColumn("units", F.when(F.col("binding_mode") == POCKET, "A").otherwise("A^2"))
 
 
-def calibrated(compared: DataFrame, bank: DataFrame, targets: DataFrame, params: Comparison = Comparison(),
-               id_cols=("candidate_id",), max_values: int = 1_000_000) -> DataFrame:
+def calibrated(compared: DataFrame, bank: DataFrame, params: Comparison = Comparison(), max_values: int = 1_000_000) -> DataFrame:
     """Control percentiles for a bank of any size.
 
-    Up to ``max_values`` distinct controls travel to the rows; beyond that each target's
-    distribution is looked up by a join.
+    Up to ``max_values`` distinct controls travel to the rows; beyond that the bounds of
+    each comparison are looked up in ranges of the bank.
     """
     sizes = bank_sizes(bank, params)
     if runtime.fits_broadcast(sizes, max_values):
         return bank_percentiles(compared, bank, params, sizes)
-    asked = targets.join(compared.select("target_id").distinct(), "target_id", "left_semi")
-    dist = target_distribution(bank, asked, params)
-    scored = control_percentile(compared, dist, id_cols=id_cols)
-    return control_percentile(scored, dist, "disagreement_extended", "control_percentile_extended", id_cols)
+    return interval_percentiles(compared, bank, params, sizes)
+
+
+#: Distinct controls of a range of the bank.
+RANGE_VALUES = 4096
+
+
+def _prefix(values, holds, bits: int):
+    """How many entries of an array satisfy a condition that holds for a prefix of it."""
+    steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda pos, step: F.when(F.coalesce(holds(F.get(values, pos + step - 1)), F.lit(False)), pos + step).otherwise(pos))
+
+
+def interval_percentiles(compared: DataFrame, bank: DataFrame, params: Comparison = Comparison(), sizes: DataFrame | None = None,
+                         range_values: int = RANGE_VALUES) -> DataFrame:
+    """Same numbers as ``bank_percentiles`` for a bank of any size, by a range-partitioned interval join.
+
+    The controls that fit worse than a candidate lie outside an interval around the
+    target's value. The distinct controls are cut into ranges with prefix counts; both
+    bounds of every distinct (target value, gap) are placed in a range by the ranges'
+    first values, which travel (at most 2^16 of each kind), and are looked up there by an
+    equi-join. The distance itself is compared, so ties compare the very same doubles.
+    Neither bank and targets nor bank and candidates are ever paired.
+    """
+    sizes = runtime.cut_lineage((bank_sizes(bank, params) if sizes is None else sizes), "bank")
+    entries = F.array_sort(F.collect_list(F.struct("value", "n")))
+    ranges = with_buckets(sizes, ["kind"], "value", range_values).groupBy("kind", "__bucket").agg(entries.alias("e"), F.sum("n").alias("n"))
+    ahead = Window.partitionBy("kind").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = runtime.cut_lineage(ranges.select(
+        "kind", (F.row_number().over(Window.partitionBy("kind").orderBy("__bucket")) - 1).alias("range"), F.col("e.value").alias("values"), F.col("e.n").alias("counts"),
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), "n"), "ranges")
+    kinds = ranges.groupBy("kind").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("range", F.get("values", 0).alias("first")))), lambda x: x["first"]).alias("firsts"), F.sum("n").alias("total"))
+
+    pocket = F.col("binding_mode") == POCKET
+    main = F.struct(F.when(pocket, F.lit(params.primary)).otherwise(F.lit("surface")).alias("kind"),
+                    F.when(pocket, F.col("d_pocket_A")).otherwise(F.col("patch_area_A2")).cast("double").alias("centre"), F.col("disagreement").cast("double").alias("gap"))
+    other = F.struct(F.lit("extended").alias("kind"), F.when(pocket, F.col("d_pocket_A")).cast("double").alias("centre"), F.col("disagreement_extended").cast("double").alias("gap"))
+    asked = compared.select(F.explode(F.array(main, other)).alias("q")).select("q.*").filter("centre IS NOT NULL AND gap IS NOT NULL").distinct()
+    c, g = F.col("centre"), F.col("gap")
+    # The counts below the interval (further away, or as far), and up to its end.
+    tests = (lambda v: (v < c) & (F.abs(v - c) > g), lambda v: (v < c) & (F.abs(v - c) >= g),
+             lambda v: (v < c) | (F.abs(v - c) <= g), lambda v: (v < c) | (F.abs(v - c) < g))
+    probes = asked.join(F.broadcast(kinds), "kind", "left").select(
+        "kind", "centre", "gap", "total", F.posexplode(F.array(*[_prefix(F.col("firsts"), t, 17) - 1 for t in tests])).alias("which", "range"))
+    inside = F.when(F.col("which") == 0, _prefix(F.col("values"), tests[0], 20)).when(F.col("which") == 1, _prefix(F.col("values"), tests[1], 20)).when(
+        F.col("which") == 2, _prefix(F.col("values"), tests[2], 20)).otherwise(_prefix(F.col("values"), tests[3], 20))
+    found = probes.join(ranges.drop("n"), ["kind", "range"], "left").select(
+        "kind", "centre", "gap", "total", "which",
+        F.when(F.col("range") < 0, F.lit(0)).otherwise(F.col("before") + F.aggregate(F.slice("counts", F.lit(1), inside), F.lit(0).cast("long"), lambda t, n: t + n)).alias("count"))
+    at = lambda i: F.max(F.when(F.col("which") == i, F.col("count")))
+    looked = found.groupBy("kind", "centre", "gap").agg(F.max("total").alias("total"), *[at(i).alias(f"n{i}") for i in range(4)])
+    greater, at_least = F.col("n0") + F.col("total") - F.col("n2"), F.col("n1") + F.col("total") - F.col("n3")
+    empty = F.raise_error(F.lit("no control produced a usable measurement for this mode")).cast("double")
+    looked = looked.select("kind", "centre", "gap", F.when(F.col("total").isNull(), empty).otherwise(
+        (greater + 0.5 * (at_least - greater)) / F.col("total")).alias("share"))
+    out = compared.withColumns({"__m": main, "__o": other})
+    for of, name in (("__m", "control_percentile"), ("__o", "control_percentile_extended")):
+        table = looked.select(F.col("kind").alias(f"{of}k"), F.col("centre").alias(f"{of}c"), F.col("gap").alias(f"{of}g"), F.col("share").alias(name))
+        out = out.join(table, (F.col(f"{of}.kind") == F.col(f"{of}k")) & (F.col(f"{of}.centre") == F.col(f"{of}c")) & (F.col(f"{of}.gap") == F.col(f"{of}g")), "left").drop(
+            f"{of}k", f"{of}c", f"{of}g")
+    return out.drop("__m", "__o")
 
 
 def bank_sizes(bank: DataFrame, params: Comparison = Comparison()) -> DataFrame:

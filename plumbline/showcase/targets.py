@@ -90,11 +90,18 @@ def distribution(spark, sf):
         F.round(F.max("disagreement"), 6).alias("highest"), F.round(F.avg("disagreement"), 6).alias("mean"))
 
 
+def _pairs(spark, sf):
+    return targets.compare(targets.pair_with_targets(sized(spark, sf), view(spark, sf, "v_targets")))
+
+
 def percentiles(spark, sf):
-    t = view(spark, sf, "v_targets")
-    dist = targets.target_distribution(view(spark, sf, "v_bank"), t)
-    pairs = targets.compare(targets.pair_with_targets(sized(spark, sf), t))
-    out = targets.control_percentile(pairs.select("candidate_id", "target_id", "disagreement"), dist)
+    out = targets.calibrated(_pairs(spark, sf), view(spark, sf, "v_bank"))
+    return out.select("candidate_id", "target_id", F.round("control_percentile", 9).alias("control_percentile"))
+
+
+def percentiles_by_range(spark, sf):
+    """The plan for a bank of any size: bounds looked up in ranges of it."""
+    out = targets.interval_percentiles(_pairs(spark, sf), view(spark, sf, "v_bank"), range_values=16)
     return out.select("candidate_id", "target_id", F.round("control_percentile", 9).alias("control_percentile"))
 
 
@@ -114,14 +121,19 @@ def thresholds(spark, sf):
         "disagreement_at_moderate", "disagreement_at_strong", "control_disagreement_median")])
 
 
-def annotate(spark, sf):
+def annotate(spark, sf, max_bank=1_000_000):
     ranked = ranking.rank_candidates(sized(spark, sf))
-    out = annotate_targets(ranked, view(spark, sf, "v_targets"), view(spark, sf, "v_bank"), PARAMS, keep_unevaluated=True)
+    out = annotate_targets(ranked, view(spark, sf, "v_targets"), view(spark, sf, "v_bank"), PARAMS, keep_unevaluated=True, max_bank=max_bank)
     return out.select(
         "candidate_id", "target_id", "rank", "binding_mode", "status", "band", "descriptor",
         *[F.round(c, 6).alias(c) for c in ("disagreement", "agreement", "control_percentile", "control_percentile_extended")])
 
 
+def annotate_by_range(spark, sf):
+    """No control travels: every bound is looked up by a join."""
+    return annotate(spark, sf, 0)
+
+
 def compare_sql(rows: str, model: str = "'radius_of_gyration'") -> str:
     """``cmp``: every row of ``rows`` against every target, in plain arithmetic."""
     return f"""pairs AS (SELECT r.*, t.*, CASE WHEN binding_mode = 'pocket' THEN loop_nt_median WHEN {model} = 'length' THEN length ELSE rg_median_A END AS descriptor
@@ -160,6 +172,13 @@ pct AS (SELECT c.*, CASE WHEN c.disagreement IS NULL THEN NULL WHEN d.v IS NULL
 _BAND = "CASE WHEN cp IS NULL THEN 'not_evaluated' WHEN cp >= 0.95::DOUBLE THEN 'strong' WHEN cp >= 0.75::DOUBLE THEN 'moderate' ELSE 'weak' END"
 _PCT = f"WITH {percentile_sql('SELECT * FROM v_sized')} SELECT candidate_id, target_id, round(cp, 9) AS control_percentile FROM pct"
 
+_ANNOTATED = f"""WITH rk AS (SELECT *, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank FROM v_sized),
+        {percentile_sql('SELECT * FROM rk')} SELECT candidate_id, target_id, rank, binding_mode,
+        CASE WHEN rank > 200 THEN 'not_evaluated' WHEN evaluable THEN 'evaluated' WHEN binding_mode = 'pocket' THEN 'not_evaluable_no_contact_loop' ELSE 'not_evaluable_no_footprint' END AS status,
+        CASE WHEN rank > 200 THEN 'not_evaluated' ELSE {_BAND} END AS band, CASE WHEN rank <= 200 THEN descriptor END AS descriptor,
+        CASE WHEN rank <= 200 THEN round(disagreement, 6) END AS disagreement, CASE WHEN rank <= 200 AND evaluable THEN round({AGREE}, 6) END AS agreement,
+        CASE WHEN rank <= 200 THEN round(cp, 6) END AS control_percentile, CASE WHEN rank <= 200 THEN round(cpx, 6) END AS control_percentile_extended FROM pct"""
+
 QUERIES = {
     "b11_aptamer_reach": (reach, "SELECT candidate_id, round(6 * sqrt(loop_nt_median), 9) AS flexible, round(6 * loop_nt_median, 9) AS extended FROM v_sized"),
     "b12_footprint_area": (footprint, """SELECT candidate_id, CASE WHEN loop_nt_median <> 0 THEN round(9 * length, 6) END AS by_length,
@@ -184,15 +203,12 @@ QUERIES = {
     "d10_target_distribution": (distribution, f"""WITH {compare_sql('SELECT * FROM v_bank')} SELECT target_id, binding_mode, count(*) AS n, round(min(disagreement), 6) AS lowest,
         round(max(disagreement), 6) AS highest, round(avg(disagreement), 6) AS mean FROM cmp WHERE evaluable GROUP BY 1, 2"""),
     "d9_control_percentile": (percentiles, _PCT),
+    "d9_control_percentile_ranges": (percentiles_by_range, _PCT),
     "d9_control_percentile_shuffled": (percentiles_by_shuffle, _PCT),
     "d11_band_thresholds": (thresholds, f"""WITH {compare_sql('SELECT * FROM v_bank')} SELECT target_id, count(*) AS n_controls,
         CASE WHEN any_value(binding_mode) = 'pocket' THEN 'A' ELSE 'A^2' END AS units, round(quantile_cont(disagreement, 0.25), 6) AS disagreement_at_moderate,
         round(quantile_cont(disagreement, 0.05), 6) AS disagreement_at_strong, round(median(disagreement), 6) AS control_disagreement_median
         FROM cmp WHERE evaluable GROUP BY 1"""),
-    "g4_annotate_targets": (annotate, f"""WITH rk AS (SELECT *, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank FROM v_sized),
-        {percentile_sql('SELECT * FROM rk')} SELECT candidate_id, target_id, rank, binding_mode,
-        CASE WHEN rank > 200 THEN 'not_evaluated' WHEN evaluable THEN 'evaluated' WHEN binding_mode = 'pocket' THEN 'not_evaluable_no_contact_loop' ELSE 'not_evaluable_no_footprint' END AS status,
-        CASE WHEN rank > 200 THEN 'not_evaluated' ELSE {_BAND} END AS band, CASE WHEN rank <= 200 THEN descriptor END AS descriptor,
-        CASE WHEN rank <= 200 THEN round(disagreement, 6) END AS disagreement, CASE WHEN rank <= 200 AND evaluable THEN round({AGREE}, 6) END AS agreement,
-        CASE WHEN rank <= 200 THEN round(cp, 6) END AS control_percentile, CASE WHEN rank <= 200 THEN round(cpx, 6) END AS control_percentile_extended FROM pct"""),
+    "g4_annotate_targets": (annotate, _ANNOTATED),
+    "g4_annotate_targets_ranges": (annotate_by_range, _ANNOTATED),
 }
