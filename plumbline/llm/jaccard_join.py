@@ -23,7 +23,8 @@ matrices and summed per pair, which decides every link exactly. Only a spanning
 the links leaves the task. A large family is split into blocks that meet two by two; what
 is joined to the family's main component by then need not meet again.
 
-Copies of a set are one class from the start.
+Copies of a set are one class from the start. Ties are merged twice, by key and then by
+document, so that a near copy with hundreds of keys is tied once and not in every task.
 """
 
 from __future__ import annotations
@@ -264,19 +265,32 @@ def _spanning(ties: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tie_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One spanning forest of all that share a key in this task (several where it has more than TIES_HELD documents)."""
-
-    def out(ties: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ties["doc"].copy()), pa.array(ties["key"].view(np.int64).copy())], names=["a", "b"])
-
+def _forests(batches: Iterator[pa.RecordBatch], make) -> Iterator[np.ndarray]:
+    """One spanning forest of the ties of all blocks of a task (several where it has more than TIES_HELD documents)."""
     held = np.zeros(0, KEY)
     for block in by_bucket(batches, {0: KEY, 1: KEY}):
-        held = _spanning(np.concatenate([held, block[1], _ties(*_by_key(block[0]))]))
+        held = _spanning(np.concatenate([held, *make(block)]))
         if len(held) > TIES_HELD:
-            yield out(held)
+            yield held
             held = held[:0]
-    yield out(held)
+    yield held
+
+
+def _tie_keys(buckets: int):
+    """From keys to ties, packed by document: a document is tied once in each task that has a key of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ties in _forests(batches, lambda block: (block[1], _ties(*_by_key(block[0])))):
+            if len(ties):
+                yield from dealt(1, ties, mix(ties["doc"].view(np.uint64)), buckets)
+
+    return run
+
+
+def _tie_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All ties of a document meet here, so it leaves once, whatever the number of its keys and of tasks."""
+    for ties in _forests(batches, lambda block: (block[1],)):
+        yield pa.RecordBatch.from_arrays([pa.array(ties["doc"].copy()), pa.array(ties["key"].view(np.int64).copy())], names=["a", "b"])
 
 
 def _sets(words: int):
@@ -385,7 +399,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     keyed = texts.filter("key IS NOT NULL")
     common = np.zeros(0, np.uint64) if percent >= HIGH else common_grams(keyed, words)
     dealt_keys = keyed.mapInArrow(_deal_keys(words, percent, common, buckets), "bucket int, kind int, records binary")
-    ties = dealt_keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_keys, "a long, b long")
+    packed_rows = "bucket int, kind int, records binary"
+    in_buckets = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    by_doc = in_buckets(dealt_keys).mapInArrow(_tie_keys(buckets), packed_rows)
+    ties = in_buckets(by_doc).mapInArrow(_tie_docs, "a long, b long")
     families = cut_lineage(components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
                            .join(classes.groupBy("doc").agg(F.sum("n").alias("n")), "doc"), "families")
 
