@@ -2,8 +2,8 @@
 
 Every block element is a variable with three states: frame of the page, part of the
 article, or something beside it. A child depends on
-its parent and its own tag (parent-child potentials), its class and id words, link
-density and length depend on its state (node potentials). All potentials are relative
+its parent and its own tag (parent-child potentials); its class and id words, link
+density, length and length of its own text depend on its state (node potentials). All potentials are relative
 frequencies on labelled pages. Sum-product messages go up from the leaves and down from
 the root once each, which gives the exact marginals of every node; the text of a block is
 kept if its marginal to be article is at least one half.
@@ -52,14 +52,33 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, node that its text belongs to)
-        links = 0
+        depths: dict[str, list[int]] = {}  # where elements of a name are open; "" for all block elements
+        unclosed: set[str] = set()  # names of which no end tag follows
         at = 0
+
+        def opened(name: str, node: int, block: bool) -> None:
+            depths.setdefault(name, []).append(len(stack))
+            if block:
+                depths.setdefault("", []).append(len(stack))
+            stack.append((name, node))
+
+        def closed(depth: int) -> None:
+            """The element at ``depth`` ends, and all that it holds."""
+            while len(stack) > depth:
+                name, _ = stack.pop()
+                depths[name].pop()
+                if depths.get("") and depths[""][-1] == len(stack):
+                    depths[""].pop()
+
+        def nearest(names) -> int:
+            return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
         end = len(source)
         while at < end:
             m = _TAG.search(source, at)
             start = m.start() if m else end
             if start > at:
-                self._text(source[at:start], stack[-1][1], links > 0)
+                self._text(source[at:start], stack[-1][1], bool(depths.get("a")))
             if not m:
                 break
             at = m.end()
@@ -70,16 +89,15 @@ class Page:
             if closing:
                 if name in ("p", "br") or name not in INLINE:
                     self.pieces.append((stack[-1][1], None))
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
-                        links -= sum(t == "a" for t, _ in stack[depth:])
-                        del stack[depth:]
-                        break
+                if depths.get(name):
+                    closed(depths[name][-1])
                 continue
             if name in DROPPED:
                 if rest.endswith("/") and name not in RAW:
                     continue
-                close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
+                if not close:
+                    unclosed.add(name)
                 if name == "head":  # its end may be missing: the body ends it too
                     close = re.compile(r"</head[\s>]|<body[\s>]", re.I).search(source, at)
                     if close and close[0].lower().startswith("<body"):
@@ -96,20 +114,15 @@ class Page:
                     self.pieces.append((stack[-1][1], None))
                 continue
             if name in INLINE:
-                links += name == "a"
                 if not rest.endswith("/"):
-                    stack.append((name, stack[-1][1]))
+                    opened(name, stack[-1][1], False)
                 continue
             self.pieces.append((stack[-1][1], None))
             walls = WALLS.get(name)
             shut = CLOSES.get(name) or {"p"}
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in shut:
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
-                    break
-                if (walls and stack[depth][0] in walls) or (not walls and stack[depth][0] not in INLINE):
-                    break
+            inner = nearest(shut)
+            if inner and inner >= nearest(walls if walls else ("",)):
+                closed(inner)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1][1])
@@ -118,7 +131,7 @@ class Page:
             self.linked.append(0)
             self.label.append(int(rest.split(CONTENT, 1)[1][2]) if CONTENT in rest else None)
             if not rest.endswith("/"):
-                stack.append((name, node))
+                opened(name, node, True)
 
     def _text(self, text: str, node: int, link: bool) -> None:
         if "&" in text:
@@ -137,7 +150,7 @@ class Page:
         return out
 
     def features(self) -> list[list[str]]:
-        size, linked = list(self.size), list(self.linked)
+        size, linked, own = list(self.size), list(self.linked), self.size
         for node in range(len(size) - 1, 0, -1):
             size[self.parent[node]] += size[node]
             linked[self.parent[node]] += linked[node]
@@ -145,7 +158,8 @@ class Page:
         for node, names in enumerate(self.names):
             n = size[node]
             share = linked[node] / n if n else 0
-            out.append([*names, "links:%d" % (0 if share < 0.1 else 1 if share < 0.5 else 2), "size:%d" % (0 if n == 0 else 1 if n < 40 else 2 if n < 400 else 3)])
+            out.append([*(names or ("unnamed",)), "links:%d" % (0 if share < 0.1 else 1 if share < 0.5 else 2), "size:%d" % (0 if n == 0 else 1 if n < 40 else 2 if n < 400 else 3),
+                        "own:%d" % (0 if own[node] < 20 else 1 if own[node] < 80 else 2)])
         return out
 
 

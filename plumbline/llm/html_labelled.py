@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-N_PAGES = 400
+N_PAGES = 600
 
 _WORDS = "river stone light garden morning paper window road winter letter market bridge music table forest island".split()
 
@@ -75,8 +75,8 @@ class _Writer:
             return self.part("div.breadcrumb ol.breadcrumbs div.crumbs nav.breadcrumb div.breadcrumbs div.pager div.pagination ul.pagination div.tags div.meta", self.links(2, 5, r.choice(["li", "span"])))
         raise ValueError(kind)
 
-    def body(self) -> str:
-        """What an article is made of."""
+    def body(self, wrapped: bool = False) -> str:
+        """What an article is made of, each block in an element of its own if ``wrapped``."""
         r, out = self.r, []
         if r.random() < 0.8:
             out.append(f"<h1>{self.words(2, 9)}</h1>")
@@ -99,6 +99,8 @@ class _Writer:
                 out.append(f"<figure><img src=x><figcaption>{self.words(3, 9)}</figcaption></figure>")
             else:
                 out.append(f"<div>{self.sentences(1, 5)}</div>" if r.random() < 0.5 else f"<section><h2>{self.words(1, 4)}</h2><p>{self.sentences(1, 4)}</p></section>")
+        if wrapped:
+            out = [f"<div>{block}</div>" for block in out]
         for kind in ("advert", "share", "related", "form", "notice", "comments", "sidebar", "crumbs", "menu"):
             if r.random() < 0.06:
                 out.insert(r.randint(0, len(out)), self.around(kind))
@@ -107,8 +109,25 @@ class _Writer:
     def page(self) -> str:
         r = self.r
         markup = "article article article article.post div.article div.content div#content div.post div.entry-content div.article-body section.story main div.story div#main-content div.post-content div.text div@main div.body-text section.article"
-        article = self.part(markup, self.body(), 1)
-        if r.random() < 0.3:
+        layout = r.choice(["named"] * 6 + ["plain", "plain", "bare", "cells", "hashed"])
+        if layout == "plain":  # blocks without names, in one another
+            article = self.part("div div section", self.body(r.random() < 0.4), 1)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                article = self.part("div", article, 0)
+        elif layout == "hashed":
+            name = lambda: "".join(r.choice("bcdfghjkqvwxz0123456789") for _ in range(7))
+            article = self.part(f"div.{name()} section.{name()} div#{name()}", self.body(), 1)
+            if r.random() < 0.5:
+                article = self.part(f"div.{name()}", article, 0)
+        elif layout == "cells":
+            side = "".join(self.part("td", f"<ul>{self.links(2, 7)}</ul>", 2) for _ in range(r.randint(0, 1)))
+            article = self.part("td", self.body(), 1)
+            article = self.part("table", self.part("tr", side + article if r.random() < 0.5 else article + side, 0), 0)
+        elif layout == "bare":  # nothing but the body around it
+            article = self.body(r.random() < 0.3) if r.random() < 0.7 else self.sentences(1, 9) + r.choice(["", "<br>", "<p>"]) + self.sentences(1, 9)
+        else:
+            article = self.part(markup, self.body(), 1)
+        if layout == "named" and r.random() < 0.3:
             article = self.part("main div.wrapper div#main div.container main.main div.page td.main div.layout div.row", article, 0)
         before = [self.around(k) for k in ("header", "menu", "crumbs", "advert", "notice", "form") if r.random() < 0.4]
         after = [self.around(k) for k in ("sidebar", "related", "share", "advert", "comments", "form", "notice", "footer") if r.random() < 0.4]
@@ -116,9 +135,9 @@ class _Writer:
         if r.random() < 0.5:
             r.shuffle(after)
         middle = "".join(before) + article + "".join(after)
-        if r.random() < 0.25:
+        if layout != "bare" and r.random() < 0.25:
             middle = self.part("div.wrapper div#page div.container div.site div#root", middle, 0)
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>{middle}" + r.choice(["</body></html>", ""])
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body{' data-content="1"' if layout == "bare" else ''}>{middle}" + r.choice(["</body></html>", ""])
 
 
 def labelled_pages(n: int = N_PAGES) -> Iterator[str]:

@@ -351,3 +351,31 @@ def test_words_of_equal_polynomials_are_no_passage(spark):
     docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y")], "doc_id long, text string")
     items = spark.createDataFrame([(5, f"x {one} y")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.overlaps(docs, items).collect()] == [1]
+
+
+BODY = "<h1>A long title</h1><p>The first paragraph has some words in it.</p><p>The second one says a little more than that.</p>"
+TEXT = "A long title The first paragraph has some words in it. The second one says a little more than that."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{BODY}</body>",
+    f"<html><head><title>t</title></head><body><div>{BODY}</div></body></html>",
+    f"<body><div><div>{BODY}</div></div></body>",
+    f"<body><table><tr><td>{BODY}</td></tr></table></body>",
+    f"<body><div class='css-1q8xz7k'>{BODY}</div></body>",
+    f"<body>{TEXT}</body>",
+    f"<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></nav><div>{BODY}</div><footer>Copyright 2020</footer></body>",
+    f"<body><div class='menu'><a href=x>Home</a> <a href=y>News</a></div>{BODY}<div class='footer'>All rights reserved</div></body>",
+])
+def test_pages_without_a_known_container(page):
+    assert html_content.trained().text(page) == TEXT
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</section>" * 40_000, "<span>" * 40_000 + "<p>x</p></b>" * 40_000, "<canvas>" * 60_000 + "x", "<ul><li><ul>" + "<div>" * 20_000 + "<li>y</li>" * 20_000,
+                                  "<svg>" * 60_000, "<td>" * 100_000])
+def test_long_pages_take_linear_time(page):
+    import time
+
+    begin = time.time()
+    html_content.Page(page)
+    assert time.time() - begin < 5
