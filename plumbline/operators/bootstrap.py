@@ -4,16 +4,24 @@ Draw j of replicate r is a hash of (seed, r, j), so any engine repeats it and no
 task owns a random stream. Draws are counted per (replicate, drawn row) before they
 meet the values, and values are counted per (replicate, value) before ranking, so
 the data of one replicate shrinks at both shuffles.
+
+The compact forms draw counts instead of rows: a binomial split tree over ranges of the
+distinct values, and a multinomial inside a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import hash_draw
 from ..functions.scores import is_finite
-from .ordering import group_quantiles, row_numbers, wants_spread
+from ..runtime import cut_lineage
+from .ordering import group_quantiles, row_numbers, wants_spread, with_buckets
 from .stats import mann_whitney_counts
 
 
@@ -133,3 +141,104 @@ def paired_bootstrap(df: DataFrame, value: str, id_col: str, n_boot: int = 2000,
         (F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m")).withColumn("__all", F.lit(0))
     ci = group_quantiles(means, ["__all"], "m", {"ci_low": .025, "ci_high": .975}, False)
     return point.join(ci, "__all").drop("__all")
+
+
+#: Distinct values of a range; all replicates of a range are drawn by one task.
+RANGE_VALUES = 512
+
+
+def _stream(seed: int, label: str, *node) -> np.random.Generator:
+    """The random numbers of one node of the split tree, the same wherever they are asked for."""
+    name = hashlib.blake2b(repr((seed, label, *node)).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(name, "little")))
+
+
+def split_draws(totals: np.ndarray, which: int, n_boot: int, seed: int, label: str) -> np.ndarray:
+    """How many of the draws of every replicate fall into range ``which`` of ranges that hold ``totals`` rows.
+
+    The draws are split in two again and again, a binomial at every node of a tree over
+    the ranges, so a range needs the nodes above it only and all ranges agree.
+    """
+    sums = np.concatenate(([0], np.cumsum(totals)))
+    lo, hi = 0, len(totals)
+    counts = np.full(n_boot, sums[-1], np.int64)
+    while hi - lo > 1:
+        middle, whole = (lo + hi) // 2, sums[hi] - sums[lo]
+        left = _stream(seed, label, lo, hi).binomial(counts, (sums[middle] - sums[lo]) / whole if whole else 0.0)
+        counts, lo, hi = (left, lo, middle) if which < middle else (counts - left, middle, hi)
+    return counts
+
+
+def value_draws(rows: np.ndarray, totals: np.ndarray, which: int, n_boot: int, seed: int, label: str) -> np.ndarray:
+    """(replicate, value): how often each of a range's values, held by ``rows`` rows each, is drawn."""
+    counts = split_draws(totals, which, n_boot, seed, label)
+    if not rows.sum():
+        return np.zeros((n_boot, len(rows)), np.int64)
+    return _stream(seed, label, "in", which).multinomial(counts, rows / rows.sum())
+
+
+def _ranged(compact: DataFrame, range_values: int) -> DataFrame:
+    """Distinct values with the number of their range, written once."""
+    cut = with_buckets(compact.withColumn("__all", F.lit(0)), ["__all"], "v", range_values).drop("__all")
+    return cut_lineage(cut.withColumnRenamed("__bucket", "range"), "values")
+
+
+def _range_totals(ranged: DataFrame, *columns: str) -> tuple[list[int], list[np.ndarray]]:
+    """Rows of each range: at most 2^16 small numbers."""
+    found = ranged.groupBy("range").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("range").toArrow()
+    return found.column("range").to_pylist(), [found.column(c).to_numpy().astype(np.int64) for c in columns]
+
+
+def bootstrap_auc_compact(df: DataFrame, value: str, positive: str, n_boot: int = 2000, seed: int = 42, range_values: int = RANGE_VALUES) -> DataFrame:
+    """``bootstrap_auc`` over distinct values: exact multinomial counts by a binomial split tree.
+
+    Work and memory follow the number of distinct values and of replicates; what is
+    shuffled is one row per replicate and range. Rows with a null or non-finite value take
+    no part; without a positive or without another row the interval is null.
+    """
+    ok = df.filter(is_finite(F.col(value)) & F.col(positive).isNotNull())
+    ranged = _ranged(ok.groupBy(F.col(value).cast("double").alias("v")).agg(
+        F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg")), range_values)
+    names, (pos, neg) = _range_totals(ranged, "pos", "neg")
+    if not names or not pos.sum() or not neg.sum():
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"), F.lit(0).cast("long").alias("n_boot"))
+    place = {name: i for i, name in enumerate(names)}
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v")
+        which = place[int(rows["range"].iloc[0])]
+        a = value_draws(rows["pos"].to_numpy(np.int64), pos, which, n_boot, seed, "pos")
+        b = value_draws(rows["neg"].to_numpy(np.int64), neg, which, n_boot, seed, "neg")
+        wins = (a * (np.cumsum(b, axis=1) - b + 0.5 * b)).sum(1)
+        return pd.DataFrame({"replicate": np.arange(n_boot), "range": which, "pos": a.sum(1), "neg": b.sum(1), "wins": wins})
+
+    parts = ranged.groupBy("range").applyInPandas(draw, "replicate long, range int, pos long, neg long, wins double")
+    below = Window.partitionBy("replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    won = parts.select("replicate", (F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0))).alias("wins"))
+    auc = won.groupBy("replicate").agg((F.sum("wins") / float(pos.sum()) / float(neg.sum())).alias("auc")).withColumn("__all", F.lit(0))
+    return group_quantiles(auc, ["__all"], "auc", {"ci_low": .025, "ci_high": .975}, False, n="n_boot").drop("__all")
+
+
+def paired_bootstrap_compact(df: DataFrame, value: str, n_boot: int = 2000, seed: int = 42, range_values: int = RANGE_VALUES) -> DataFrame:
+    """``paired_bootstrap`` over distinct differences, drawn as in ``bootstrap_auc_compact``."""
+    ok = df.filter(is_finite(F.col(value)))
+    ranged = _ranged(ok.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), range_values)
+    names, (n,) = _range_totals(ranged, "n")
+    point = ranged.withColumn("__all", F.lit(0)).groupBy("__all").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.when(F.col("v") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("fraction_positive"))
+    if not names or n.sum() < 2:
+        few = df.sparkSession.range(1).select(F.lit(int(n.sum())).cast("long").alias("n"))
+        return few.select("n", *[F.lit(None).cast("double").alias(c) for c in ("mean", "median", "fraction_positive", "ci_low", "ci_high")])
+    place = {name: i for i, name in enumerate(names)}
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        which = place[int(rows["range"].iloc[0])]
+        rows = rows.sort_values("v")
+        times = value_draws(rows["n"].to_numpy(np.int64), n, which, n_boot, seed, "pair")
+        return pd.DataFrame({"replicate": np.arange(n_boot), "total": times @ rows["v"].to_numpy()})
+
+    means = ranged.groupBy("range").applyInPandas(draw, "replicate long, total double").groupBy("replicate").agg(
+        (F.sum("total") / float(n.sum())).alias("m")).withColumn("__all", F.lit(0))
+    ci = group_quantiles(means, ["__all"], "m", {"ci_low": .025, "ci_high": .975}, False)
+    median = group_quantiles(ok.withColumn("__all", F.lit(0)), ["__all"], value, {"median": .5})
+    return point.join(median, "__all").join(ci, "__all").select("n", "mean", "median", "fraction_positive", "ci_low", "ci_high")

@@ -184,6 +184,16 @@ def boot_paired(spark, sf):
     return _r(bootstrap.paired_bootstrap(df, "d", "candidate_id", N_BOOT), "mean", "median", "fraction_positive", "ci_low", "ci_high")
 
 
+def boot_compact(spark, sf):
+    """D19 with the default 2000 replicates."""
+    return _r(bootstrap.bootstrap_auc_compact(two_groups(spark, sf), "tied", "good"), "ci_low", "ci_high", digits=9)
+
+
+def boot_paired_compact(spark, sf):
+    df = view(spark, sf, "v_features").select((F.col("ensemble_defect") - F.col("positional_entropy_mean")).alias("d"))
+    return _r(bootstrap.paired_bootstrap_compact(df, "d"), "mean", "median", "fraction_positive", "ci_low", "ci_high")
+
+
 # -- experiments ----------------------------------------------------------
 
 def _e1(spark, sf):
@@ -429,6 +439,8 @@ QUERIES = {
         + ", round(avg((radius = length)::INT), 9) AS agreement FROM b GROUP BY 1"),
     "d19_bootstrap_auc": (boot, f"WITH {_TWO}, {drawn_sql('dp', 'pos', 'ps')}, {drawn_sql('dn', 'neg', 'ng')}, "
         + auc_sql("SELECT r, v, pos, 1 AS w FROM dp UNION ALL SELECT r, v, pos, 1 FROM dn") + f" {_CI} FROM au"),
+    "d19_bootstrap_auc_compact": (boot_compact, None),
+    "d22_paired_bootstrap_compact": (boot_paired_compact, None),
     "d20_bootstrap_auc_clustered": (boot_clustered, f"WITH {_TWO}, cl AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM (SELECT DISTINCT 'k' || (doc_id % 12) AS c FROM ps)), "
         f"{drawn_sql('dc', 'cluster', 'cl')}, {drawn_sql('dn', 'neg', 'ng')}, "
         + auc_sql("SELECT dc.r, ps.v, true AS pos, 1 AS w FROM dc JOIN ps ON 'k' || (ps.doc_id % 12) = dc.c UNION ALL SELECT r, v, false, 1 FROM dn")
