@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity
 from ..functions import sequences as Q
 from .intake import first_per_sequence
-from .ordering import lookup_join, row_numbers, wants_spread
+from .ordering import lookup_join, null_safe_join, row_numbers, wants_spread
 from .stats import letter_frequencies
 
 LETTERS = "ACGU"
@@ -104,15 +104,36 @@ def target_folds(corpus: DataFrame, n_folds: int = 5, seed: int = 42, id_col: st
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "candidate_id",
                   by: list[str] = ()) -> DataFrame:
-    """Exactly n rows (per group) without replacement, the same for every layout.
+    """Exactly n rows (per group) without replacement, the same for every layout; all where there are fewer.
 
-    The cut is a window limit, which Spark applies inside each task before the
-    shuffle, so a group of any size sends at most n rows per task.
+    Rows are taken in the order of a hash of their id. Counts per half of the hash say
+    in which half the n-th row lies, then counts per value of the other half, so the cut
+    is known exactly and taking the rows is a filter; only ids with the very hash of the
+    n-th are told apart by their order. Two small aggregates, no sort of the rows, any n.
     """
-    by = list(by)
-    h = identity.derive_seed(seed, "sample", F.col(id_col))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(h, F.col(id_col))
-    return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
+    by = list(by) or ["__all"]
+    rows = df if by != ["__all"] else df.withColumn("__all", F.lit(0))
+    rows = rows.withColumn("__h", identity.derive_seed(seed, "sample", F.col(id_col)))
+
+    def cut(some: DataFrame, part, wanted) -> DataFrame:
+        """Per group: the part in which the ``wanted``-th row lies, and how many rows come before it."""
+        counted = some.groupBy(*by, part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.max(wanted).alias("__w"))
+        run = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = counted.withColumn("__before", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+        return ahead.filter((F.col("__before") < F.col("__w")) & (F.col("__before") + F.col("__n") >= F.col("__w"))).select(*by, "__p", "__before")
+
+    high, low = F.expr("__h div 65536"), F.expr("__h % 65536")
+    first = cut(rows, high, F.lit(n)).select(*by, F.col("__p").alias("__cut"), (F.lit(n) - F.col("__before")).alias("__left"))
+    # A group without a cut has fewer rows than asked for.
+    placed = null_safe_join(rows, first, by, "left")
+    border = placed.filter(high == F.col("__cut"))
+    second = cut(border, low, F.col("__left")).select(*by, F.col("__p").alias("__low"), F.col("__before").alias("__below"))
+    whole = F.col("__cut").isNull() | (high < F.col("__cut"))
+    edge = null_safe_join(border, second, by)
+    w = Window.partitionBy(*by).orderBy(F.col(id_col))
+    tied = edge.filter(low == F.col("__low")).withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.col("__left") - F.col("__below"))
+    taken = placed.filter(whole).select(df.columns).unionByName(edge.filter(low < F.col("__low")).select(df.columns))
+    return taken.unionByName(tied.select(df.columns)) if n > 0 else df.limit(0)
 
 
 def choose_decoys(candidates: DataFrame, targets: DataFrame, k: int = 5, seed: int = 42,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import controls, percentile, ranking
+from ..operators import controls, percentile, ranking, joins
 from ..plans.rank import control_test, rank_against_reference
 from ..settings import DEFAULT_CRITERIA
 from .ranking import _DOC, _STRUCT, FIVE, mean_sql, scored_sql
@@ -47,7 +47,7 @@ def bank_with_provenance(spark, sf):
     made = controls.calibration_bank(view(spark, sf, "v_reference"), size=2000)
     feats = made.select(F.col("control_id").alias("candidate_id"), F.length("sequence").alias("length"))
     prov = made.select("control_id", "source_id", "shuffle_index")
-    return feats.join(prov, feats.candidate_id == prov.control_id, "left").drop("candidate_id")
+    return joins.bank_with_provenance(feats, prov, ["source_id", "shuffle_index"])
 
 
 def _scored(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, groups, ranking, stats, targets
+from ..operators import bootstrap, groups, joins, ranking, stats, targets
 from ..plans import evaluate
 from ..plans.annotate import annotate_targets
 from ..settings import Comparison
@@ -25,21 +25,21 @@ def _r(df, *cols, digits=6):
 def requested_scores(spark, sf):
     """C5: every requested row comes back, failed ones with nulls."""
     scored = view(spark, sf, "v_features").filter("doc_id % 6 <> 0").select("candidate_id", "ensemble_defect")
-    return scored.join(view(spark, sf, "v_seq").select("candidate_id"), "candidate_id", "right")
+    return joins.requested(scored, view(spark, sf, "v_seq"))
 
 
 def held_members(spark, sf):
     """C6: shuffles whose source is held out."""
     held = groups.target_folds(view(spark, sf, "v_reference"), 5).filter("fold = 0")
     c = view(spark, sf, "v_controls")
-    return c.join(held.select("candidate_id"), "candidate_id", "left_semi").groupBy("candidate_id").agg(
+    return joins.members_of(c, held).groupBy("candidate_id").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 def training_rows(spark, sf):
     """C7: the corpus without the fold."""
     ref = groups.target_folds(view(spark, sf, "v_reference"), 5)
-    return ref.select("candidate_id").join(ref.filter("fold = 1").select("candidate_id"), "candidate_id", "left_anti")
+    return joins.training_rows(ref.select("candidate_id"), ref.filter("fold = 1"))
 
 
 # -- groups ---------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, policy
 from ..functions import sequences as Q
-from ..operators import intake
+from ..operators import intake, joins
 from ..plans.ingest import ingest_candidates
 from .views import table, view
 
@@ -117,13 +117,13 @@ def reference_features(spark, sf):
     """C1/C3: keep every feature row, attach what is known about it."""
     feats = view(spark, sf, "v_features").select("candidate_id", "sequence", F.round("gc_fraction", 9).alias("gc"))
     dup = intake.dedupe_candidates(checked(spark, sf)).select("sequence", "duplicate_count")
-    return feats.join(dup, "sequence", "left").select("candidate_id", "gc", "duplicate_count")
+    return joins.with_duplicates(feats, dup).select("candidate_id", "gc", "duplicate_count")
 
 
 def corpus_metadata(spark, sf):
     feats = view(spark, sf, "v_features").select("candidate_id", F.round("stem_fraction", 9).alias("stem_fraction"))
     meta = view(spark, sf, "v_reference").select("candidate_id", "target_name", "target_pdb_id")
-    return feats.join(meta, "candidate_id", "left")
+    return joins.with_metadata(feats, meta, ["target_name", "target_pdb_id"])
 
 
 # The checking engine keeps one capital letter for the German sharp s; upper-casing gives two.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import intake
-from .lines import first_lines, number_rows, numbered_lines, placed, running_sum
+from ..runtime import cut_lineage
+from .lines import file_heads, number_rows, numbered_lines, placed, running_sum
 
 RAW = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("row", T.LongType()),
@@ -33,7 +34,7 @@ def read_csv_strings(spark: SparkSession, path, multiline: bool = False) -> Data
     cannot be split.
     """
     clean = F.transform(F.split("head", _COMMA), lambda c: F.lower(_strip(F.regexp_replace(c, '^\ufeff?"?|"$', ""))))
-    heads = first_lines(spark, path).select(F.col("file").alias("__file"), clean.alias("__names"))
+    heads = cut_lineage(file_heads(spark, path).filter("head IS NOT NULL").select(F.col("file").alias("__file"), clean.alias("__names")), "heads")
     names = [r["n"] for r in heads.select(F.posexplode("__names").alias("i", "n")).groupBy("n").agg(F.min("i").alias("i")).orderBy("i", "n").collect()]
     width = heads.agg(F.max(F.size("__names"))).first()[0] or 1
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
@@ -80,8 +81,7 @@ def read_sequences_fasta(spark: SparkSession, path) -> DataFrame:
 
 def sniff_format(spark: SparkSession, path) -> DataFrame:
     """(file, format): csv, fasta, txt or empty, from the suffix and the first line."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    seen = files.join(first_lines(spark, path), "file", "left")
+    seen = file_heads(spark, path)
     low = F.lower(F.regexp_replace("head", r"^﻿", ""))
     suffix = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
     tabular = low.contains(",") & low.contains("sequence")

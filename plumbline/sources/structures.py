@@ -74,8 +74,11 @@ def read_alpha_spheres(spark: SparkSession, path):
         "file", "line_no", F.lit("malformed vertex line").alias("problem"))
 
 
-def read_pdb_atoms(spark: SparkSession, path):
-    """(atoms, errors) by fixed columns; the first alternate location only."""
+def read_pdb_atoms(spark: SparkSession, path, every_location: bool = False):
+    """(atoms, errors) by fixed columns; the first alternate location only, unless ``every_location``.
+
+    A line that is too short or has no residue number or a coordinate that is no number is an error row.
+    """
     lines = numbered_lines(spark, path).filter(F.col("value").rlike("^(ATOM|HETATM)"))
     def cut(a, n):
         return F.trim(F.substring("value", a, n))
@@ -84,14 +87,19 @@ def read_pdb_atoms(spark: SparkSession, path):
         cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"), cut(22, 1).alias("chain"),
         cut(23, 4).try_cast("int").alias("residue_number"), cut(27, 1).alias("icode"),
         cut(31, 8).try_cast("double").alias("x"), cut(39, 8).try_cast("double").alias("y"), cut(47, 8).try_cast("double").alias("z"))
-    problem = F.when(F.col("n") < 27, "truncated line").when(F.col("residue_number").isNull(), "malformed residue number")
+    misplaced = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
+    problem = F.when(F.col("n") < 27, "truncated line").when(F.col("residue_number").isNull(), "malformed residue number").when(misplaced, "malformed coordinate")
     judged = out.withColumn("problem", problem)
-    atoms = judged.filter(F.col("problem").isNull() & F.col("altloc").isin("", "A")).drop("n", "problem")
+    kept = F.lit(True) if every_location else F.col("altloc").isin("", "A")
+    atoms = judged.filter(F.col("problem").isNull() & kept).drop("n", "problem")
     return atoms, judged.filter(F.col("problem").isNotNull()).select("file", "line_no", "problem")
 
 
 def lining_residues(atoms: DataFrame) -> DataFrame:
-    """Unique residues per pocket file (the pocket number is in the file name)."""
+    """Unique residues per pocket file (the pocket number is in the file name).
+
+    A residue lines a pocket with any of its alternate locations: read the atoms with ``every_location``.
+    """
     n = F.regexp_extract("file", r"pocket(\d+)_atm", 1).try_cast("int")
     return atoms.withColumn("pocket_index", n).groupBy(
         "file", "pocket_index", "chain", "residue_number", "icode").agg(F.min_by("resname", "line_no").alias("resname"))
