@@ -57,7 +57,7 @@ HIGH = 88
 SAMPLE_STEP, SAMPLE_LEAST, COMMON_LEAST, COMMON_SHARE = 16, 20_000, 16, 1000
 
 #: Keys that a map task collects before it deals them.
-KEYS_AT_ONCE = 1_000_000
+KEYS_AT_ONCE = 400_000
 
 #: Documents of a reducing task's forest.
 TIES_HELD = 1_000_000

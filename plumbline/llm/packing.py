@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 
 #: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: Records that a reducing task sorts at a time (at least one bucket).
 SORT_AT_ONCE = 400_000
