@@ -17,7 +17,7 @@ def assign_band(p: Column, moderate: float = 0.75, strong: float = 0.95) -> Colu
 
 
 def is_evaluable(value: Column) -> Column:
-    """A missing descriptor is absence of evidence, not a zero-sized candidate."""
+    """True for a finite descriptor above zero; without one there is nothing to compare."""
     return F.coalesce(is_finite(value) & (value > 0), F.lit(False))
 
 

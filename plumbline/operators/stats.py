@@ -78,8 +78,8 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, spread=None) -> Dat
     out = out.withColumn("p_value", correlation_p("rho", "n"))
     return out.withColumns({
         "reason": F.when(F.col("rho").isNull(), "insufficient variation or fewer than 3 evaluated survivors"),
-        "interpretation": F.when(F.abs("rho") > 0.7, "Tier 2 largely restates Tier 1").when(
-            F.col("rho").isNotNull(), "tiers carry largely independent information")})
+        "interpretation": F.when(F.abs("rho") > 0.7, "the two tiers order the candidates alike").when(
+            F.col("rho").isNotNull(), "the two tiers order the candidates differently")})
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, positive: str, spread=None) -> DataFrame:

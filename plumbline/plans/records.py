@@ -17,6 +17,7 @@ SHUFFLE = {"pass": "shuffle_pass", "percentile": "shuffle_percentile", "p_value"
            "complete": "shuffle_complete", "n_unique": "shuffle_n_unique",
            "n_identical_to_real": "shuffle_n_identical_to_real", "median_score": "shuffle_median_score",
            "structural_subscore": "structural_subscore"}
+# Field names of the records, which must match.
 TIER2 = ("status", "band", "binding_mode", "target_id", "descriptor", "d_pocket_A", "d_apt_flexible_A",
          "d_apt_extended_A", "footprint_area_A2", "patch_area_A2", "signed_mismatch", "disagreement",
          "disagreement_units", "agreement", "coverage_ratio", "charge_complementarity", "charge_status",
