@@ -104,36 +104,36 @@ def target_folds(corpus: DataFrame, n_folds: int = 5, seed: int = 42, id_col: st
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "candidate_id",
                   by: list[str] = ()) -> DataFrame:
-    """Exactly n rows (per group) without replacement, the same for every layout; all where there are fewer.
-
-    Rows are taken in the order of a hash of their id. Counts per half of the hash say
-    in which half the n-th row lies, then counts per value of the other half, so the cut
-    is known exactly and taking the rows is a filter; only ids with the very hash of the
-    n-th are told apart by their order. Two small aggregates, no sort of the rows, any n.
+    """Exactly n rows (per group) without replacement, the same for every layout; all where there are fewer."""
+    if n <= 0:
+        return df.limit(0)
+    drawn = smallest_hashes(df if by else df.withColumn("__all", F.lit(0)), list(by) or ["__all"],
+                            identity.derive_seed(seed, "sample", F.col(id_col)), F.lit(n), id_col, not by)
+    return drawn.select(df.columns)
+
+
+def smallest_hashes(df: DataFrame, by: list[str], h, n, id_col: str = "candidate_id",
+                    few_groups: bool = False) -> DataFrame:
+    """Per group, exactly the ``n`` rows (a column, one value per group) with the smallest 32-bit hashes ``h``.
+
+    Counts per leading 20 bits of the hash say where the n-th row lies, so taking the rows
+    before it is a filter; only the rows that share those bits with it (one in a million)
+    are put in order, ties by id. One small aggregate, no sort of the rows, any n. With
+    ``few_groups`` (a number of groups fixed by a parameter) the cuts travel to the rows,
+    which are not shuffled.
     """
-    by = list(by) or ["__all"]
-    rows = df if by != ["__all"] else df.withColumn("__all", F.lit(0))
-    rows = rows.withColumn("__h", identity.derive_seed(seed, "sample", F.col(id_col)))
-
-    def cut(some: DataFrame, part, wanted) -> DataFrame:
-        """Per group: the part in which the ``wanted``-th row lies, and how many rows come before it."""
-        counted = some.groupBy(*by, part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.max(wanted).alias("__w"))
-        run = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = counted.withColumn("__before", F.coalesce(F.sum("__n").over(run), F.lit(0)))
-        return ahead.filter((F.col("__before") < F.col("__w")) & (F.col("__before") + F.col("__n") >= F.col("__w"))).select(*by, "__p", "__before")
-
-    high, low = F.expr("__h div 65536"), F.expr("__h % 65536")
-    first = cut(rows, high, F.lit(n)).select(*by, F.col("__p").alias("__cut"), (F.lit(n) - F.col("__before")).alias("__left"))
+    rows = df.withColumns({"__h": h, "__want": n}).filter(F.col("__want") > 0).withColumn("__p", F.expr("__h div 4096"))
+    counted = rows.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), F.max("__want").alias("__w"))
+    run = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counted.withColumn("__before", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+    cut = ahead.filter((F.col("__before") < F.col("__w")) & (F.col("__before") + F.col("__n") >= F.col("__w"))).select(
+        *by, F.col("__p").alias("__cut"), (F.col("__w") - F.col("__before")).alias("__left"))
     # A group without a cut has fewer rows than asked for.
-    placed = null_safe_join(rows, first, by, "left")
-    border = placed.filter(high == F.col("__cut"))
-    second = cut(border, low, F.col("__left")).select(*by, F.col("__p").alias("__low"), F.col("__before").alias("__below"))
-    whole = F.col("__cut").isNull() | (high < F.col("__cut"))
-    edge = null_safe_join(border, second, by)
-    w = Window.partitionBy(*by).orderBy(F.col(id_col))
-    tied = edge.filter(low == F.col("__low")).withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.col("__left") - F.col("__below"))
-    taken = placed.filter(whole).select(df.columns).unionByName(edge.filter(low < F.col("__low")).select(df.columns))
-    return taken.unionByName(tied.select(df.columns)) if n > 0 else df.limit(0)
+    placed = null_safe_join(rows, F.broadcast(cut) if few_groups else cut, by, "left")
+    first = Window.partitionBy(*by).orderBy("__h", id_col)
+    border = placed.filter(F.col("__p") == F.col("__cut")).withColumn("__k", F.row_number().over(first))
+    taken = placed.filter(F.col("__cut").isNull() | (F.col("__p") < F.col("__cut")))
+    return taken.select(df.columns).unionByName(border.filter(F.col("__k") <= F.col("__left")).select(df.columns))
 
 
 def choose_decoys(candidates: DataFrame, targets: DataFrame, k: int = 5, seed: int = 42,
@@ -159,5 +159,5 @@ def choose_decoys(candidates: DataFrame, targets: DataFrame, k: int = 5, seed: i
     return asked.join(placed, "place").select(id_col, own, "decoy")
 
 
-__all__ = ["load_generated", "random_matched", "build_groups", "canonical_targets", "target_folds", "seeded_sample",
+__all__ = ["load_generated", "random_matched", "build_groups", "canonical_targets", "target_folds", "seeded_sample", "smallest_hashes",
            "choose_decoys", "wants_spread"]

@@ -51,7 +51,7 @@ def _search(lo, hi, values, x, right):
 
 def with_percentiles(rows: DataFrame, compact: DataFrame, columns: list[str], by: list[str] = (),
                      id_cols: list[str] = ("candidate_id",), prefix: str = "p__",
-                     above: bool = False, max_values: int | None = None) -> DataFrame:
+                     above: bool = False, max_values: int | None = None, others: bool = False) -> DataFrame:
     """Add ``p__<column>`` for each column: mid-rank percentile within the reference.
 
     ``by`` partitions both sides (fold, target, ...). With a reference of bounded
@@ -60,15 +60,20 @@ def with_percentiles(rows: DataFrame, compact: DataFrame, columns: list[str], by
     and rows need no identity of their own. ``above`` counts
     the reference values above x instead of below (for values where low is good).
     A null value keeps a null percentile when ``by`` has no reference for it.
+    ``others`` compares each row with the references of all other keys instead (its
+    fold left out): counts of the whole less counts of the row's own key, so no
+    reference is repeated per key. Null where nothing else is left.
     """
+    if others and not by:
+        raise ValueError("leaving a key out needs the columns of that key")
     limit = BROADCAST_VALUES if max_values is None else max_values
     small = compact.filter(F.col("criterion").isin(*columns)).limit(limit + 1)
     if runtime.fits_broadcast(small, limit):
-        return _score_in_place(rows, small, columns, list(by), prefix, above)
-    return _score_by_shuffle(rows, compact, columns, list(by), prefix, above)
+        return _score_in_place(rows, small, columns, list(by), prefix, above, others)
+    return _score_by_shuffle(rows, compact, columns, list(by), prefix, above, others)
 
 
-def _score_in_place(rows, small, columns, by, prefix, above):
+def _score_in_place(rows, small, columns, by, prefix, above, others=False):
     """``small`` is bounded: its distinct keys get numbers, which travel to the rows by a join on the keys."""
     spark, slots = rows.sparkSession, None
     if by:
@@ -86,15 +91,18 @@ def _score_in_place(rows, small, columns, by, prefix, above):
         if part.empty:
             raise ValueError(f"criterion {name!r} is missing from the reference")
         below = np.r_[0, np.cumsum(part["n"].to_numpy(dtype=np.int64))]
-        starts = ends = None
+        starts = ends = whole = None
         if by:  # slices per key inside one array
             slot, n_slots = part["__slot"].to_numpy(), int(pdf["__slot"].max()) + 1
             starts, ends = (np.searchsorted(slot, np.arange(n_slots), side) for side in ("left", "right"))
-        tables[name] = (part["value"].to_numpy(dtype=float), below, starts, ends)
+        if others:
+            merged = part.groupby("value", sort=True)["n"].sum()
+            whole = merged.index.to_numpy(dtype=float), np.r_[0, np.cumsum(merged.to_numpy(dtype=np.int64))]
+        tables[name] = (part["value"].to_numpy(dtype=float), below, starts, ends, whole)
     shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def look_up(name, x, key):
-        values, below, starts, ends = shared.value[name]
+        values, below, starts, ends, whole = shared.value[name]
         if not np.isfinite(x).all():
             raise ValueError(f"non-finite value in {name}")
         if starts is None:
@@ -109,6 +117,11 @@ def _score_in_place(rows, small, columns, by, prefix, above):
         left = _search(lo, hi, values, x, right=False)
         right = _search(lo, hi, values, x, right=True)
         twice = below[left] + below[right] - 2 * base
+        if whole is not None:
+            distinct, upto = whole
+            both = upto[np.searchsorted(distinct, x, "left")] + upto[np.searchsorted(distinct, x, "right")]
+            twice, m = both - np.where(known, twice, 0), upto[-1] - np.where(known, m, 0)
+            known = m > 0
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(known, (2 * m - twice if above else twice) / (2.0 * m), np.nan)
 
@@ -130,7 +143,7 @@ def _score_in_place(rows, small, columns, by, prefix, above):
     return out.drop("__p", "__slot")
 
 
-def _score_by_shuffle(rows, compact, columns, by, prefix, above):
+def _score_by_shuffle(rows, compact, columns, by, prefix, above, others=False):
     keys = [*by, "criterion"]
     checked = rows.withColumns({f"__v_{c}": S.finite_or_fail(F.col(c), c) for c in columns})
     long = checked.select(*by, *[F.col(f"__v_{c}").alias(c) for c in columns if c not in by]).unpivot(list(by), list(columns), "criterion", "value")
@@ -141,11 +154,14 @@ def _score_by_shuffle(rows, compact, columns, by, prefix, above):
         .groupBy(*keys, "value").agg(F.sum("n_eq").alias("n_eq"), F.sum("n_rows").alias("n_rows"))
     )
     run = prefix_counts(both, keys, "value", ["n_eq"], True)
-    m = F.col("n_eq_total")
-    side = m - F.col("n_eq_before") - F.col("n_eq") if above else F.col("n_eq_before")
-    table = run.filter(F.col("n_rows") > 0).select(
-        *keys, "value", "n_rows",
-        F.when(m > 0, S.mid_rank(side, F.col("n_eq"), F.when(m > 0, m))).alias("p"))
+    run, (less, same, m) = run.filter(F.col("n_rows") > 0), (F.col(f"n_eq{c}") for c in ("_before", "", "_total"))
+    if others:
+        every = both.groupBy("criterion", "value").agg(F.sum("n_eq").alias("all"))
+        run = lookup_join(run, prefix_counts(every, ["criterion"], "value", ["all"], True), ["criterion", "value"])
+        less, same, m = F.col("all_before") - less, F.col("all") - same, F.col("all_total") - m
+    side = m - less - same if above else less
+    table = run.select(
+        *keys, "value", "n_rows", F.when(m > 0, S.mid_rank(side, same, F.when(m > 0, m))).alias("p"))
     table = runtime.cut_lineage(table, "percentiles")
     out = checked
     for c in columns:

@@ -211,6 +211,19 @@ def discrimination_scores(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.median("tier1_score"), 9).alias("median"), F.round(F.sum("tier1_score"), 6).alias("total"))
 
 
+def discrimination_by_shuffle(spark, sf):
+    """The shape for references too large to travel."""
+    scores = evaluate.out_of_fold_scores(*_e1(spark, sf), max_values=0)
+    return scores.groupBy("group", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.median("tier1_score"), 9).alias("median"), F.round(F.sum("tier1_score"), 6).alias("total"))
+
+
+def discrimination_folds(spark, sf):
+    ref, *rest = _e1(spark, sf)
+    out = evaluate.fold_table(ref, evaluate.out_of_fold_scores(ref, *rest))
+    return _r(out, *[f"median_{g}" for g in evaluate.FOLD_GROUPS], digits=9)
+
+
 def discrimination(spark, sf):
     _s, comparisons = evaluate.discrimination(*_e1(spark, sf), N_BOOT)
     return comparisons.select("comparison", "n_a", "n_b", F.round("auc", 6).alias("auc"),
@@ -243,11 +256,9 @@ def matched(spark, sf):
 
 
 def _runs(spark, sf):
-    """One run per nation: the same ranking against the first target of each."""
+    """One run per supplier: the same ranking against every target."""
     ranked = ranking.rank_candidates(view(spark, sf, "v_sized"))
-    first = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("target_id"))
-    t = view(spark, sf, "v_targets").join(first.select("target_id"), "target_id", "left_semi")
-    out = annotate_targets(ranked, t, view(spark, sf, "v_bank"), Comparison(n_survivors=300))
+    out = annotate_targets(ranked, view(spark, sf, "v_targets"), view(spark, sf, "v_bank"), Comparison(n_survivors=300))
     return out.withColumn("run_id", F.concat(F.lit("run"), F.col("target_id").cast("string")))
 
 
@@ -331,8 +342,7 @@ e1 AS (SELECT grp, candidate_id, fold, {m} AS s FROM pc)""".format(
 
 _RUNS = f"""rk AS (SELECT *, row_number() OVER (ORDER BY tier1_score DESC, candidate_id) AS rank FROM v_sized),
 {percentile_sql('SELECT * FROM rk WHERE rank <= 300')},
-runs AS (SELECT 'run' || target_id AS run_id, candidate_id, tier1_score, cp, {_BAND} AS band FROM pct
-  WHERE target_id IN (SELECT min(s_suppkey) FROM supplier GROUP BY s_nationkey))"""
+runs AS (SELECT 'run' || target_id AS run_id, candidate_id, tier1_score, cp, {_BAND} AS band FROM pct)"""
 
 
 def spearman_sql(src: str, keys: str, x: str, y: str) -> str:
@@ -453,6 +463,11 @@ QUERIES = {
         "m AS (SELECT r, avg(d) AS m FROM dd GROUP BY 1) SELECT (SELECT count(*) FROM pr) AS n, round((SELECT avg(d) FROM pr), 6) AS mean, round((SELECT median(d) FROM pr), 6) AS median, "
         "round((SELECT avg((d > 0)::INT) FROM pr), 6) AS fraction_positive, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m"),
     "g11_discrimination_scores": (discrimination_scores, f'WITH {_E1} SELECT grp AS "group", fold, count(*) AS n, round(median(s), 9) AS median, round(sum(s), 6) AS total FROM e1 GROUP BY 1, 2'),
+    "g11_scores_by_shuffle": (discrimination_by_shuffle, f'WITH {_E1} SELECT grp AS "group", fold, count(*) AS n, round(median(s), 9) AS median, round(sum(s), 6) AS total FROM e1 GROUP BY 1, 2'),
+    "g11_fold_table": (discrimination_folds, f"""WITH {_E1}, tr AS (SELECT ok.fold, (SELECT count(*) FROM folded f WHERE f.fold <> ok.fold) AS n_train, (SELECT count(*) FROM folded f WHERE f.fold = ok.fold) AS n_test FROM ok)
+        SELECT tr.fold, n_train, n_test, """ + ", ".join(
+            f"(SELECT count(*) FROM e1 WHERE e1.fold = tr.fold AND grp = '{g}') AS n_{g}, (SELECT round(median(s), 9) FROM e1 WHERE e1.fold = tr.fold AND grp = '{g}') AS median_{g}"
+            for g in evaluate.FOLD_GROUPS) + " FROM tr WHERE n_test > 0"),
     "g11_discrimination": (discrimination, f"""WITH {_E1}, cp AS (SELECT unnest([['validated', 'random'], ['validated', 'shuffled'], ['generated', 'random'], ['validated', 'generated']]) AS p),
         x AS (SELECT p[1] || '_vs_' || p[2] AS comparison, e1.s, e1.grp = p[1] AS pos FROM cp JOIN e1 ON e1.grp = p[1] OR e1.grp = p[2]),
         u AS (SELECT a.comparison, avg(CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5::DOUBLE ELSE 0 END) AS auc FROM x a JOIN x b ON a.comparison = b.comparison AND a.pos AND NOT b.pos GROUP BY 1)
