@@ -135,6 +135,9 @@ class Vocabulary:
         self._fits[key] = fit = self._fit(before, rank)
         return fit
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def may_fit(self, before: int, node: int) -> bool:
         """False if every token that the prefix can still grow into is ruled out by what stands before."""
         longer = self.below[node]
@@ -171,7 +174,12 @@ class Encoder:
         self.vocabulary, self.max_states, self.max_pieces = Vocabulary(ranks), max_states, max_pieces
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back what was learnt from texts; it is learnt anew when a text needs it."""
         self._restart()
+        self.vocabulary.forget()
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -384,13 +392,16 @@ def _lists(found: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           keep: bool = True) -> DataFrame:
     """Adds ``ids`` (array<int>): the tokens of each whole text; and ``decoded``, if named: the text that these ids stand for.
 
     ``ranks`` is the path of a rank file that every executor can read. A null text counts
     as empty, an empty text has an empty array, a column that is called like a new one
     already is replaced, repeated rows are encoded each for itself, and an empty table
     gives an empty table. Encoding and decoding in one step need one Python worker.
+    A worker keeps the states it has made for its later tasks; where other work follows
+    in the same workers, ``keep=False`` gives that memory back at the end of each task.
     """
     df = df.drop(*(c for c in (ids, decoded) if c in df.columns and c != text))
     extra = [f"`{ids}` array<int>"] + ([f"`{decoded}` string"] if decoded else [])
@@ -398,14 +409,17 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, table = encoder(ranks, pattern), byte_table(ranks) if decoded else []
-        for whole in batches:
-            for batch in slices([whole], text, BATCH_BYTES):
+        try:
+            for batch in slices(batches, text, BATCH_BYTES):
                 found = [tool.encode(value or "") for value in batch.column(text).to_pylist()]
                 columns, names = [*batch.columns, _lists(found)], [*batch.schema.names, ids]
                 if decoded:
                     back = ["".join(decode_stream(np.frombuffer(one, np.int32).tolist(), table)) for one in found]
                     columns, names = [*columns, pa.array(back, pa.string())], [*names, decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            if not keep:
+                tool.forget()
 
     return df.mapInArrow(run, schema)
 

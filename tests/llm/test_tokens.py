@@ -125,3 +125,15 @@ def test_page_indexes_are_written(spark, tmp_path):
     meta = pq.ParquetFile(files[0]).metadata
     column = meta.row_group(0).column(0)
     assert column.has_offset_index and column.has_column_index
+
+
+def test_a_forgetful_encoder_gives_the_same_ids():
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tool = byte_bpe.Encoder(byte_bpe.load_ranks(path), public_tokenizers.PATTERN)
+    texts = ["unforgettable zyxwvut qqqq", "", "Größe 中文 \U0001f600", "ab" * 90]
+    first = [tool.encode(t) for t in texts]
+    assert tool.words or tool.pieces
+    tool.forget()
+    assert not tool.words and not tool.pieces and not tool.moves and not tool.vocabulary._fits
+    assert [tool.encode(t) for t in texts] == first
