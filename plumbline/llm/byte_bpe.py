@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import slices
+from .columns import lean, slices
 
 ROOT, START = 0, -1
 
@@ -421,7 +421,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
             if not keep:
                 tool.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -437,7 +437,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", text: str = "decoded") -
                 out = ["".join(decode_stream(one.values.to_numpy(zero_copy_only=False).tolist(), table)) if one.is_valid else "" for one in batch.column(ids)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import keyed_text, slices, text_bytes, text_hash
+from .columns import keyed_text, lean, slices, text_bytes, text_hash
 from .packing import CHUNK, mix
 from .words import Words
 
@@ -167,7 +167,7 @@ def _found(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         texts = part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
         w = Words(*text_bytes(texts), symbols=False, characters=True)
         index = Index([(i, w.hash[a:b]) for i, a, b in zip(part.column("item").to_pylist(), w.bounds[:-1], w.bounds[1:])], masks)
-        now = keyed_text(df, key, text).withColumn("twin", text_hash("text")).mapInArrow(_search(index, min_matched), FOUND)
+        now = keyed_text(df, key, text).withColumn("twin", text_hash("text")).mapInArrow(lean(_search(index, min_matched)), FOUND)
         found = now if found is None else found.unionByName(now)
     return found
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
-from .columns import slices, text_bytes
+from .columns import lean, slices, text_bytes
 from .components import components
 from .packing import CHUNK, Hashes, by_bucket, dealt, forest, mix, pack
 
@@ -192,7 +192,7 @@ def common_grams(texts: DataFrame, words: int) -> np.ndarray:
             gram, count = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "n"])
 
-    held = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    held = texts.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     most = held.filter(F.col("n") >= max(COMMON_LEAST, wanted // COMMON_SHARE)).select("gram").toArrow()
     return np.sort(most.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -369,8 +369,8 @@ def _link_blocks(percent: int):
 
 def _links(packed: DataFrame, to: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) found in the blocks that ``to`` (doc, blocks) sends the documents to."""
-    sets = packed.join(to.hint("merge"), "doc").mapInArrow(_sets(words), "block string, doc long, grams binary")
-    return sets.repartition("block").sortWithinPartitions("block").mapInArrow(_link_blocks(percent), "a long, b long")
+    sets = packed.join(to.hint("merge"), "doc").mapInArrow(lean(_sets(words)), "block string, doc long, grams binary")
+    return sets.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_link_blocks(percent)), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -389,7 +389,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     spark = df.sparkSession
     buckets = max(512, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    members = cut_lineage(texts.mapInArrow(_sketch(words), "key long, n long, s1 long, s2 long"), "members")
+    members = cut_lineage(texts.mapInArrow(lean(_sketch(words)), "key long, n long, s1 long, s2 long"), "members")
     taking = members.filter("n > 0 AND key IS NOT NULL")
     of_key = taking.groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("one"), F.max(F.struct("n", "s1", "s2")).alias("other"))
     if not of_key.filter("one <> other").isEmpty():
@@ -398,11 +398,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     # Copies share all their keys, so it does no harm that they make them too: a class is in its family.
     keyed = texts.filter("key IS NOT NULL")
     common = np.zeros(0, np.uint64) if percent >= HIGH else common_grams(keyed, words)
-    dealt_keys = keyed.mapInArrow(_deal_keys(words, percent, common, buckets), "bucket int, kind int, records binary")
+    dealt_keys = keyed.mapInArrow(lean(_deal_keys(words, percent, common, buckets)), "bucket int, kind int, records binary")
     packed_rows = "bucket int, kind int, records binary"
     in_buckets = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    by_doc = in_buckets(dealt_keys).mapInArrow(_tie_keys(buckets), packed_rows)
-    ties = in_buckets(by_doc).mapInArrow(_tie_docs, "a long, b long")
+    by_doc = in_buckets(dealt_keys).mapInArrow(lean(_tie_keys(buckets)), packed_rows)
+    ties = in_buckets(by_doc).mapInArrow(lean(_tie_docs), "a long, b long")
     families = cut_lineage(components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
                            .join(classes.groupBy("doc").agg(F.sum("n").alias("n")), "doc"), "families")
 
@@ -414,7 +414,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     to = placed.select("doc", F.when(F.col("k") == 1, F.array(name(F.col("family"))))
                        .when(F.col("block") == 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("k") - 1), lambda j: name(F.col("family"), j)))
                        .otherwise(F.array(name(F.col("family"), F.col("block")))).alias("blocks"))
-    packed = texts.select(F.col("key").alias("doc"), "text").filter("doc IS NOT NULL").mapInArrow(pack, "doc long, packed binary")
+    packed = texts.select(F.col("key").alias("doc"), "text").filter("doc IS NOT NULL").mapInArrow(lean(pack), "doc long, packed binary")
     links = cut_lineage(_links(packed, to, words, percent), "links")
     joined = components(links)
     large = placed.filter("k > 2")
@@ -446,6 +446,6 @@ def _by_text(texts: DataFrame, words: int, percent: int) -> DataFrame:
     least = of_row.groupBy("component_id").agg(F.min("key").alias("least"))
     joined = components(of_row.join(least, "component_id").select(F.col("key").alias("a"), F.col("least").alias("b")))
     keyed = of_row.join(joined, F.col("key") == F.col("id"), "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
-    bare = rows.filter("key IS NULL").mapInArrow(_sketch(words), "key long, n long, s1 long, s2 long").select(
+    bare = rows.filter("key IS NULL").mapInArrow(lean(_sketch(words)), "key long, n long, s1 long, s2 long").select(
         "key", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     return keyed.unionByName(bare)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import crc32_of_id, keyed_text, slices, text_bytes, text_hash
+from .columns import crc32_of_id, keyed_text, lean, slices, text_bytes, text_hash
 from .packing import CHUNK, mix
 from .words import Words
 
@@ -102,7 +102,7 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         known = known.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 24)) < int((1 << 24) * sample_rows / n))
     picked = keyed_text(known, key, text).select("key", "text").withColumn("label", F.lit(0)) if n == 0 else known.select(
         F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    got = picked.mapInArrow(_sparse, "key long, label int, at array<int>, share array<float>").toArrow()
+    got = picked.mapInArrow(lean(_sparse), "key long, label int, at array<int>, share array<float>").toArrow()
     at, share, labels = (got.column(c).combine_chunks() if got.num_rows else [] for c in ("at", "share", "label"))
     model = Model()
     order = sorted(range(got.num_rows), key=lambda i: (labels[i].as_py(), got.column("key")[i].as_py() or 0, len(at[i])))
@@ -127,7 +127,7 @@ def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "
     names = ["key", "twin", "score"] if twin else ["key", "score"]
     rows = keyed_text(df, key, text)
     rows = rows.withColumn("twin", text_hash("text")) if twin else rows
-    return rows.mapInArrow(run, f"key long, {'twin long, ' * twin}score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), f"key long, {'twin long, ' * twin}score double").withColumnRenamed("key", key)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5,

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
-from .columns import slices, text_bytes
+from .columns import lean, slices, text_bytes
 from .packing import CHUNK, Hashes, by_bucket, dealt, hashes_of_rows, mix, pack
 
 DEPTH = 100
@@ -171,7 +171,7 @@ def hot_landmarks(texts: DataFrame, depth: int, landmark: int) -> np.ndarray:
             both = np.unique(np.concatenate(found), axis=0).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["mark", "run"])
 
-    counted = texts.mapInArrow(run, "mark long, run long").distinct().groupBy("mark").count()
+    counted = texts.mapInArrow(lean(run), "mark long, run long").distinct().groupBy("mark").count()
     least = max(HOT_LEAST, wanted // HOT_SHARE)
     return np.sort(counted.filter(F.col("count") >= least).select("mark").toArrow().column("mark").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -214,7 +214,7 @@ def _to_buckets(texts: DataFrame, hot: np.ndarray, depth: int, landmark: int, bu
                 spans["doc"], spans["twin"], spans["first"], spans["run"] = doc, twin, start, stop
                 yield from dealt(1, spans, mix(doc.view(np.uint64)), buckets)
 
-    return texts.mapInArrow(run, "bucket int, kind int, records binary")
+    return texts.mapInArrow(lean(run), "bucket int, kind int, records binary")
 
 
 def _sort_runs(depth: int):
@@ -305,15 +305,15 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", depth
     spark = df.sparkSession
     buckets = max(512, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = _keyed(df, key, text)
-    packed = texts.mapInArrow(pack, "doc long, twin long, packed binary")
+    packed = texts.mapInArrow(lean(pack), "doc long, twin long, packed binary")
     hot = hot_landmarks(texts, depth, landmark)
     dealt = _to_buckets(texts, hot, depth, landmark, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    marks = cut_lineage(dealt.mapInArrow(_sort_runs(depth), MARKS), "runs")
+    marks = cut_lineage(dealt.mapInArrow(lean(_sort_runs(depth)), MARKS), "runs")
     opened = marks.filter("place >= 0").groupBy("doc", "twin").agg(
         F.collect_list(F.struct("start", "stop", "place")).alias("runs")).select(
         "doc", "twin", F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"), F.col("runs.place").alias("places"))
-    pieces = packed.dropDuplicates(["doc", "twin"]).join(opened, ["doc", "twin"]).mapInArrow(_cut_pieces(landmark, buckets), "bucket int, records binary")
-    ends = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_windows(depth), MARKS)
+    pieces = packed.dropDuplicates(["doc", "twin"]).join(opened, ["doc", "twin"]).mapInArrow(lean(_cut_pieces(landmark, buckets)), "bucket int, records binary")
+    ends = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort_windows(depth)), MARKS)
     return marks.filter("place < 0").drop("place").unionByName(ends.drop("place")), packed
 
 
@@ -336,7 +336,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", depth
     packed = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(value.cast("binary")).alias("twin"),
                        F.struct(F.col(key), *(F.col(f"`{c}`") for c in carry)).alias("own"), value.alias("text"))
     own = packed.schema["own"].dataType.simpleString()
-    packed = packed.mapInArrow(pack, f"doc long, twin long, own {own}, packed binary")
+    packed = packed.mapInArrow(lean(pack), f"doc long, twin long, own {own}, packed binary")
     listed = spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(
         "doc", "twin", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
@@ -364,5 +364,5 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", depth
                  pa.array(sizes, pa.int64())], names=["own", "kept", "removed", "n_bytes"])
 
     out = packed.join(listed, ["doc", "twin"], "left").mapInArrow(
-        run, f"own {own}, kept binary, removed array<struct<start:int,stop:int>>, n_bytes long")
+        lean(run), f"own {own}, kept binary, removed array<struct<start:int,stop:int>>, n_bytes long")
     return out.select("own.*", "kept", "removed", "n_bytes")
