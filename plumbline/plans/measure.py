@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contacts, potential, preparation, shapes
+from ..operators import contacts, evidence, potential, preparation, shapes
 from ..settings import POCKET, SURFACE, TargetRequest
 
 
 def prepare_structure(atoms: DataFrame, requests: DataFrame, request: TargetRequest = TargetRequest(),
-                      key: str = "structure_id", min_atoms: int = preparation.MIN_ATOMS):
+                      key: str = "structure_id", min_atoms: int = preparation.MIN_ATOMS,
+                      site: DataFrame | None = None, partners: DataFrame | None = None):
     """(kept atoms, hetero summary, verdict) for every structure.
 
-    The hetero policy is one for the whole call; the chain may differ per structure.
+    The hetero policy is one for the whole call; the chain may differ per structure. With
+    ``site`` (key, residue_number) and ``partners`` (key, partner_chain) the verdict also
+    has ``partner_contacts``, measured before the partners are dropped, and
+    ``site_problems``; the first of these is a problem of the structure.
     """
     chains = preparation.select_chain(atoms, requests, key)
     chosen = atoms.join(chains.filter(F.col("problem").isNull()).select(key, "chain"), [key, "chain"], "left_semi")
@@ -34,6 +38,14 @@ def prepare_structure(atoms: DataFrame, requests: DataFrame, request: TargetRequ
         )).withColumn("warnings", F.array_compact(F.array(
             F.when(F.col("n_hetero_retained") > 0, "hetero residues retained"),
             F.when(F.col("n_chains") > 1, "isolated from a complex; the bound-state shape is measured"))))
+    if site is not None or partners is not None:
+        site = atoms.select(key, "residue_number").limit(0) if site is None else site
+        partners = atoms.select(key, F.col("chain").alias("partner_chain")).limit(0) if partners is None else partners
+        found = evidence.site_evidence(atoms, chains, site, partners, key).select(
+            key, F.struct(*evidence.CONTACTS).alias("partner_contacts"), F.col("problems").alias("site_problems"))
+        first = F.get("site_problems", F.lit(0))
+        verdict = verdict.join(found, key, "left").withColumn("problem", F.coalesce(
+            "problem", F.when(first.isNotNull(), F.concat(first["problem"], F.lit(": "), F.array_join(first["items"], ", ")))))
     return kept, preparation.hetero_summary(judged, [key]), verdict
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import policy
-from ..operators import contacts, potential, preparation, shapes
+from ..operators import contacts, evidence, potential, preparation, shapes
 from ..plans import measure
 from ..settings import TargetRequest
 from .views import table, view
@@ -117,6 +117,31 @@ def prepared(spark, sf):
                           F.array_join("warnings", ";").alias("warnings"))
 
 
+def _site_evidence(spark, sf):
+    """S0 and S1 against each other's chain, S1 also against one it has not, S2 without partners; residues from supplier."""
+    p = view(spark, sf, "v_pdb")
+    ids = p.select("structure_id").distinct()
+    chosen = ids.withColumn("chain", F.when(F.col("structure_id") == "S1", "C").otherwise("B"))
+    other = F.when(F.col("structure_id") == "S0", F.array(F.lit("C"))).when(F.col("structure_id") == "S1", F.array(F.lit("B"), F.lit("Q")))
+    site = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), (F.col("s_suppkey") % 3).cast("string")).alias("structure_id"), F.col("s_suppkey").cast("int").alias("residue_number"))
+    return p, chosen, site, ids.select("structure_id", F.explode(other).alias("partner_chain"))
+
+
+def site_contacts(spark, sf):
+    p, chosen, site, partners = _site_evidence(spark, sf)
+    _kept, _summary, verdict = measure.prepare_structure(p, chosen, TargetRequest(remove=("HOH", "SO4")), min_atoms=1, site=site, partners=partners)
+    v = F.col("partner_contacts")
+    join = lambda c: F.array_join(F.transform(v[c], lambda x: x.cast("string")), ",").alias(c)
+    return verdict.select("structure_id", "chain", v["computed"].alias("computed"), v["n_interface_residues"].alias("n_interface_residues"),
+                          join("partner_chains"), *[join(c) for c in evidence.CONTACTS[4:]], "problem")
+
+
+def site_problems(spark, sf):
+    return evidence.problem_rows(evidence.site_evidence(*_site_evidence(spark, sf))).select(
+        "structure_id", "chain", "problem", F.array_join("items", ",").alias("items"))
+
+
 def _target_rows(spark, sf):
     """Three pocket targets, a surface one, a pocket target without cavities."""
     return table(spark, sf, "region").select(
@@ -284,7 +309,35 @@ picked AS (SELECT rq.target_id, CASE WHEN pk.k IS NULL THEN CASE WHEN surface TH
   CASE WHEN NOT (n > 0 AND total = 0 AND NOT surface) THEN pk.pocket_index END AS pocket_index, coalesce(total, 0)::BIGINT AS total_overlap
   FROM rq LEFT JOIN pk ON pk.target_id = rq.target_id AND pk.k = 1)"""
 
+_EVIDENCE = """req AS (SELECT DISTINCT structure_id, CASE structure_id WHEN 'S1' THEN 'C' ELSE 'B' END AS chain FROM v_pdb),
+mine AS (SELECT v.* FROM v_pdb v JOIN req ON req.structure_id = v.structure_id AND req.chain = v.chain WHERE NOT hetero),
+theirs AS (SELECT * FROM v_pdb WHERE ((structure_id = 'S0' AND chain = 'C') OR (structure_id = 'S1' AND chain = 'B')) AND resname <> 'HOH'),
+hits AS (SELECT DISTINCT m.structure_id, m.residue_number AS r FROM mine m JOIN theirs t ON t.structure_id = m.structure_id
+  AND sqrt((m.x - t.x) * (m.x - t.x) + (m.y - t.y) * (m.y - t.y) + (m.z - t.z) * (m.z - t.z)) <= 4.5),
+site AS (SELECT DISTINCT 'S' || (s_suppkey % 3) AS structure_id, s_suppkey::INTEGER AS r FROM supplier),
+here AS (SELECT DISTINCT structure_id, residue_number AS r FROM mine),
+gone AS (SELECT structure_id, string_agg(r::VARCHAR, '{sep}' ORDER BY r) AS items FROM site ANTI JOIN here USING (structure_id, r) GROUP BY 1),
+codes AS (SELECT structure_id, string_agg(r || 'A', '{sep}' ORDER BY r) AS items FROM (SELECT DISTINCT structure_id, residue_number AS r FROM mine WHERE icode = 'A')
+  WHERE structure_id IN (SELECT structure_id FROM site) GROUP BY 1),
+problems AS (SELECT 'S1' AS structure_id, 1 AS n, 'partner chains not in the structure' AS problem, 'Q' AS items
+  UNION ALL SELECT structure_id, 2, 'requested residues not in the chain', items FROM gone
+  UNION ALL SELECT structure_id, 3, 'insertion codes in the chain', items FROM codes)"""
+
 QUERIES = {
+    "g6_site_problems": (site_problems, f"WITH {_EVIDENCE.format(sep=',')} SELECT p.structure_id, chain, problem, items FROM problems p JOIN req ON req.structure_id = p.structure_id"),
+    "g6_partner_contacts": (site_contacts, f"""WITH {_EVIDENCE.format(sep=', ')},
+        conf AS (SELECT * FROM site SEMI JOIN here USING (structure_id, r)),
+        joined AS (SELECT coalesce(c.structure_id, h.structure_id) AS structure_id, coalesce(c.r, h.r) AS r, c.r IS NOT NULL AS c, h.r IS NOT NULL AS h
+          FROM conf c FULL JOIN hits h ON h.structure_id = c.structure_id AND h.r = c.r),
+        l AS (SELECT structure_id, count(*) FILTER (h) AS n, """ + ", ".join(
+            f"coalesce(string_agg(r::VARCHAR, ',' ORDER BY r) FILTER ({when}), '') AS {name}" for name, when in (
+                ("interface_residues", "h"), ("configured_in_interface", "c AND h"), ("configured_not_in_interface", "c AND NOT h"), ("interface_not_configured", "h AND NOT c")))
+        + """ FROM joined GROUP BY 1)
+        SELECT req.structure_id, chain, req.structure_id <> 'S2' AS computed, CASE WHEN req.structure_id <> 'S2' THEN coalesce(n, 0) END AS n_interface_residues,
+          CASE req.structure_id WHEN 'S0' THEN 'C' WHEN 'S1' THEN 'B,Q' ELSE '' END AS partner_chains, """ + ", ".join(
+            f"CASE WHEN req.structure_id <> 'S2' THEN coalesce({c}, '') END AS {c}" for c in evidence.CONTACTS[4:])
+        + """, (SELECT arg_min(problem || ': ' || items, p.n) FROM problems p WHERE p.structure_id = req.structure_id) AS problem
+        FROM req LEFT JOIN l ON l.structure_id = req.structure_id"""),
     "c10_interface_contacts": (found_contacts, f"WITH {_CONTACTS} SELECT * FROM hits"),
     "c11_absent_residues": (absent, "SELECT (s_suppkey * 3)::INTEGER AS residue_number FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT residue_number FROM v_atoms WHERE chain = 'B')"),
     "c12_pocket_overlap": (overlap, f"WITH {_OVER.format(site='v_site')} SELECT target_id, pocket_index, c AS overlap_count, r AS residues FROM ov"),
