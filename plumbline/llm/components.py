@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import null_safe_join
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,14 +35,16 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(id, component) of every node that has an edge; a component is named by its least node.
 
-    Loops and repeated edges do no harm. Every round is written to the shared folder.
+    Loops and repeated edges do no harm. Every round is written to the shared folder, and the
+    one before it is deleted.
     """
     large, small = F.greatest(a, b), F.least(a, b)
     now = cut_lineage(edges.select(large.alias("a"), small.alias("b")).filter("a <> b").distinct(), "edges")
     for _ in range(most_rounds):
         if _settled(now):
             break
-        now = cut_lineage(_star(_star(now, True), False), "edges")
+        before, now = now, cut_lineage(_star(_star(now, True), False), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
