@@ -110,12 +110,14 @@ def patch_geometry(atoms: DataFrame, requested: DataFrame, target: str = "target
     ``atoms`` holds one prepared chain per target with an area per atom (sasa). Residues are
     matched on chain and insertion code too where both tables have them. Requested
     residues that no atom belongs to are listed and reported as the ``problem``; a target
-    of which none is present has only that.
+    of which none is present has only that. Where ``atoms`` tells ``hetero`` atoms apart,
+    they count in the area of the chain, but neither for a patch nor as a requested residue.
     """
     on = [target, "residue_number", *(c for c in ("chain", "icode") if c in atoms.columns and c in requested.columns)]
     wanted = requested.select(*on).distinct()
-    named = null_safe_join(atoms, wanted, on, "left_semi")
-    absent = null_safe_join(wanted, atoms.select(*on).distinct(), on, "left_anti").groupBy(target).agg(
+    own = atoms.filter(~F.coalesce("hetero", F.lit(False))) if "hetero" in atoms.columns else atoms
+    named = null_safe_join(own, wanted, on, "left_semi")
+    absent = null_safe_join(wanted, own.select(*on).distinct(), on, "left_anti").groupBy(target).agg(
         F.array_sort(F.collect_set("residue_number")).alias("absent_residue_numbers"))
     areas = named.groupBy(target, "residue_number").agg(F.sum("sasa").alias("area"))
     per_target = areas.groupBy(target).agg(

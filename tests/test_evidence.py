@@ -6,6 +6,7 @@ import random
 import pytest
 
 from plumbline.operators.evidence import problem_rows, site_evidence
+from plumbline.operators.shapes import patch_geometry
 from plumbline.plans.measure import prepare_structure
 
 ATOMS = "structure_id string, chain string, resname string, hetero boolean, residue_number int, icode string, altloc string, line_no long, x double, y double, z double"
@@ -84,3 +85,13 @@ def test_empty_tables(found):
     assert site_evidence(atoms, chains.limit(0), site, partners).count() == 0
     rows = site_evidence(atoms.limit(0), chains, site, partners).collect()
     assert len(rows) == 4 and not any(r["computed"] for r in rows)
+
+
+def test_patch_leaves_hetero_atoms_out(spark):
+    rows = [(1, n, het, 2.0, float(n), float(n % 3), float(i)) for n, het in ((1, False), (2, True), (3, False), (4, None)) for i in range(4)]
+    atoms = spark.createDataFrame(rows, "target_id int, residue_number int, hetero boolean, sasa double, x double, y double, z double")
+    asked = spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "target_id int, residue_number int")
+    got = patch_geometry(atoms, asked).first()
+    assert (got["residue_numbers"], got["n_atoms"], got["patch_area_A2"], got["total_chain_area_A2"]) == ([1, 4], 8, 16.0, 32.0)
+    assert got["problem"] == "requested residues not present: 2"
+    assert patch_geometry(atoms.drop("hetero"), asked).first()["residue_numbers"] == [1, 2, 4]
