@@ -22,6 +22,7 @@ from .. import runtime
 
 SAMPLE_PER_PART = 16    # sampled values per part of a big group
 BITS = 16               # a group is cut into 2**BITS parts at most
+CUT_BLOCK = 256         # cuts that a row is compared with at once
 _ALL = "__all"
 _HASHES = 1 << 30
 
@@ -55,6 +56,7 @@ def with_buckets(df: DataFrame, keys: list[str], value: str, min_rows: int | Non
     ``value`` (a scalar or a struct) orders the rows. A larger group is cut in proportion
     to its size, so a bucket holds about ``min_rows`` rows. The sample behind the cuts is a
     filter on a hash, without a sort or a window: its rate follows from the group's size.
+    The cuts (one for every ``min_rows`` rows of a larger group) travel to the rows in blocks.
     """
     if min_rows is None:
         min_rows = runtime.ROWS_PER_TASK // 4
@@ -66,16 +68,21 @@ def with_buckets(df: DataFrame, keys: list[str], value: str, min_rows: int | Non
         null_safe_join(df.filter(F.col(value).isNotNull()).select(*keys, value), big, keys)
         .filter(F.pmod(F.xxhash64(value), F.lit(_HASHES)) < rate * _HASHES)
     )
-    ordered = sample.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("__s"), F.max("__parts").alias("__parts"))
-    cuts = ordered.filter(F.size("__s") > 0).select(
-        *keys,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.col("__parts") - 1),
-            lambda i: F.get("__s", F.floor(i * F.size("__s") / F.col("__parts")).cast("int")),
-        )).alias("__cuts"),
-    )
-    place = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__cuts"), F.col(value)))
-    return null_safe_join(df, cuts, keys, "left").withColumn(bucket, place).drop("__cuts")
+    ordered = sample.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("__s"), F.max("__parts").alias("__parts"))
+    places = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.col("__parts") - 1),
+        lambda i: F.floor(i.cast("long") * F.size("__s") / F.col("__parts")).cast("int")))
+    cuts = ordered.filter(F.size("__s") > 0).select(*keys, "__s", places.alias("__at")).select(
+        *keys, F.transform("__at", lambda i: F.get("__s", i)).alias("__cuts"))
+    # A row meets the first cut of every block, then the cuts of one block: never all of them.
+    heads = cuts.select(*keys, F.transform(F.sequence(F.lit(1), F.size("__cuts"), F.lit(CUT_BLOCK)),
+                                           lambda i: F.get("__cuts", i - 1)).alias("__heads"))
+    blocks = cuts.select(*keys, "__cuts", F.explode(F.sequence(F.lit(1), F.size("__cuts"), F.lit(CUT_BLOCK))).alias("__from")).select(
+        *keys, "__from", F.slice("__cuts", F.col("__from"), F.lit(CUT_BLOCK)).alias("__cuts"))
+    head = F.when(F.col("__heads").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__heads"), F.col(value)))
+    near = null_safe_join(df, F.broadcast(heads), keys, "left").withColumn("__from", (head - 1) * CUT_BLOCK + 1).drop("__heads")
+    place = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.col("__from") - 1 + count_at_most(F.col("__cuts"), F.col(value)))
+    return null_safe_join(near, F.broadcast(blocks), [*keys, "__from"], "left").withColumn(bucket, place).drop("__cuts", "__from")
 
 
 def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[str],
