@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordering
+from plumbline.operators import ordering, runs
+from plumbline.plans import evaluate
 
 
 def test_many_buckets_of_one_group(spark):
@@ -12,3 +13,31 @@ def test_many_buckets_of_one_group(spark):
     found = [(tuple(r["lo"]), tuple(r["hi"])) for r in out.orderBy("__bucket").collect()]
     assert len(found) > 10_000
     assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+
+
+def _runs(spark):
+    """Nine runs over seven candidates: copies of a run, different candidates, ties, a run of two."""
+    rows = [(f"r{r}", f"c{c}", "evaluated", ((c * (r % 4 + 1)) % 5) / 4.0, "weak" if (c + r % 4) % 2 else "strong")
+            for r in range(9) for c in range(7) if (r + c) % 3 or r % 4 == 0 if r != 8 or c < 2]
+    rows += [("r1", "c0", "not_evaluated", None, None)]
+    return spark.createDataFrame(rows, "run_id string, candidate_id string, status string, control_percentile double, band string")
+
+
+def _rounded(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_pairs_of_runs_as_classes(spark):
+    rows = _runs(spark)
+    dense, joined = (evaluate.pair_summary(rows, dense=d) for d in (True, False))
+    assert dense.columns == joined.columns
+    assert _rounded(dense.na.fill(-9.0)) == _rounded(joined.na.fill(-9.0))
+    ok = rows.filter("status = 'evaluated'").selectExpr("run_id AS run", "candidate_id AS id", "control_percentile AS p", "band")
+    assert runs.fits_blocks(ok) and not runs.fits_blocks(ok.unionAll(ok.limit(1)))
+    assert _rounded(runs.pair_summary(ok, block=2).na.fill(-9.0)) == _rounded(dense.na.fill(-9.0))
+
+
+def test_repeated_runs_do_not_travel(spark):
+    """The blocks are repeated after a scan, so the size of its files says nothing about them."""
+    plan = evaluate.shared_candidates(_runs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
