@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordering, runs
+from plumbline.operators import ordering, runs, stats, targets
 from plumbline.plans import evaluate
 
 
@@ -41,3 +41,57 @@ def test_repeated_runs_do_not_travel(spark):
     """The blocks are repeated after a scan, so the size of its files says nothing about them."""
     plan = evaluate.shared_candidates(_runs(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+def _targets(spark):
+    t = spark.createDataFrame([(1, "pocket", 12.0, None, 1.0), (2, "pocket", 12.0, None, None), (3, "surface", None, 900.0, 2.0),
+                               (4, "surface", None, 900.0, None), (5, "surface", None, 400.0, 2.0), (6, "pocket", None, None, 1.0)],
+                              "target_id long, binding_mode string, d_pocket_A double, patch_area_A2 double, mean_potential double")
+    bank = spark.range(60).select(F.concat(F.lit("b"), "id").alias("control_id"), (F.col("id") % 6).cast("double").alias("loop_nt_median"),
+                                  (20 + F.col("id") % 9).cast("double").alias("length"), (8 + F.col("id") % 7).cast("double").alias("rg_median_A"))
+    return t, bank
+
+
+def test_counted_distribution(spark):
+    """Results per class of targets are those of every control against every target, at far fewer rows."""
+    t, bank = _targets(spark)
+    whole, counted = targets.target_distribution(bank, t), targets.compact_distribution(bank, t)
+    assert counted.count() < whole.count() / 4
+    same = counted.groupBy(*targets.CLASS).agg(F.sum("n").alias("n"), F.min("disagreement").alias("lo"), F.max("disagreement").alias("hi"))
+    assert _rounded(targets.of_targets(t, same).na.fill(-1.0)) == _rounded(whole.groupBy("target_id", "binding_mode").agg(
+        F.count(F.lit(1)).alias("n"), F.min("disagreement").alias("lo"), F.max("disagreement").alias("hi")).na.fill(-1.0))
+    for spread in (False, True):
+        cuts = targets.of_targets(t, targets.band_thresholds(counted, spread=spread))
+        want = targets.band_thresholds(whole, spread=spread)
+        assert _rounded(cuts.select(want.columns)) == _rounded(want)
+    pairs = targets.compare(targets.pair_with_targets(bank.withColumnRenamed("control_id", "candidate_id"), t))
+    a, b = (targets.control_percentile(pairs, d).select("candidate_id", "target_id", "control_percentile").na.fill(-1.0) for d in (whole, counted))
+    assert _rounded(a) == _rounded(b)
+
+
+def test_validation_by_classes(spark):
+    """Copies of a candidate count, and targets of equal area have equal rows."""
+    t, bank = _targets(spark)
+    cands = bank.withColumnRenamed("control_id", "candidate_id")
+    rows = {r["target_id"]: r for r in evaluate.descriptor_validation(cands, t, bank)[1].collect()}
+    assert sorted(rows) == [3, 4, 5] and {r["n"] for r in rows.values()} == {60}
+    assert rows[3][1:] == rows[4][1:] != rows[5][1:]
+
+
+def test_many_small_groups_stay_plain(spark, monkeypatch):
+    monkeypatch.setattr(ordering.runtime, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(ordering.runtime.is_large, "__defaults__", (50,))
+    rows = spark.range(400).withColumn("k", F.col("id") % 20)
+    assert not ordering.wants_spread(rows, None, ["k"]) and ordering.wants_spread(rows, None)
+    assert ordering.wants_spread(rows.withColumn("k", F.lit(1)), None, ["k"])
+
+
+def test_flat_group_has_no_correlation(spark):
+    """One run whose values are all equal is a null, and no division by zero for all others."""
+    rows = spark.range(30).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"),
+                                  F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id").cast("double")).alias("y"))
+    for spread in (False, True):
+        found = {r["k"]: r["rho"] for r in stats.spearman(rows, ["k"], "x", "y", spread).collect()}
+        assert found == {0: None, 1: 1.0, 2: 1.0}
+    flat = rows.filter("k = 0").select(F.col("x").alias("length"), F.col("y").alias("rg_median_A"))
+    assert stats.descriptor_report(flat).first()["correlation"] is None
