@@ -84,10 +84,12 @@ def compared(spark, sf):
 
 
 def distribution(spark, sf):
-    out = targets.target_distribution(view(spark, sf, "v_bank"), view(spark, sf, "v_targets"))
-    return out.groupBy("target_id", "binding_mode").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("disagreement"), 6).alias("lowest"),
-        F.round(F.max("disagreement"), 6).alias("highest"), F.round(F.avg("disagreement"), 6).alias("mean"))
+    t = view(spark, sf, "v_targets")
+    d, n = F.col("disagreement"), F.col("n")
+    out = targets.compact_distribution(view(spark, sf, "v_bank"), t).groupBy(*targets.CLASS).agg(
+        F.sum(n).alias("n"), F.round(F.min(d), 6).alias("lowest"), F.round(F.max(d), 6).alias("highest"),
+        F.round(F.sum(d * n) / F.sum(F.when(d.isNotNull(), n)), 6).alias("mean"))
+    return targets.of_targets(t, out)
 
 
 def _pairs(spark, sf):
@@ -108,15 +110,16 @@ def percentiles_by_range(spark, sf):
 def percentiles_by_shuffle(spark, sf):
     """The plan for a bank and target table too large to broadcast."""
     t = view(spark, sf, "v_targets")
-    dist = targets.target_distribution(view(spark, sf, "v_bank"), t)
+    dist = targets.compact_distribution(view(spark, sf, "v_bank"), t)
     pairs = targets.compare(targets.pair_with_targets(sized(spark, sf), t))
-    out = targets.control_percentile(pairs.select("candidate_id", "target_id", "disagreement"), dist, max_values=0)
+    out = targets.control_percentile(pairs.select(
+        "candidate_id", "target_id", "binding_mode", "d_pocket_A", "patch_area_A2", "disagreement"), dist, max_values=0)
     return out.select("candidate_id", "target_id", F.round("control_percentile", 9).alias("control_percentile"))
 
 
 def thresholds(spark, sf):
-    dist = targets.target_distribution(view(spark, sf, "v_bank"), view(spark, sf, "v_targets"))
-    out = targets.band_thresholds(dist)
+    t = view(spark, sf, "v_targets")
+    out = targets.of_targets(t, targets.band_thresholds(targets.compact_distribution(view(spark, sf, "v_bank"), t)))
     return out.select("target_id", "n_controls", "units", *[F.round(c, 6).alias(c) for c in (
         "disagreement_at_moderate", "disagreement_at_strong", "control_disagreement_median")])
 
