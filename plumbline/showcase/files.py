@@ -133,11 +133,20 @@ def sphere_rows(spark, sf):
         "pocket_index", "x", *[F.lit(None).cast("double").alias(c) for c in ("y", "z", "radius")], F.lit("malformed").alias("kind")))
 
 
+def _columns(number, width: int):
+    """A number right-aligned in its columns; hybrid-36 where it has too many digits."""
+    over = number - 10**width
+    letters = 26 * 36 ** (width - 1)
+    text = lambda x: F.conv(x.cast("string"), 10, 36)
+    return F.when(over < 0, F.lpad(number.cast("string"), width, " ")).when(
+        over < letters, text(over + 10 * 36 ** (width - 1))).otherwise(F.lower(text(over - letters + 10 * 36 ** (width - 1))))
+
+
 def atom_rows(spark, sf):
     p = view(spark, sf, "v_pdb")
     line = F.format_string(
-        "%-6s%5d  CA %s%-3s %s%s%s   %8.3f%8.3f%8.3f  1.00  0.00", F.when(F.col("hetero"), "HETATM").otherwise("ATOM"), "line_no", "altloc", "resname",
-        "chain", F.when(F.col("line_no") % 70 == 0, F.lit("  x1")).otherwise(F.format_string("%4d", "residue_number")),
+        "%-6s%s  CA %s%-3s %s%s%s   %8.3f%8.3f%8.3f  1.00  0.00", F.when(F.col("hetero"), "HETATM").otherwise("ATOM"), _columns(F.col("line_no"), 5), "altloc", "resname",
+        "chain", F.when(F.col("line_no") % 70 == 0, F.lit("  x1")).otherwise(_columns(F.col("residue_number"), 4)),
         F.when(F.col("icode") == "", " ").otherwise(F.col("icode")), F.col("x"), F.col("y"), F.col("z"))
     df = p.select(F.col("structure_id").alias("b"), F.col("line_no").alias("row"), line.alias("line"))
     atoms, errors = structures.read_pdb_atoms(spark, write_lines(df, fresh_path(spark, "pdb")))

@@ -74,10 +74,17 @@ def read_alpha_spheres(spark: SparkSession, path):
         "file", "line_no", F.lit("malformed vertex line").alias("problem"))
 
 
+def _residue_number(text):
+    """A number in four columns; beyond 9999 as hybrid-36: A000 is 10000, a000 follows ZZZZ."""
+    place = F.conv(text, 36, 10).cast("int")
+    return F.coalesce(text.try_cast("int"), F.when(text.rlike("^[A-Z][0-9A-Z]{3}$"), place - 10 * 36**3 + 10_000).when(
+        text.rlike("^[a-z][0-9a-z]{3}$"), place + 16 * 36**3 + 10_000))
+
+
 def read_pdb_atoms(spark: SparkSession, path, every_location: bool = False):
     """(atoms, errors) by fixed columns; the first alternate location only, unless ``every_location``.
 
-    A line that is too short or has no residue number or a coordinate that is no number is an error row.
+    Residue numbers beyond 9999 are read as hybrid-36. A line that is too short or has no residue number or a coordinate that is no number is an error row.
     """
     lines = numbered_lines(spark, path).filter(F.col("value").rlike("^(ATOM|HETATM)"))
     def cut(a, n):
@@ -85,7 +92,7 @@ def read_pdb_atoms(spark: SparkSession, path, every_location: bool = False):
     out = lines.select(
         "file", "line_no", F.length("value").alias("n"), F.col("value").startswith("HETATM").alias("hetero"),
         cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"), cut(22, 1).alias("chain"),
-        cut(23, 4).try_cast("int").alias("residue_number"), cut(27, 1).alias("icode"),
+        _residue_number(cut(23, 4)).alias("residue_number"), cut(27, 1).alias("icode"),
         cut(31, 8).try_cast("double").alias("x"), cut(39, 8).try_cast("double").alias("y"), cut(47, 8).try_cast("double").alias("z"))
     misplaced = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
     problem = F.when(F.col("n") < 27, "truncated line").when(F.col("residue_number").isNull(), "malformed residue number").when(misplaced, "malformed coordinate")

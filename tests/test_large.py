@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ordering, runs, stats, targets
 from plumbline.plans import evaluate
+from plumbline.showcase import files
+from plumbline.sources import structures
 
 
 def test_many_buckets_of_one_group(spark):
@@ -95,3 +97,15 @@ def test_flat_group_has_no_correlation(spark):
         assert found == {0: None, 1: 1.0, 2: 1.0}
     flat = rows.filter("k = 0").select(F.col("x").alias("length"), F.col("y").alias("rg_median_A"))
     assert stats.descriptor_report(flat).first()["correlation"] is None
+
+
+def test_residue_numbers_beyond_9999(spark, tmp_path):
+    """Columns that overflow are hybrid-36; what is no such number stays an error row."""
+    line = "ATOM  {:>5}  CA  GLY B{} {:>11.3f}{:8.3f}{:8.3f}  1.00  0.00"
+    numbers = ["9999", "A000", "A001", "ZZZZ", "a000", "  x1"]
+    (tmp_path / "one.pdb").write_text("\n".join(line.format("A0000", n, 1.0, 2.0, 3.0) for n in numbers) + "\n")
+    atoms, errors = structures.read_pdb_atoms(spark, str(tmp_path / "one.pdb"))
+    assert [r["residue_number"] for r in atoms.orderBy("line_no").collect()] == [9999, 10000, 10001, 1223055, 1223056]
+    assert [r["problem"] for r in errors.collect()] == ["malformed residue number"]
+    n = spark.createDataFrame([(9999,), (10000,), (1223055,), (1223056,)], "n long")
+    assert [r[0] for r in n.select(files._columns(F.col("n"), 4)).collect()] == ["9999", "A000", "ZZZZ", "a000"]
