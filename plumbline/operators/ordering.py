@@ -23,6 +23,7 @@ from .. import runtime
 SAMPLE_PER_PART = 16    # sampled values per part of a big group
 BITS = 16               # a group is cut into 2**BITS parts at most
 CUT_BLOCK = 256         # cuts that a row is compared with at once
+BLOCK_BITS = 9          # for the cuts of a block and the next one, and for the blocks of a group
 _ALL = "__all"
 _HASHES = 1 << 30
 
@@ -59,9 +60,16 @@ def with_buckets(df: DataFrame, keys: list[str], value: str, min_rows: int | Non
     """Add an order-preserving bucket number; groups of up to ``min_rows`` rows get bucket 0.
 
     ``value`` (a scalar or a struct) orders the rows. A larger group is cut in proportion
-    to its size, so a bucket holds about ``min_rows`` rows. The sample behind the cuts is a
-    filter on a hash, without a sort or a window: its rate follows from the group's size.
-    The cuts (one for every ``min_rows`` rows of a larger group) travel to the rows in blocks.
+    to its size, so a bucket holds about ``min_rows`` rows.
+    """
+    return in_buckets(df, bucket_cuts(df, keys, value, min_rows), keys, value, bucket)
+
+
+def bucket_cuts(df: DataFrame, keys: list[str], value: str, min_rows: int | None = None) -> DataFrame:
+    """(keys..., __cuts): the sorted cuts of every group above ``min_rows`` rows, found once and written.
+
+    The sample behind the cuts is a filter on a hash, without a sort or a window: its rate
+    follows from the group's size.
     """
     if min_rows is None:
         min_rows = runtime.ROWS_PER_TASK // 4
@@ -79,15 +87,33 @@ def with_buckets(df: DataFrame, keys: list[str], value: str, min_rows: int | Non
         lambda i: F.floor(i.cast("long") * F.size("__s") / F.col("__parts")).cast("int")))
     cuts = ordered.filter(F.size("__s") > 0).select(*keys, "__s", places.alias("__at")).select(
         *keys, F.transform("__at", lambda i: F.get("__s", i)).alias("__cuts"))
+    return runtime.cut_lineage(cuts, "cuts")
+
+
+def in_buckets(df: DataFrame, cuts: DataFrame, keys: list[str], value: str, bucket: str = "__bucket", edges: bool = False) -> DataFrame:
+    """The rows with the number of their bucket. The cuts travel to the rows in blocks.
+
+    ``edges`` keeps only the rows of groups that were cut, with the cuts at which a row's
+    bucket begins and ends (``__lower``, ``__upper``; null where the group does).
+    """
     # A row meets the first cut of every block, then the cuts of one block: never all of them.
     heads = cuts.select(*keys, F.transform(F.sequence(F.lit(1), F.size("__cuts"), F.lit(CUT_BLOCK)),
                                            lambda i: F.get("__cuts", i - 1)).alias("__heads"))
     blocks = cuts.select(*keys, "__cuts", F.explode(F.sequence(F.lit(1), F.size("__cuts"), F.lit(CUT_BLOCK))).alias("__from")).select(
-        *keys, "__from", F.slice("__cuts", F.col("__from"), F.lit(CUT_BLOCK)).alias("__cuts"))
-    head = F.when(F.col("__heads").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__heads"), F.col(value)))
-    near = null_safe_join(df, F.broadcast(heads), keys, "left").withColumn("__from", (head - 1) * CUT_BLOCK + 1).drop("__heads")
-    place = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.col("__from") - 1 + count_at_most(F.col("__cuts"), F.col(value)))
-    return null_safe_join(near, F.broadcast(blocks), [*keys, "__from"], "left").withColumn(bucket, place).drop("__cuts", "__from")
+        *keys, "__from", F.slice("__cuts", F.col("__from"), F.lit(CUT_BLOCK + 1)).alias("__cuts"))
+    head = F.when(F.col("__heads").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__heads"), F.col(value), BLOCK_BITS))
+    near = null_safe_join(df, F.broadcast(heads), keys, "left").withColumns(
+        {"__from": (head - 1) * CUT_BLOCK + 1, "__first": F.get("__heads", F.lit(0))}).drop("__heads")
+    if edges:
+        near = near.filter(F.col("__first").isNotNull())
+    # The last cut of a block is the first one of the next, which no row of the block reaches.
+    inside = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(count_at_most(F.col("__cuts"), F.col(value), BLOCK_BITS))
+    out = null_safe_join(near, F.broadcast(blocks), [*keys, "__from"], "left").withColumn("__in", inside)
+    out = out.withColumn(bucket, F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.col("__from") - 1 + F.col("__in")))
+    if edges:
+        out = out.withColumns({"__lower": F.get("__cuts", F.col("__in") - 1), "__upper": F.coalesce(
+            F.get("__cuts", F.col("__in")), F.when(F.col("__cuts").isNull(), F.col("__first")))})
+    return out.drop("__cuts", "__from", "__first", "__in")
 
 
 def prefix_counts(compact: DataFrame, keys: list[str], value: str, counts: list[str],

@@ -1,8 +1,10 @@
 """What only shows on larger tables: overflows, cuts, classes of equal rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordering, runs, stats, targets
+from plumbline.operators import ordering, ranking, runs, stats, targets
 from plumbline.plans import evaluate
 from plumbline.showcase import files
 from plumbline.sources import structures
@@ -109,3 +111,11 @@ def test_residue_numbers_beyond_9999(spark, tmp_path):
     assert [r["problem"] for r in errors.collect()] == ["malformed residue number"]
     n = spark.createDataFrame([(9999,), (10000,), (1223055,), (1223056,)], "n long")
     assert [r[0] for r in n.select(files._columns(F.col("n"), 4)).collect()] == ["9999", "A000", "ZZZZ", "a000"]
+
+
+def test_spread_ranks_shuffle_rows_once(spark):
+    """Ties come from the sort that numbers the rows, not from a second shuffle by score; a class may span several buckets."""
+    rows = spark.range(3000).select(F.col("id").alias("candidate_id"), F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") % 7) / 7).alias("tier1_score"))
+    out = ranking.rank_candidates(rows, spread=True, min_rows=100)
+    assert not re.search(r"hashpartitioning\([^\n]*tier1_score", out._jdf.queryExecution().executedPlan().toString())
+    assert _rounded(out) == _rounded(ranking.rank_candidates(rows, spread=False).select(out.columns))
