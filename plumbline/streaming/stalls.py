@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .progress import TIMEOUT_S, ENDS
 from .throttle import STORE
 
-OUT = "job_id string, status string, stage string, error_code string, updated_utc timestamp, last_seq long"
-_JOB = "launched boolean, has_artifact boolean"
-_SEEN = "status string, status_seq long, stage string, stage_seq long, code string, code_seq long, updated long, last_seq long"
+OUT = "job_id string, status string, stage string, error_code string, updated long, last_seq long"
+#: A job's row, its events so far and when its timer runs out (0: none), read and written at once.
+_STATE = "launched boolean, has_artifact boolean, timer long, status string, status_seq long, stage string, stage_seq long, code string, code_seq long, updated long, last_seq long"
 _FRESH = (None, -1, None, -1, None, -1, 0, -1)
 
 
@@ -37,54 +36,61 @@ def effective(job: tuple, seen: tuple, stalled: bool) -> tuple[str, str | None,
 
 
 class _Stalls(StatefulProcessor):
+    """A call of the state store costs more than a job's events, so a trigger reads and writes a job once and a job has one timer.
+
+    The timer stays where it is while events come; when it runs out early it is set anew.
+    """
+
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", _JOB)
-        self.seen = handle.getValueState("seen", _SEEN)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.job.update((bool(row["launched"]), bool(row["has_artifact"])))
-        self.handle.registerTimer(1)  # the first time that the watermark moves
-
-    def _row(self, key, stalled: bool) -> pd.DataFrame:
-        seen = self.seen.get() if self.seen.exists() else _FRESH
-        status, stage, code = effective(tuple(self.job.get()), tuple(seen), stalled)
-        updated = pd.Timestamp(seen[6], unit="us", tz="UTC") if seen[7] >= 0 else pd.NaT
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "stage": [stage], "error_code": [code],
-                             "updated_utc": pd.Series([updated], dtype="datetime64[us, UTC]"), "last_seq": [seen[7]]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, status_seq, stage, stage_seq, code, code_seq, updated, last = self.seen.get() if self.seen.exists() else _FRESH
-        for some in rows:
-            for kind, seq, at_stage, error, at in zip(some["event"], some["seq"].tolist(), some["stage"], some["code"], some["at"].tolist()):
-                if kind in ENDS and seq > status_seq:
-                    status, status_seq = ENDS[kind], seq
-                if kind in ("stage_started", "advance", "run_completed") and seq > stage_seq:
-                    stage, stage_seq = (None if kind == "run_completed" else at_stage), seq
-                if kind == "run_failed" and seq > code_seq:
-                    code, code_seq = error, seq
-                if seq > last:
-                    updated, last = at, seq
-        text = lambda v: None if v is None or pd.isna(v) else v
-        self.seen.update((status, status_seq, text(stage), stage_seq, text(code), code_seq, updated, last))
-        if not self.job.exists():  # no job of the table
-            return
-        self.handle.registerTimer(updated // 1000 + self.timeout_ms + 1)
-        yield self._row(key, False)
+        self.state = handle.getValueState("job", _STATE)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.job.exists():
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        # The first time that the watermark moves.
+        self.state.update((bool(initialState["launched"]), bool(initialState["has_artifact"]), 1, *_FRESH))
+        self.handle.registerTimer(1)
+
+    def _row(self, key, job: tuple, seen: tuple, stalled: bool) -> Row:
+        status, stage, code = effective(job, seen, stalled)
+        return Row(job_id=key[0], status=status, stage=stage, error_code=code, updated=seen[6] if seen[7] >= 0 else None, last_seq=seen[7])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.state.get()
+        if state is None:  # no job of the table
+            return
+        launched, has_artifact, timer, status, status_seq, stage, stage_seq, code, code_seq, updated, last = state
+        for row in rows:
+            kind, seq = row["event"], row["seq"]
+            if seq is None:
+                continue
+            if kind in ENDS and seq > status_seq:
+                status, status_seq = ENDS[kind], seq
+            if kind in ("stage_started", "advance", "run_completed") and seq > stage_seq:
+                stage, stage_seq = (None if kind == "run_completed" else row["stage"]), seq
+            if kind == "run_failed" and seq > code_seq:
+                code, code_seq = row["code"], seq
+            if seq > last:
+                updated, last = row["at"], seq
+        seen = (status, status_seq, stage, stage_seq, code, code_seq, updated, last)
+        if not timer:
+            timer = updated // 1000 + self.timeout_ms + 1
+            self.handle.registerTimer(timer)
+        self.state.update((launched, has_artifact, timer, *seen))
+        yield self._row(key, (launched, has_artifact), seen, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        launched, has_artifact, _, *seen = self.state.get()
+        due = seen[6] // 1000 + self.timeout_ms
+        if seen[7] >= 0 and timerValues.getCurrentWatermarkInMs() <= due:
+            self.handle.registerTimer(due + 1)
+            self.state.update((launched, has_artifact, due + 1, *seen))
             return
-        if not self.seen.exists():
-            yield self._row(key, False)
-        elif timerValues.getCurrentWatermarkInMs() > self.seen.get()[6] // 1000 + self.timeout_ms:
-            status = self.seen.get()[0]
-            if status in (None, "running"):
-                yield self._row(key, True)
+        self.state.update((launched, has_artifact, 0, *seen))
+        if seen[7] < 0 or seen[0] in (None, "running"):
+            yield self._row(key, (launched, has_artifact), tuple(seen), True)
 
     def close(self) -> None:
         pass
@@ -103,5 +109,6 @@ def stalled_stream(jobs: DataFrame, events: DataFrame, timeout_s: int = TIMEOUT_
                          F.unix_micros(F.col("created_utc").cast("timestamp")).alias("at")).withWatermark("created_utc", delay)
     known = jobs.select(F.col("job_id").cast("string").alias("job_id"), F.coalesce("launched", F.lit(False)).alias("launched"),
                         F.coalesce("has_artifact", F.lit(False)).alias("has_artifact"))
-    return rows.groupBy("job_id").transformWithStateInPandas(
+    out = rows.groupBy("job_id").transformWithState(
         statefulProcessor=_Stalls(timeout_s * 1000), outputStructType=OUT, outputMode="Update", timeMode="EventTime", initialState=known.groupBy("job_id"))
+    return out.select("job_id", "status", "stage", "error_code", F.timestamp_micros("updated").alias("updated_utc"), "last_seq")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,49 +76,47 @@ def throttle(events: DataFrame, window_ms: int = THROTTLE_MS) -> DataFrame:
     return _unwrapped(kept.unionByName(wrapped.filter("NOT moving").select("row")), events.schema)
 
 
-def _frame(rows: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"row": pd.Series(rows, dtype=object)})
-
-
 class _Gap(StatefulProcessor):
-    """Per job and stage: the events that wait for the watermark, and the time of the last one kept."""
+    """Per job: the events that wait for the watermark, and for each of its stages the time of the last one kept.
+
+    A job's few stages share one state, as a call of the state store costs more than their events.
+    """
 
     def __init__(self, window: int):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, seq long, final boolean, row string")
-        self.last = handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, passed = [], []
-        for some in rows:
-            moving = some["moving"].to_numpy(bool)
-            passed += some["row"][~moving].tolist()
-            some = some[moving]
-            held += [(int(a), int(s), bool(f), r) for a, s, f, r in zip(some["at"], some["seq"], some["final"], some["row"])]
+        self.waiting = handle.getListState("waiting", "at long, seq long, final boolean, at_stage string, row string")
+        self.last = handle.getValueState("last", "stages array<string>, at array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = []
+        for row in rows:
+            if row["moving"]:
+                held.append((row["at"], row["seq"], row["final"], row["at_stage"], row["row"]))
+            else:
+                yield Row(row=row["row"])
         if held:
             self.waiting.appendList(held)
             self.handle.registerTimer(max(at for at, *_ in held) // 1000 + 1)
-        yield _frame(passed)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(self.waiting.get())
         ready = [w for w in waiting if w[0] < passed]
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
-        for (stays, last), w in zip(keeps([(w[0], w[2]) for w in ready], last, self.window), ready):
+        if not ready:
+            return
+        last = dict(zip(*(self.last.get() or ((), ()))))
+        for at, _, final, stage, row in ready:
+            ((stays, last[stage]),) = keeps([(at, final)], last.get(stage), self.window)
             if stays:
-                kept.append(w[3])
-        if last is not None:
-            self.last.update((last,))
+                yield Row(row=row)
+        self.last.update((list(last), list(last.values())))
         if len(ready) < len(waiting):
             self.waiting.put(waiting[len(ready):])
         else:
             self.waiting.clear()
-        yield _frame(kept)
 
     def close(self) -> None:
         pass
@@ -133,6 +131,6 @@ def throttle_stream(events: DataFrame, window_ms: int = THROTTLE_MS, delay: str
     """
     events.sparkSession.conf.set(*STORE)
     wrapped = _wrapped(events).withWatermark("created_utc", delay)
-    rows = wrapped.groupBy("job", "at_stage").transformWithStateInPandas(
+    rows = wrapped.groupBy("job").transformWithState(
         statefulProcessor=_Gap(window_ms * 1000), outputStructType="row string", outputMode="Append", timeMode="EventTime")
     return _unwrapped(rows, events.schema)
