@@ -14,46 +14,57 @@ from .intake import first_per_sequence
 from .ordering import group_quantiles, row_numbers, wants_spread
 
 
-def _shuffle_once(seq: str, k: int, rng: random.Random) -> str:
-    """A random string with the same k-mers: a random Eulerian path over (k-1)-mers."""
-    if k <= 1 or len(seq) <= k:
-        if k <= 1:
-            return "".join(rng.sample(seq, len(seq)))
-        return seq
+def _shuffles(seq: str, k: int, rng: random.Random, n: int) -> list[str]:
+    """n random strings with the same k-mers: random Eulerian paths over (k-1)-mers.
+
+    The graph is the same for all of them and built once. What loses its composition
+    is an error, checked on every string.
+    """
+    if k <= 1:
+        return ["".join(rng.sample(seq, len(seq))) for _ in range(n)]
+    if len(seq) <= k:
+        return [seq] * n
     w = k - 1
     nodes = [seq[i:i + w] for i in range(len(seq) - w + 1)]
     out: dict[str, list[str]] = {}
     for a, b in zip(nodes, nodes[1:]):
         out.setdefault(a, []).append(b)
-    end = nodes[-1]
-    # A random tree towards the end node (loop-erased random walks) fixes the last
-    # edge taken from every node; all other edges may come in any order.
-    last: dict[str, str] = {}
-    done = {end}
-    for start in out:
-        node = start
-        while node not in done:
-            last[node] = rng.choice(out[node])
-            node = last[node]
-        node = start
-        while node not in done:
-            done.add(node)
-            node = last[node]
-    walk: dict[str, list[str]] = {}
-    for node, targets in out.items():
-        rest = list(targets)
-        if node != end:
-            rest.remove(last[node])
-            rng.shuffle(rest)
-            rest.append(last[node])
-        else:
-            rng.shuffle(rest)
-        walk[node] = rest[::-1]
-    node, pieces = nodes[0], [nodes[0]]
-    for _ in range(len(nodes) - 1):
-        node = walk[node].pop()
-        pieces.append(node[-1])
-    return "".join(pieces)
+    end, first = nodes[-1], nodes[0]
+    content = sorted(seq[i:i + k] for i in range(len(nodes) - 1))
+    made = []
+    for _ in range(n):
+        # A random tree towards the end node (loop-erased random walks) fixes the last
+        # edge taken from every node; all other edges may come in any order.
+        last: dict[str, str] = {}
+        done = {end}
+        for start in out:
+            node = start
+            while node not in done:
+                last[node] = node = rng.choice(out[node])
+            node = start
+            while node not in done:
+                done.add(node)
+                node = last[node]
+        walk: dict[str, list[str]] = {}
+        for node, targets in out.items():
+            rest = targets.copy()
+            if node != end:
+                rest.remove(last[node])
+                rng.shuffle(rest)
+                rest.append(last[node])
+            else:
+                rng.shuffle(rest)
+            rest.reverse()
+            walk[node] = rest
+        node, pieces = first, [first]
+        for _ in range(len(nodes) - 1):
+            node = walk[node].pop()
+            pieces.append(node[-1])
+        text = "".join(pieces)
+        if sorted(text[i:i + k] for i in range(len(text) - w)) != content:
+            raise ValueError("a shuffle changed the composition of its sequence")
+        made.append(text)
+    return made
 
 
 def dinucleotide_shuffles(df: DataFrame, n: int, k: int = 2, seed: int = 42, purpose: str = "shuffle",
@@ -81,24 +92,20 @@ def dinucleotide_shuffles(df: DataFrame, n: int, k: int = 2, seed: int = 42, pur
                 made = []
                 for text, s in zip(pdf["source_sequence"], pdf["__seed"]):
                     rng = random.Random(int(s))
-                    made.extend(_shuffle_once(text, k, rng) for _ in range(n))
+                    made.extend(_shuffles(text, k, rng, n))
                 yield pd.DataFrame({
                     id_col: pdf[id_col].repeat(n).to_numpy(),
                     "source_sequence": pdf["source_sequence"].repeat(n).to_numpy(),
                     "shuffle_index": list(range(n)) * len(pdf), "sequence": made})
 
     id_type = dict(df.dtypes)[id_col]
-    out = seeded.mapInPandas(
+    return seeded.mapInPandas(
         generate, f"`{id_col}` {id_type}, source_sequence string, shuffle_index int, sequence string")
-    # A shuffle that loses its composition is an error, checked on every row.
-    kept = composition_kept(F.col("source_sequence"), F.col("sequence"), k)
-    return out.withColumn("sequence", F.when(kept, F.col("sequence")).otherwise(
-        F.raise_error(F.lit("a shuffle changed the composition of its sequence")).cast("string")))
 
 
 def composition_kept(a, b, k: int = 2):
     """Same length and same k-mer multiset, decided inside the row."""
-    return (F.length(a) == F.length(b)) & (F.array_sort(Q.kmers(a, k)) == F.array_sort(Q.kmers(b, k)))
+    return (F.length(a) == F.length(b)) & (F.sort_array(Q.kmers(a, k)) == F.sort_array(Q.kmers(b, k)))
 
 
 def shuffled_negatives(reference: DataFrame, seed: int = 42, k: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordering, ranking, runs, stats, targets
+from plumbline.operators import controls, ordering, ranking, runs, stats, targets
 from plumbline.plans import evaluate
 from plumbline.showcase import files
 from plumbline.sources import structures
@@ -119,3 +119,21 @@ def test_spread_ranks_shuffle_rows_once(spark):
     out = ranking.rank_candidates(rows, spread=True, min_rows=100)
     assert not re.search(r"hashpartitioning\([^\n]*tier1_score", out._jdf.queryExecution().executedPlan().toString())
     assert _rounded(out) == _rounded(ranking.rank_candidates(rows, spread=False).select(out.columns))
+
+
+def test_ranks_of_a_whole_batch_hold_no_rows_in_one_task(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 9).cast("double").alias("v"))
+    out = ordering.average_rank(rows, [], "v", "r", "n", spread=False)
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert windows and not any("rank(" in line for line in windows)
+    assert _rounded(out.select("id", "r", "n")) == _rounded(ordering.average_rank(rows.withColumn("k", F.lit(1)), ["k"], "v", "r", "n", spread=False).select("id", "r", "n"))
+
+
+def test_shuffles_are_checked_where_they_are_made(spark):
+    """Once per row in the task that makes it, and the query's own check sorts without a comparator of its own."""
+    rows = spark.createDataFrame([("a", "ACGUACGGUCAUUGCA"), ("b", "AC")], "candidate_id string, sequence string")
+    out = controls.dinucleotide_shuffles(rows, 3)
+    checked = out.withColumn("kept", controls.composition_kept(F.col("source_sequence"), F.col("sequence")))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" not in plan and "array_sort" not in plan
+    assert [r["kept"] for r in checked.collect()] == [True] * 6
