@@ -214,15 +214,16 @@ def wide_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: di
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank",
                  n: str | None = None, spread=None, min_rows: int | None = None) -> DataFrame:
     """Rank from 1 within the group, ties share their mean rank."""
-    if not wants_spread(df, spread):
-        ks = [F.lit(0)] if not keys else keys
-        order = Window.partitionBy(*ks).orderBy(value)
-        peers = Window.partitionBy(*ks, value)
+    spread = wants_spread(df, spread)
+    if not spread and keys:
+        order = Window.partitionBy(*keys).orderBy(value)
+        peers = Window.partitionBy(*keys, value)
         res = df.withColumn(
             out, F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0))
-        return res.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*ks))) if n else res
+        return res.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if n else res
+    # Without keys one window would hold whole rows in one task: only counted values meet there.
     compact = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_rows"))
-    run = prefix_counts(compact, keys, value, ["n_rows"], True, min_rows).select(
+    run = prefix_counts(compact, keys, value, ["n_rows"], spread, min_rows).select(
         *keys, value, "n_rows",
         (F.col("n_rows_before") + (F.col("n_rows") + 1) / F.lit(2.0)).alias(out),
         *([F.col("n_rows_total").alias(n)] if n else []),
