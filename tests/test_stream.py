@@ -100,3 +100,13 @@ def test_stages_of_a_job_share_one_state():
             for at, stage in ((0, "a"), (10, "b"), (50, "a"), (120, "a"), (130, "b"))]
     assert not list(gap.handleInputRows(("j",), iter(rows), None)) and store.calls == ["update", "timer"]
     assert [r["row"] for r in gap.handleExpiredTimer(("j",), _Now(1), None)] == ["a0", "b10", "a120", "b130"]
+
+
+def test_a_status_leaves_as_one_column():
+    """Frames of one column, times as microseconds in the state."""
+    state = dict.fromkeys(progress._STATE_FIELDS)
+    state.update(job_id="j", status="pending", n_warnings=0, n_stages_completed=0, last_seq=-1, **{f"seq_{g}": -1 for g in progress._GROUPS})
+    rows = progress.pd.DataFrame([{**dict.fromkeys(progress._READ), "seq": 4, "at": 4_000_000, "event": "run_started"}])
+    progress._fold(state, rows)
+    assert (state["status"], state["started_utc"], state["last_seq"]) == ("running", 4_000_000, 4)
+    assert progress._out(state).columns.tolist() == ["row"]
