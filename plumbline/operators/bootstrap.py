@@ -1,9 +1,9 @@
 """Bootstrap intervals as joins: replicates are rows, draws are hashes.
 
 Draw j of replicate r is a hash of (seed, r, j), so any engine repeats it and no
-task owns a random stream. Draws are counted per (replicate, drawn row) before they
-meet the values, and values are counted per (replicate, value) before ranking, so
-the data of one replicate shrinks at both shuffles.
+task owns a random stream. Draws travel packed to the block of their unit, where they
+are counted as a matrix (unit, replicate) and meet the unit's values; what goes on is
+counted per value, and ranked for all replicates at once in ranges of the values.
 
 The compact forms draw counts instead of rows: a binomial split tree over ranges of the
 distinct values, and a multinomial inside a range.
@@ -15,13 +15,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import hash_draw
 from ..functions.scores import is_finite
 from ..runtime import cut_lineage
-from .ordering import group_quantiles, row_numbers, wants_spread, with_buckets
+from .ordering import bucket_cuts, group_quantiles, in_buckets, row_numbers, wants_spread, with_buckets
 from .stats import mann_whitney_counts
 
 
@@ -32,32 +32,162 @@ def _numbered(df: DataFrame, order: list[str], spread) -> tuple[DataFrame, int]:
         "__i", F.col("__i") - 1), n
 
 
-def draws(spark, n: int, n_boot: int, seed: int, label: str) -> DataFrame:
-    """(replicate, __i, times): how often each row is drawn in each replicate.
+#: Draws that a task holds before it deals them to blocks of units; cells (replicates times units, or values) of one block, or one range of values.
+DRAWS_AT_ONCE, BLOCK_CELLS = 1 << 22, 1 << 21
+#: Tasks that add up the counts of a range of values before its replicates are ranked.
+SHARES = 64
 
-    Both axes come from a distributed range, so even one replicate of many rows is
+
+def draws(n: int, seed: int, label: str, replicate: int, first: int, last: int) -> np.ndarray:
+    """The rows drawn by draws ``first`` to ``last`` - 1 of a replicate: ``identity.hash_draw`` of (label, seed, replicate, draw)."""
+    start = f"{label}|{seed}|{replicate}|".encode()
+    found = b"".join([hashlib.md5(b"%s%d" % (start, j), usedforsecurity=False).digest() for j in range(first, last)])
+    return (np.frombuffer(found, ">u8")[::2] >> np.uint64(16)).astype(np.int64) % n
+
+
+def packed_draws(spark, n: int, n_boot: int, seed: int, label: str) -> DataFrame:
+    """(block, cells): all draws dealt to blocks of units, four bytes each; a cell is unit of the block * n_boot + replicate.
+
+    A task has a run of the draws of all replicates, so even one replicate of many rows is
     spread over tasks.
     """
     if n <= 0:
         raise ValueError("nothing to resample")
-    cells = spark.range(n_boot * n).select(
-        F.expr(f"CAST(floor(id / {n}) AS INT)").alias("replicate"), F.expr(f"id % {n}").alias("j"))
-    drawn = cells.select("replicate", hash_draw(F.lit(n), label, seed, F.col("replicate"), F.col("j")).alias("__i"))
-    return drawn.groupBy("replicate", "__i").agg(F.count(F.lit(1)).alias("times"))
+    size, every, step = _block_units(n_boot), n_boot * n, DRAWS_AT_ONCE // 16
+
+    def deal(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        unit, replicate = np.concatenate([u for u, _r in held]), np.concatenate([np.full(len(u), r) for u, r in held])
+        block = (unit // size).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        block, cell = block[order], (unit % size * n_boot + replicate).astype(np.int32)[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        cells = [c.tobytes() for c in np.split(cell, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(cells, pa.binary())], names=["block", "cells"])
+
+    def pack(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for run in batch.column("id").to_pylist():
+                at, end = run * step, min(every, (run + 1) * step)
+                while at < end:
+                    replicate, j = divmod(at, n)
+                    stop = min(n, j + end - at)
+                    held.append((draws(n, seed, label, replicate, j, stop), replicate))
+                    at += stop - j
+                rows += end - run * step
+                if rows >= DRAWS_AT_ONCE:
+                    yield deal(held)
+                    held, rows = [], 0
+        if held:
+            yield deal(held)
+
+    runs = -(-every // step)
+    tasks = max(min(runs, spark.sparkContext.defaultParallelism), -(-every // DRAWS_AT_ONCE))
+    return spark.range(0, runs, 1, tasks).mapInArrow(pack, "block int, cells binary")
+
+
+def _block_units(n_boot: int) -> int:
+    return max(1, BLOCK_CELLS // n_boot)
+
+
+def _resampled(members: DataFrame, n: int, n_boot: int, seed: int, label: str, add, schema: str) -> DataFrame:
+    """``add(block, times, rows)`` for every block of units, with the rows of ``members`` (which has __i) and how often each unit is drawn.
+
+    ``times`` is (unit, replicate), ``rows.unit`` the number in it. Draws travel as four
+    bytes each and meet their block once; a block with many members is several tasks.
+    """
+    size = _block_units(n_boot)
+    placed = members.withColumns({"block": F.expr(f"CAST(__i div {size} AS INT)"), "unit": F.expr(f"CAST(__i % {size} AS INT)")}).drop("__i")
+    slices = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (8 * size)).cast("int").alias("slices"))
+    packed = packed_draws(members.sparkSession, n, n_boot, seed, label).join(F.broadcast(slices), "block").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    rows = placed.join(F.broadcast(slices), "block").withColumn(
+        "slice", F.pmod(F.xxhash64("unit", "v"), F.col("slices")).cast("int")).drop("slices")
+
+    def count(key, drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if drawn.empty or rows.empty:
+            return pd.DataFrame()
+        cells = np.frombuffer(b"".join(drawn["cells"]), np.int32)
+        return add(int(key[0]), np.bincount(cells, minlength=size * n_boot).reshape(size, n_boot), rows)
+
+    return packed.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInPandas(count, schema)
+
+
+def _sums(times: np.ndarray, units: np.ndarray, weights: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """(group, replicate): weights of the drawn units; ``groups`` is in order, 0 to n - 1."""
+    out = np.zeros((n, times.shape[1]), np.int64)
+    for at in range(0, len(units), len(times)):
+        part = slice(at, at + len(times))
+        of = groups[part]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        out[of[first]] += np.add.reduceat(times[units[part]] * weights[part, None], first, axis=0)
+    return out
+
 
+_COUNTS = "range int, share int, held binary, counts binary, kind string"
 
-def _resampled(units: DataFrame, n: int, n_boot: int, seed: int, label: str) -> DataFrame:
-    """Replicates joined to what was drawn; ``units`` has __i and any payload."""
-    return draws(units.sparkSession, n, n_boot, seed, label).join(units, "__i").drop("__i")
 
+def _counts_row(which: int, share: int, values: np.ndarray, counts: np.ndarray) -> tuple:
+    """Values of a range and their (pos or neg, value, replicate) counts, in as few bytes each as they need."""
+    kind = np.min_scalar_type(int(counts.max(initial=0))).str
+    return which, share, values.tobytes(), counts.astype(kind).tobytes(), kind
 
-def _auc_interval(pos: DataFrame, neg: DataFrame, spread) -> DataFrame:
-    """2.5 and 97.5 percentiles of the AUC over (replicate, v, times) rows."""
-    zero = F.lit(0).cast("long")
-    both = pos.select("replicate", "v", F.col("times").alias("pos"), zero.alias("neg")).unionByName(
-        neg.select("replicate", "v", zero.alias("pos"), F.col("times").alias("neg")))
-    counts = both.groupBy("replicate", "v").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    one = mann_whitney_counts(counts, ["replicate"], None, spread).withColumn("__all", F.lit(0))
+
+def _merged(rows: pd.DataFrame, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of several such rows, in order, and the sums of their counts."""
+    held = [np.frombuffer(b, np.float64) for b in rows["held"]]
+    values = np.unique(np.concatenate(held))
+    out = np.zeros((2, len(values), n_boot), np.int64)
+    for some, counts, kind in zip(held, rows["counts"], rows["kind"]):
+        out[:, np.searchsorted(values, some)] += np.frombuffer(counts, kind).reshape(2, len(some), n_boot)
+    return values, out
+
+
+def _auc_interval(sides: list[tuple[DataFrame, int, str]], n_boot: int, seed: int) -> DataFrame:
+    """2.5 and 97.5 percentiles of the AUC. A side is its members (__i, v, pos, neg), its number of units and its label.
+
+    The distinct values are cut into ranges. Counts are added up per block of units and
+    range, then per range, where a task ranks all replicates; only totals go on.
+    """
+    sides = [(cut_lineage(members.select(F.col("__i"), F.col("v"), F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg")), "members"), n, label)
+             for members, n, label in sides]
+    every = sides[0][0].select("v")
+    for members, _n, _label in sides[1:]:
+        every = every.unionByName(members.select("v"))
+    cuts = bucket_cuts(every.distinct().withColumn("__all", F.lit(0)), ["__all"], "v", _block_units(n_boot))
+    n_ranges = cuts.select(F.max(F.size("__cuts"))).first()[0] or 0
+    shares = max(1, SHARES // (n_ranges + 1))
+
+    def count(block, times, rows):
+        rows, out = rows.sort_values(["range", "v"]), []
+        for which, part in rows.groupby("range", sort=False):
+            values, of = np.unique(part["v"].to_numpy(), return_inverse=True)
+            units = part["unit"].to_numpy()
+            out.append(_counts_row(which, block % shares, values, np.stack(
+                [_sums(times, units, part[c].to_numpy(), of, len(values)) for c in ("pos", "neg")])))
+        return pd.DataFrame(out, columns=["range", "share", "held", "counts", "kind"])
+
+    def merge(key, rows):
+        return pd.DataFrame([_counts_row(int(key[0]), int(key[1]), *_merged(rows, n_boot))], columns=["range", "share", "held", "counts", "kind"])
+
+    def rank(key, rows):
+        _values, (pos, neg) = _merged(rows, n_boot)
+        wins = (pos * (np.cumsum(neg, axis=0) - neg + 0.5 * neg)).sum(0)
+        return pd.DataFrame({"replicate": np.arange(n_boot), "range": int(key[0]), "pos": pos.sum(0), "neg": neg.sum(0), "wins": wins})
+
+    parts = None
+    for members, n, label in sides:
+        cut = in_buckets(members.withColumn("__all", F.lit(0)), cuts, ["__all"], "v", "range").drop("__all")
+        one = _resampled(cut.withColumn("range", F.col("range").cast("int")), n, n_boot, seed, label, count, _COUNTS)
+        parts = one if parts is None else parts.unionByName(one)
+    if shares > 1:
+        parts = parts.groupBy("range", "share").applyInPandas(merge, _COUNTS)
+    ranked = parts.groupBy("range").applyInPandas(rank, "replicate long, range int, pos long, neg long, wins double")
+    below = Window.partitionBy("replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    won = ranked.withColumn("wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    total = won.groupBy("replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
+    enough = (F.col("pos") >= 2) & (F.col("neg") >= 2)
+    one = total.select(F.when(enough, F.col("wins") / (F.col("pos") * F.col("neg")).cast("double")).alias("auc"), F.lit(0).alias("__all"))
     return group_quantiles(one, ["__all"], "auc", {"ci_low": .025, "ci_high": .975}, False, n="n_boot").drop("__all")
 
 
@@ -69,8 +199,11 @@ def bootstrap_auc(df: DataFrame, value: str, positive: str, id_col: str, n_boot:
     spread = wants_spread(df, spread)
     pos, n_pos = _numbered(ok.filter("p").select("id", "v"), ["id"], spread)
     neg, n_neg = _numbered(ok.filter(~F.col("p")).select("id", "v"), ["id"], spread)
-    return _auc_interval(_resampled(pos, n_pos, n_boot, seed, "pos"),
-                         _resampled(neg, n_neg, n_boot, seed, "neg"), spread)
+    return _auc_interval([(_one_each(pos, 1, 0), n_pos, "pos"), (_one_each(neg, 0, 1), n_neg, "neg")], n_boot, seed)
+
+
+def _one_each(rows: DataFrame, pos: int, neg: int) -> DataFrame:
+    return rows.select("__i", "v", F.lit(pos).alias("pos"), F.lit(neg).alias("neg"))
 
 
 def bootstrap_auc_clustered(df: DataFrame, value: str, positive: str, id_col: str, cluster: str,
@@ -90,10 +223,9 @@ def bootstrap_auc_clustered(df: DataFrame, value: str, positive: str, id_col: st
         return fallback
     # Counted per (cluster, value): a cluster with a third of all rows stays small.
     members = pos.groupBy("c", "v").agg(F.count(F.lit(1)).alias("m"))
-    drawn = _resampled(names, n_clusters, n_boot, seed, "cluster").join(members, "c").groupBy("replicate", "v").agg(
-        F.sum(F.col("times") * F.col("m")).alias("times"))
+    drawn = names.join(members, "c").select("__i", "v", F.col("m").alias("pos"), F.lit(0).alias("neg"))
     neg, n_neg = _numbered(ok.filter(~F.col("p")).select("id", "v"), ["id"], spread)
-    out = _auc_interval(drawn, _resampled(neg, n_neg, n_boot, seed, "neg"), spread)
+    out = _auc_interval([(drawn, n_clusters, "cluster"), (_one_each(neg, 0, 1), n_neg, "neg")], n_boot, seed)
     return out.withColumns({"n_clusters": F.lit(n_clusters), "cluster_bootstrap": F.lit(True)})
 
 
@@ -116,11 +248,7 @@ def bootstrap_auc_by_unit(df: DataFrame, unit: str, value: str, positive: str, n
         F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
     whole = members.groupBy("v").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("__one", F.lit(0))
     point = mann_whitney_counts(whole, ["__one"], None, spread).select("auc")
-    drawn = _resampled(names, n_units, n_boot, seed, "unit").join(members, "u")
-    counts = drawn.groupBy("replicate", "v").agg(
-        F.sum(F.col("times") * F.col("pos")).alias("pos"), F.sum(F.col("times") * F.col("neg")).alias("neg"))
-    one = mann_whitney_counts(counts, ["replicate"], None, spread).withColumn("__all", F.lit(0))
-    ci = group_quantiles(one, ["__all"], "auc", {"ci_low": .025, "ci_high": .975}, False, n="n_boot").drop("__all")
+    ci = _auc_interval([(names.join(members, "u"), n_units, "unit")], n_boot, seed)
     return point.crossJoin(F.broadcast(ci)).withColumn("n_units", F.lit(n_units))
 
 
@@ -137,8 +265,12 @@ def paired_bootstrap(df: DataFrame, value: str, id_col: str, n_boot: int = 2000,
     if n < 2:
         return point.select("n", *[F.lit(None).cast("double").alias(c) for c in (
             "mean", "median", "fraction_positive", "ci_low", "ci_high")])
-    means = _resampled(rows.select("__i", "v"), n, n_boot, seed, "pair").groupBy("replicate").agg(
-        (F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m")).withColumn("__all", F.lit(0))
+
+    def total(_block, times, rows):
+        return pd.DataFrame({"replicate": np.arange(n_boot), "total": rows["v"].to_numpy() @ times[rows["unit"].to_numpy()]})
+
+    sums = _resampled(cut_lineage(rows.select("__i", "v"), "differences"), n, n_boot, seed, "pair", total, "replicate long, total double")
+    means = sums.groupBy("replicate").agg((F.sum("total") / float(n)).alias("m")).withColumn("__all", F.lit(0))
     ci = group_quantiles(means, ["__all"], "m", {"ci_low": .025, "ci_high": .975}, False)
     return point.join(ci, "__all").drop("__all")
 

@@ -88,3 +88,33 @@ def test_compact_bootstraps(spark):
         assert a[name] == pytest.approx(b[name])
     assert abs(a.ci_low - b.ci_low) < 0.03 and abs(a.ci_high - b.ci_high) < 0.03
     assert bootstrap.paired_bootstrap_compact(df.limit(1), "v", 10).first().ci_low is None
+
+
+def test_draws_are_those_of_the_hash(spark):
+    """Every engine repeats a draw; a task draws them by the thousand and deals them to blocks of units."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions.identity import hash_draw
+    rows = spark.range(700).select(hash_draw(F.lit(97), "pos", 42, F.lit(3), F.col("id")).alias("i")).collect()
+    assert bootstrap.draws(97, 42, "pos", 3, 0, 700).tolist() == [r.i for r in rows]
+
+
+def test_resampling_in_many_blocks_slices_and_ranges(spark, monkeypatch):
+    """Few units or values to a block give what one block gives: no block, slice or range is whole in one task."""
+    df = spark.range(900).selectExpr(
+        "concat('k', id) AS id", "CAST(id * 7919 % 211 AS DOUBLE) / 7 AS v", "id % 3 = 0 AS p", "concat('u', least(id % 40, 9)) AS u",
+        "CAST(id * 31 % 97 AS DOUBLE) - 40 AS d")
+
+    def run():
+        return [bootstrap.bootstrap_auc(df, "v", "p", "id", 50).first(), bootstrap.bootstrap_auc_clustered(df, "v", "p", "id", "u", 50).first(),
+                bootstrap.bootstrap_auc_by_unit(df, "u", "v", "p", 50).first(), bootstrap.paired_bootstrap(df, "d", "id", 50).first()]
+
+    whole = run()
+    monkeypatch.setattr(bootstrap, "BLOCK_CELLS", 50 * 4)
+    monkeypatch.setattr(bootstrap, "DRAWS_AT_ONCE", 4096)
+    for a, b in zip(whole, run(), strict=True):
+        assert a.asDict().keys() == b.asDict().keys()
+        assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+    size = bootstrap._block_units(50)
+    packed = bootstrap.packed_draws(spark, 900, 50, 42, "pair").collect()
+    assert size == 4 and len({r.block for r in packed}) == 225 and sum(len(r.cells) for r in packed) == 4 * 900 * 50
