@@ -152,7 +152,8 @@ def shuffle_outcome(real: DataFrame, controls: DataFrame, alpha: float = 0.05, e
     """
     paired = controls.select(id_col, F.col(score).alias("c"), F.col("sequence").alias("cs")).join(
         real.select(id_col, F.col(score).alias("r"), F.col("sequence").alias("rs")), id_col)
-    spread = wants_spread(controls, spread)
+    # Many rows with few controls each are many small groups: only a large group is cut.
+    spread = wants_spread(controls, spread, [id_col])
     aggs = [
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > F.col("c")).alias("wins"),
         F.count_if(F.col("r") == F.col("c")).alias("ties"),

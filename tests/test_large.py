@@ -137,3 +137,20 @@ def test_shuffles_are_checked_where_they_are_made(spark):
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert "raise_error" not in plan and "array_sort" not in plan
     assert [r["kept"] for r in checked.collect()] == [True] * 6
+
+
+def test_many_rows_with_few_controls_are_small_groups(spark, monkeypatch):
+    """Only a row with very many controls is cut in buckets; a median of twenty is one group."""
+    from plumbline import runtime
+    from plumbline.operators import controls
+    real = spark.range(60).selectExpr("concat('c', id) AS candidate_id", "CAST(id AS DOUBLE) AS s", "'AC' AS sequence")
+    few = real.selectExpr("candidate_id", "explode(sequence(1, 5)) AS i", "s").selectExpr("candidate_id", "s + i - 3 AS s", "'CA' AS sequence")
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(runtime, "is_large", lambda df: df.count() > 100)
+    wanted, used = controls.group_quantiles, []
+    monkeypatch.setattr(controls, "group_quantiles", lambda *a, **k: used.append(1) or wanted(*a, **k))
+    rows = controls.shuffle_outcome(real, few, id_col="candidate_id", score="s").collect()
+    assert not used and all(r.shuffle_median_score == r.structural_subscore for r in rows) and len(rows) == 60
+    hot = few.unionByName(few.filter("candidate_id = 'c7'").crossJoin(spark.range(30)).drop("id"))
+    rows = controls.shuffle_outcome(real, hot, id_col="candidate_id", score="s").collect()
+    assert used and {r.shuffle_n for r in rows if r.candidate_id == "c7"} == {155}
