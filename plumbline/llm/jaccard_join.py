@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 from .columns import lean, slices, text_bytes
 from .components import components
-from .packing import CHUNK, Hashes, by_bucket, dealt, forest, mix, pack
+from .packing import CHUNK, OUT_AT_ONCE, Hashes, by_bucket, dealt, forest, mix, pack
 
 #: Documents and n-grams of a block: two blocks meet in one task.
 BLOCK_DOCS = 512
@@ -299,14 +299,23 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            docs, blocks, sets = [], [], []
-            for doc, data, to in zip(batch.column("doc"), batch.column("packed"), batch.column("blocks").to_pylist()):
+            docs, blocks, sets, held = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["block", "doc", "grams"])
+
+            for doc, data, to in zip(batch.column("doc"), batch.column("packed"), batch.column("blocks")):
                 body = np.frombuffer(unpack.decompress(data.as_py()), np.uint8)
                 blob = _gram_hashes(body, np.array([0, len(body)]), words)[0].tobytes()
-                docs += [doc.as_py()] * len(to)
-                blocks += to
-                sets += [blob] * len(to)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["block", "doc", "grams"])
+                for block in to.as_py():  # a document of a large family goes to many: they don't leave at once
+                    docs.append(doc.as_py())
+                    blocks.append(block)
+                    sets.append(blob)
+                    held += len(blob)
+                    if held >= OUT_AT_ONCE:
+                        yield out()
+                        docs, blocks, sets, held = [], [], [], 0
+            yield out()
 
     return run
 

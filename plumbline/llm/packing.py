@@ -12,12 +12,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from .columns import slices
+
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 19
 
 #: Records that a reducing task sorts at a time (at least one bucket).
 SORT_AT_ONCE = 400_000
 
+#: Bytes of rows that leave a task in one batch (one row at least).
+OUT_AT_ONCE = 1 << 22
+
 #: Hashes are pairs of polynomials modulo this prime, so no structure of a text makes two hashes meet (powers of two as moduli do, for the Thue-Morse word).
 PRIME = (1 << 31) - 1
 _P = np.uint64(PRIME)
@@ -161,7 +166,8 @@ def by_bucket(batches: Iterable[pa.RecordBatch], types: dict[int, np.dtype]) ->
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        names = [n for n in batch.schema.names if n != "text"]
-        packed = [tool.compress((v.as_py() or "").encode()) for v in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], names=[*names, "packed"])
+    for whole in batches:
+        names = [n for n in whole.schema.names if n != "text"]
+        for batch in slices([whole], "text", OUT_AT_ONCE):
+            packed = [tool.compress((v.as_py() or "").encode()) for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], names=[*names, "packed"])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
 from .columns import lean, slices, text_bytes
-from .packing import CHUNK, Hashes, by_bucket, dealt, hashes_of_rows, mix, pack
+from .packing import CHUNK, OUT_AT_ONCE, Hashes, by_bucket, dealt, hashes_of_rows, mix, pack
 
 DEPTH = 100
 LANDMARK = 24
@@ -44,6 +44,9 @@ LANDMARK = 24
 PLACE_BITS = 26
 LONGEST = (1 << PLACE_BITS) - (1 << 16)
 
+#: Records that a map task collects before it deals them.
+RECORDS_AT_ONCE = 250_000
+
 #: Hot landmarks: of the documents in the sample (one in SAMPLE_STEP, all of a small
 #: table), so many have different runs of it. There are at most HOT_SHARE times a
 #: document's mean number of landmarks, so the list is small enough to ship.
@@ -179,9 +182,20 @@ def hot_landmarks(texts: DataFrame, depth: int, landmark: int) -> np.ndarray:
 def _to_buckets(texts: DataFrame, hot: np.ndarray, depth: int, landmark: int, buckets: int) -> DataFrame:
     """Runs of all texts, packed by bucket; runs that repeat an earlier one of the same batch as spans (kind 1)."""
 
+    def settle(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        records, again = _first_of_equal(np.concatenate(found))
+        if len(records):
+            yield from dealt(0, records[~again], records["mark"][~again], buckets)
+        if again.any():
+            x = records[again]
+            doc, twin, start, stop = _spans(x["doc"], x["twin"], x["first"], x["first"].astype(np.int64) + x["more"] + depth)
+            spans = np.zeros(len(doc), RUN)
+            spans["doc"], spans["twin"], spans["first"], spans["run"] = doc, twin, start, stop
+            yield from dealt(1, spans, mix(doc.view(np.uint64)), buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            found = [np.zeros(0, RUN)]
+            found, held = [np.zeros(0, RUN)], 0
             for part, chunk, starts, sizes, offset in _chunks(whole):
                 r = runs_of(chunk, starts, sizes, depth, landmark)
                 if not r:
@@ -204,15 +218,11 @@ def _to_buckets(texts: DataFrame, hot: np.ndarray, depth: int, landmark: int, bu
                     out["mark"], out["run"], out["doc"], out["twin"] = mark, code, doc[row], twin[row]
                     out["first"], out["place"], out["more"] = first - starts[row] + offset, place, more
                     found.append(out)
-            records, again = _first_of_equal(np.concatenate(found))
-            if len(records):
-                yield from dealt(0, records[~again], records["mark"][~again], buckets)
-            if again.any():
-                x = records[again]
-                doc, twin, start, stop = _spans(x["doc"], x["twin"], x["first"], x["first"].astype(np.int64) + x["more"] + depth)
-                spans = np.zeros(len(doc), RUN)
-                spans["doc"], spans["twin"], spans["first"], spans["run"] = doc, twin, start, stop
-                yield from dealt(1, spans, mix(doc.view(np.uint64)), buckets)
+                    held += len(out)
+                if held >= RECORDS_AT_ONCE:
+                    yield from settle(found)
+                    found, held = [np.zeros(0, RUN)], 0
+            yield from settle(found)
 
     return texts.mapInArrow(lean(run), "bucket int, kind int, records binary")
 
@@ -241,6 +251,12 @@ def _cut_pieces(landmark: int, buckets: int):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             found: dict[int, list] = {}
+            held = 0
+
+            def out() -> pa.RecordBatch:
+                keys = sorted(found)
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([b"".join(found[k]) for k in keys], pa.binary())], names=["bucket", "records"])
+
             for doc, twin, data, starts, stops, places in zip(*(batch.column(c) for c in ("doc", "twin", "packed", "starts", "stops", "places"))):
                 body = np.frombuffer(unpack.decompress(data.as_py()), np.uint8)
                 start, stop, place = (np.array(v.values.to_numpy()) for v in (starts, stops, places))
@@ -251,8 +267,11 @@ def _cut_pieces(landmark: int, buckets: int):
                     key = int(mark[i])
                     head = np.array((key, doc.as_py(), twin.as_py(), start[i], place[i], 0), PIECE)
                     found.setdefault(key % buckets, []).append(head.tobytes() + int(stop[i] - start[i]).to_bytes(4, "little") + body[start[i]:stop[i]].tobytes())
-            keys = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([b"".join(found[k]) for k in keys], pa.binary())], names=["bucket", "records"])
+                held += int((stop - start).sum()) + len(start) * (PIECE.itemsize + 4)
+                if held >= OUT_AT_ONCE:
+                    yield out()
+                    found, held = {}, 0
+            yield out()
 
     return run
 
@@ -343,10 +362,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", depth
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            kept, removed, sizes = [], [], []
-            for data, starts, stops in zip(*(batch.column(c) for c in ("packed", "starts", "stops"))):
+            kept, removed, sizes, done = [], [], [], 0
+
+            def out(upto: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("own").slice(done, upto - done), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                     pa.array(sizes, pa.int64())], names=["own", "kept", "removed", "n_bytes"])
+
+            held = 0
+            for i, (data, starts, stops) in enumerate(zip(*(batch.column(c) for c in ("packed", "starts", "stops")))):
+                if held >= OUT_AT_ONCE:
+                    yield out(i)
+                    kept, removed, sizes, done, held = [], [], [], i, 0
                 body = unpack.decompress(data.as_py())
                 sizes.append(len(body))
+                held += len(body)
                 spans, rest, at = [], [], 0
                 if starts.is_valid:
                     start, stop = starts.values.to_numpy(), stops.values.to_numpy()
@@ -359,9 +389,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", depth
                 rest.append(body[at:])
                 kept.append(b"".join(rest))
                 removed.append(spans)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("own"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                 pa.array(sizes, pa.int64())], names=["own", "kept", "removed", "n_bytes"])
+            yield out(batch.num_rows)
 
     out = packed.join(listed, ["doc", "twin"], "left").mapInArrow(
         lean(run), f"own {own}, kept binary, removed array<struct<start:int,stop:int>>, n_bytes long")

@@ -196,3 +196,37 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[201] == 200
+
+
+def test_no_task_sends_much_at_once(monkeypatch):
+    """A document of a large family goes to many blocks, and texts are packed, cut and dealt, without one batch that holds all of it."""
+    import pyarrow as pa
+
+    words = " ".join(f"w{i}" for i in range(300))
+    texts = [f"d{i} {words}" for i in range(40)]
+    most = max(map(len, texts))
+    for module in (packing, jaccard_join, suffix_dedup):
+        monkeypatch.setattr(module, "OUT_AT_ONCE", 20_000)
+    monkeypatch.setattr(suffix_dedup, "RECORDS_AT_ONCE", 500)
+    rows = pa.RecordBatch.from_pydict({"doc": list(range(40)), "twin": [0] * 40, "text": texts})
+    packed = list(packing.pack(iter([rows])))
+    assert len(packed) > 2 and sum(b.num_rows for b in packed) == 40
+    whole = pa.Table.from_batches(packed).combine_chunks().to_batches()[0]
+    blocks = pa.array([[f"f/{j}" for j in range(30)]] * 40)
+    sets = list(jaccard_join._sets(5)(iter([whole.append_column("blocks", blocks)])))
+    one = len(jaccard_join._gram_hashes(*(lambda t: (np.frombuffer(t, np.uint8), np.array([0, len(t)])))(texts[0].encode()), 5)[0]) * 8
+    assert sum(b.num_rows for b in sets) == 1200 and max(b.num_rows for b in sets) * one <= 20_000 + one
+    got = {(b, d) for x in sets for b, d in zip(x.column("block").to_pylist(), x.column("doc").to_pylist())}
+    assert len(got) == 1200
+    kept = {"f": None}
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            kept["f"] = run
+
+    suffix_dedup._to_buckets(Texts(), np.zeros(0, np.uint64), 100, 24, 4)
+    chunk = suffix_dedup.CHUNK
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 4 * most)
+    dealt = [b for b in kept["f"](iter([rows])) if b.num_rows]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    assert len(dealt) > 2
