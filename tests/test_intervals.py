@@ -45,6 +45,25 @@ def test_interval_percentiles_without_controls(spark):
         targets.interval_percentiles(pairs, bank.limit(0)).collect()
 
 
+@pytest.mark.parametrize("way", ["bank", "ranges", "shuffle", "too many"])
+def test_percentiles_by_size_and_measure(spark, monkeypatch, way):
+    cand, t, bank = pairs_and_bank(spark)
+    t = t.unionByName(spark.createDataFrame([(5, "pocket", 18.0, None, 2.0), (6, "surface", None, None, 1.0)], t.schema))
+    score = {"ranges": lambda pairs: targets.interval_percentiles(pairs, bank, range_values=3),
+             "shuffle": lambda pairs: targets.control_percentile(pairs.drop("disagreement_extended"), targets.compact_distribution(bank, t), max_values=0)}.get(
+                 way, lambda pairs: targets.calibrated(pairs, bank))
+    names = ["candidate_id", "target_id", "disagreement", "control_percentile"] + ["control_percentile_extended"] * (way != "shuffle")
+    rows = lambda df: sorted(map(repr, df.select(names).collect()))
+    want = rows(score(targets.compare(targets.pair_with_targets(cand, t))))
+    monkeypatch.setattr(targets, "PAIRS_LEAST", 1)
+    if way == "too many":
+        monkeypatch.setattr(targets, "MEASURES_AT_ONCE", 3)
+    got = targets.by_measure(cand, t, score)
+    assert rows(got) == want and len(want) == 121 * 6
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Python" in plan or "SortMergeJoin" in plan) == (way == "too many")
+
+
 def test_many_targets_meet_in_blocks(spark, monkeypatch):
     cand, bank = view(spark, SMALL, "v_sized").limit(20), view(spark, SMALL, "v_targets")
     want = sorted((r.candidate_id, r.target_id) for r in targets.pair_with_targets(cand, bank).collect())
